@@ -52,9 +52,9 @@ def recent_rate(spark, d):
 
 @query("q_ema_form", f"""WITH {SL}, c AS (SELECT contest_id, side,
   list(CAST(won AS DOUBLE)) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM sl)
-SELECT contest_id, side, round(list_reduce(list_prepend(CAST(0.5 AS DOUBLE), coalesce(h, [])), lambda acc, v: 0.15 * v + 0.85 * acc), 6) AS ema_form FROM c""")
+SELECT contest_id, side, round(list_reduce(list_prepend(CAST(0.5 AS DOUBLE), coalesce(h, [])), lambda acc, v: 0.15 * v + 0.85 * acc), 7) AS ema_form FROM c""")
 def ema_form(spark, d):
-    return rounded(ch.entity_form(_valid(spark, d)).select("contest_id", "side", "ema_form"))
+    return rounded(ch.entity_form(_valid(spark, d)).select("contest_id", "side", "ema_form"), 7)
 
 
 @query("q_signed_streak", f"""WITH {SL}, r AS (SELECT *, row_number() OVER ({W}) AS rn,
@@ -269,14 +269,12 @@ def pair_experience(spark, d):
 
 
 @query("q_retained_members", f"""WITH {EACH} SELECT contest_id, side, CASE WHEN prev IS NULL THEN 0 ELSE len(list_intersect(keys, prev)) END AS retained
-FROM (SELECT contest_id, side, keys, lag(keys) OVER (PARTITION BY entity_id ORDER BY ts, contest_id, side) AS prev FROM each)""")
+FROM (SELECT contest_id, side, keys, last(keys ORDER BY ts, contest_id, side) OVER (PARTITION BY entity_id ORDER BY ts, contest_id
+  GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM each)""")
 def retained_members(spark, d):
     return lineups.retained_members(lineups.sides(lineups.duels(st.members(spark, d), 2)))
 
 
-FEATURE_SQL = f""", {SL.replace(st.SQL_VALID + ',', '')}"""
-
-
 @query("q_contest_features")
 def contest_features(spark, d):
     return rounded(features.contest_features(st.contests(spark, d)))
