@@ -60,8 +60,13 @@ def _fold_batches(provisional: bool):
     return fold
 
 
+def _tasks(df: DataFrame) -> int:
+    """A fixed number of tasks: folds are bound by compute, not by bytes, so they are not coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _fold_pools(sides: DataFrame, provisional: bool) -> DataFrame:
-    ordered = sides.repartition("pool").sortWithinPartitions("pool", "ts", "contest_id")
+    ordered = sides.repartition(_tasks(sides), "pool").sortWithinPartitions("pool", "ts", "contest_id")
     return ordered.mapInPandas(_fold_batches(provisional), FOLD_SCHEMA)
 
 
@@ -294,30 +299,34 @@ def period_update(rating, deviation, volatility, inverse_variance, improvement):
 
 
 def _glicko_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold days over all pools of a partition; rows arrive sorted by day."""
+    """Fold the pools of a partition together.
+
+    Rows arrive sorted by ``step``, the rank of the day among the active days of its pool. Pools do
+    not meet, so one step rates the n-th active day of every pool in one vectorised update.
+    """
     slot_of: dict[int, int] = {}
     state = np.empty((3, 0))
     last = np.empty(0, dtype=np.int64)
     names = [c.split()[0] for c in GLICKO_SCHEMA.split(", ")]
 
-    def rate(day_rows: pd.DataFrame) -> pd.DataFrame:
+    def rate(contest_id, day, a_id, b_id, a_win):
         nonlocal state, last
-        day = int(day_rows.day.iloc[0])
-        own = np.concatenate([day_rows.a_id, day_rows.b_id]).astype(np.int64)
-        won = np.concatenate([day_rows.a_win, 1 - day_rows.a_win]).astype(float)
-        ids, pos = np.unique(own, return_inverse=True)
-        n = len(day_rows)
+        n = len(day)
+        own = np.concatenate([a_id, b_id])
+        won = np.concatenate([a_win, 1 - a_win])
+        ids, first, pos = np.unique(own, return_index=True, return_inverse=True)
+        today = np.concatenate([day, day])[first]
         rival = np.concatenate([pos[n:], pos[:n]])
-        fresh = [i for i in ids.tolist() if i not in slot_of]
-        for i in fresh:
-            slot_of[i] = len(slot_of)
+        fresh = [(i, t) for i, t in zip(ids.tolist(), today.tolist()) if i not in slot_of]
         if fresh:
+            for i, _ in fresh:
+                slot_of[i] = len(slot_of)
             new = np.repeat([[rates.START_RATING], [rates.START_DEVIATION], [rates.START_VOLATILITY]], len(fresh), axis=1)
             state = np.concatenate([state, new], axis=1)
-            last = np.concatenate([last, np.full(len(fresh), day, dtype=np.int64)])
+            last = np.concatenate([last, np.array([t for _, t in fresh], dtype=np.int64)])
         slots = np.array([slot_of[i] for i in ids.tolist()])
         r, d, s = state[:, slots]
-        idle = np.maximum(0, day - last[slots] - 1)
+        idle = np.maximum(0, today - last[slots] - 1)
         grown = np.minimum(350.0, np.sqrt((d / rates.GLICKO_SCALE) ** 2 + idle * s * s) * rates.GLICKO_SCALE)
         d = np.where(idle > 0, grown, d)
         mu, phi = (r - 1500.0) / rates.GLICKO_SCALE, d / rates.GLICKO_SCALE
@@ -327,28 +336,32 @@ def _glicko_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gain = np.bincount(pos, weights=g[rival] * (won - e), minlength=len(ids))
         r2, d2, s2 = period_update(r, d, s, inverse, gain)
         state[:, slots] = [r2, d2, s2]
-        last[slots] = day
-        contests = pd.DataFrame({
-            "kind": 0, "contest_id": day_rows.contest_id.to_numpy(), "day": day, "entity_id": own[:n], "opponent_id": own[n:],
-            "rating": r[pos[:n]], "deviation": d[pos[:n]], "volatility": s[pos[:n]],
-            "other_rating": r[rival[:n]], "other_deviation": d[rival[:n]], "other_volatility": s[rival[:n]],
-            "contests": 1, "wins": won[:n].astype(int)})
-        periods = pd.DataFrame({
-            "kind": 1, "contest_id": 0, "day": day, "entity_id": ids, "opponent_id": 0,
-            "rating": r, "deviation": d, "volatility": s, "other_rating": r2, "other_deviation": d2, "other_volatility": s2,
-            "contests": np.bincount(pos, minlength=len(ids)), "wins": np.bincount(pos, weights=won, minlength=len(ids)).astype(int)})
-        return pd.concat([contests, periods], ignore_index=True)[names]
-
+        last[slots] = today
+        a, b = pos[:n], rival[:n]
+        zero = np.zeros(len(ids), dtype=np.int64)
+        contests = (np.zeros(n, dtype=np.int32), contest_id, day, a_id, b_id, r[a], d[a], s[a], r[b], d[b], s[b],
+                    np.ones(n, dtype=np.int64), a_win)
+        periods = (np.ones(len(ids), dtype=np.int32), zero, today, ids, zero, r, d, s, r2, d2, s2,
+                   np.bincount(pos, minlength=len(ids)), np.bincount(pos, weights=won, minlength=len(ids)).astype(np.int64))
+        return contests, periods
+
+    columns = ["contest_id", "day", "a_id", "b_id", "a_win"]
     rest = None
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        closing = rows.day.iloc[-1] if len(rows) else None
-        rest = rows[rows.day == closing]
-        done = [rate(g) for _, g in rows[rows.day != closing].groupby("day", sort=True)]
-        if done:
-            yield pd.concat(done, ignore_index=True)
+        step = rows["step"].to_numpy()
+        cuts = np.flatnonzero(np.diff(step)) + 1
+        keep_from = int(cuts[-1]) if len(cuts) else 0
+        rest = rows.iloc[keep_from:]
+        parts = []
+        values = [rows[c].to_numpy(dtype=np.int64) for c in columns]
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+            parts.extend(rate(*[v[lo:hi] for v in values]))
+        if parts:
+            yield pd.DataFrame({name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(names)})
     if rest is not None and len(rest):
-        yield rate(rest)
+        parts = rate(*[rest[c].to_numpy(dtype=np.int64) for c in columns])
+        yield pd.DataFrame({name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(names)})
 
 
 def glicko_timeline(contests: DataFrame, pool: str | None = "pool", since: int | None = None,
@@ -365,7 +378,9 @@ def glicko_timeline(contests: DataFrame, pool: str | None = "pool", since: int |
 
 
 def _glicko_pools(valid: DataFrame) -> DataFrame:
-    return valid.repartition("pool").sortWithinPartitions("day", "contest_id").mapInPandas(_glicko_fold, GLICKO_SCHEMA)
+    active_day = F.dense_rank().over(Window.partitionBy("pool").orderBy("day")).alias("step")
+    stepped = valid.repartition(_tasks(valid), "pool").select("contest_id", "day", "a_id", "b_id", "a_win", active_day)
+    return stepped.sortWithinPartitions("step", "contest_id").mapInPandas(_glicko_fold, GLICKO_SCHEMA)
 
 
 def glicko_by_period(valid: DataFrame) -> DataFrame:
