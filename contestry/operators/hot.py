@@ -21,10 +21,6 @@ SLICE = "_slice"
 SLICES = "_slices"
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys, _lo, _hi, _slices) of the keys that need slicing; at most MAX_HOT_KEYS rows."""
     return (
@@ -37,10 +33,13 @@ def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROW
 
 
 def slice_hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_slice`` (0 for ordinary keys) and ``_slices``; equal order values share a slice."""
+    """Add ``_slice`` (0 for ordinary keys) and ``_slices``; equal order values share a slice.
+
+    Rows with a null key match no hot key and stay whole; they are still right, only not cut.
+    """
     hot = hot_keys(df, keys, order, hot_rows)
     right = hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi", SLICES)
-    condition = reduce(lambda a, b: a & b, [df[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)])
+    condition = reduce(lambda a, b: a & b, [df[k] == right[f"_k{i}"] for i, k in enumerate(keys)])
     width = F.col("_hi") - F.col("_lo") + 1
     return (
         df.join(F.broadcast(right), condition, "left")
@@ -52,11 +51,15 @@ def slice_hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = H
 
 
 def attach_carry(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join the per-slice table of the hot keys (empty when there are none)."""
+    """Left join the per-slice table of the hot keys (empty when there are none).
+
+    Plain equality on (keys, slice): the rows already lie and are sorted that way for their window,
+    so only the small side moves.
+    """
     right = carry.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(SLICE).alias("_ks"),
         *[c for c in carry.columns if c not in keys and c != SLICE])
-    condition = reduce(lambda a, b: a & b, [local[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)])
+    condition = reduce(lambda a, b: a & b, [local[k] == right[f"_k{i}"] for i, k in enumerate(keys)])
     condition = condition & (local[SLICE] == right["_ks"])
     return local.join(right, condition, "left").drop("_ks", *[f"_k{i}" for i in range(len(keys))])
 
