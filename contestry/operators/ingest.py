@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def merge_non_null(records: DataFrame, key: str, version: str, overwrite: tuple[str, ...] = ()) -> DataFrame:
@@ -64,14 +64,18 @@ def pending_worklist(contests: DataFrame, since: int, limit: int, leagues: list[
 
 
 def audited_write(df: DataFrame, path: str, audit_path: str, source: str, entity: str) -> None:
-    """Write ``df`` and append one audit row; the row count is observed during the write itself."""
+    """Write ``df`` and append one audit row.
+
+    Rows are counted from the footers of the written files. An ``Observation`` would count during
+    the write, but once a session has used one, closures that hold the session (MLlib's among
+    them) no longer serialise.
+    """
     spark = df.sparkSession
     started = int(time.time())
-    seen = Observation()
     status, error, rows = "complete", None, None
     try:
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-        rows = seen.get["rows"]
+        df.write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(df.schema).parquet(path).count()
     except Exception as failure:
         status, error = "failed", str(failure)[:500]
         raise

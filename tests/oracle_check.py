@@ -77,7 +77,8 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
         try:
             ok, note = compare(spark, sf_dir, name, function, oracles.get(name))
         except Exception as error:  # noqa: BLE001 - reported, not hidden
-            ok, note = False, f"{type(error).__name__}: {str(error)[:700]}"
+            causes = [line.strip()[:200] for line in str(error).splitlines() if "Caused" in line or "Exception" in line or "Error" in line]
+            ok, note = False, f"{type(error).__name__}: {str(error)[:200]} {causes[:6]}"
         bad += not ok
         print(("ok   " if ok else "FAIL ") + name + "  " + note, flush=True)
     print(f"{bad} failing")
