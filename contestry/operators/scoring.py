@@ -67,7 +67,7 @@ def signal_index(profile: DataFrame) -> DataFrame:
 
 def weighted_points(long_points: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of points x multiplier / 100 over the chosen (role, metric) rows; a best series is twice that."""
-    j = long_points.join(F.broadcast(weights.limit(10_000)), ["role", "metric"])
+    j = long_points.join(weights, ["role", "metric"])
     return j.groupBy(*keys).agg(F.sum(F.col("points") * F.col("multiplier") / 100.0).alias("per_game")).withColumn(
         "best_series", F.col("per_game") * 2)
 
