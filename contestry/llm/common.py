@@ -35,6 +35,16 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, run_dir(df.sparkSession, label))
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, with underscores in front until no column of ``df`` has such a name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return tuple(out)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
-from contestry.llm.common import components, query, spool, table
+from contestry.llm.common import components, fresh, query, spool, table
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -125,10 +125,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = classes(docs, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    kept = found.groupBy("label").agg(F.min(order).alias("r")).select(F.col("r.i").alias("__keep_i"), F.col("r.h").alias("__keep_h"))
-    rows = docs.withColumns({"__row_i": F.col(id_col), "__row_h": F.xxhash64(text_col)})
-    same = F.col("__row_i").eqNullSafe(F.col("__keep_i")) & (F.col("__row_h") == F.col("__keep_h"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__row_i", "__row_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ki, kh, ri, rh = fresh(docs, "_keep_i", "_keep_h", "_row_i", "_row_h")
+    kept = found.groupBy("label").agg(F.min(order).alias("r")).select(F.col("r.i").alias(ki), F.col("r.h").alias(kh))
+    rows = docs.withColumns({ri: F.col(f"`{id_col}`"), rh: F.xxhash64(f"`{text_col}`")})
+    rows = rows.join(kept, F.col(ri).eqNullSafe(F.col(ki)) & (F.col(rh) == F.col(kh)), "left_semi")
+    return rows.dropDuplicates([ri, rh]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op2_simhash")
