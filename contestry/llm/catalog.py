@@ -1,4 +1,4 @@
 """The queries of the subpackage; importing this module registers them all."""
 
-from contestry.llm import packing, quality, risk_rules, sharding, simhash, sketch, url_filter  # noqa: F401
+from contestry.llm import lbl, packing, quality, risk_rules, sharding, simhash, sketch, url_filter  # noqa: F401
 from contestry.llm.common import ORACLES, QUERIES  # noqa: F401
