@@ -5,7 +5,9 @@ that only meet each other (a region, a league system). Pools of ordinary size ar
 tasks, one stream of sorted rows per partition with only the current states in memory. A pool
 above ``pool_rows`` contests is not left to one task: it takes the wavefront, where each round
 updates every contest whose participants have finished all their earlier ones. Both give the
-same numbers.
+same numbers at every size: state belongs to (pool, key), so an entity that occurs in two pools has
+a rating in each, and a key on both sides of a contest counts in both means, moves by both deltas
+and has played one contest.
 """
 
 from __future__ import annotations
@@ -51,9 +53,9 @@ def _fold_batches(provisional: bool):
                 ka = k * factor if provisional and ga[0] < limit else k
                 kb = k * factor if provisional and gb[0] < limit else k
                 da, db = ka * (win - expected), kb * (expected - win)
-                for keys, before, played, delta in ((a, ra, ga, da), (b, rb, gb, db)):
-                    for m, r, g in zip(keys, before, played):
-                        rating[m], games[m] = r + delta, g + 1
+                for keys, played, delta in ((a, ga, da), (b, gb, db)):
+                    for m, g in zip(keys, played):
+                        rating[m], games[m] = rating.get(m, start) + delta, g + 1
                 out.append((cid, ts, win, a, b, ra, rb, ga, gb, mean_a, mean_b, expected, da, db))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
 
@@ -80,35 +82,32 @@ def wavefront(sides: DataFrame, provisional: bool, block_seconds: int = WAVE_BLO
     """
     spark = sides.sparkSession
     base = run_dir(spark, "wavefront")
-    long = sides.select(
-        "contest_id", "ts", "base_k", "a_win", "a_keys", "b_keys",
-        F.explode(F.concat("a_keys", "b_keys")).alias("key"))
-    seq = hot.prefix_sums(long.select("contest_id", "ts", "key"), ["key"], ["ts", "contest_id"], {"seq": F.lit(1)}, hot_rows)
-    rows = long.join(seq.select("contest_id", "key", "seq"), ["contest_id", "key"]).withColumn(
+    contest = ["contest_id", "ts", "pool", "base_k", "a_win", "a_keys", "b_keys"]
+    long = sides.select(*contest, F.explode(F.array_distinct(F.concat("a_keys", "b_keys"))).alias("key"))
+    rows = hot.prefix_sums(long, ["pool", "key"], ["ts", "contest_id"], {"seq": F.lit(1)}, hot_rows).withColumn(
         "block", F.floor(F.col("ts") / block_seconds))
     rows = materialize(rows, f"{base}/rows", "block")
     blocks = [r[0] for r in rows.select("block").distinct().orderBy("block").collect()]
-    state = materialize(spark.createDataFrame([], "key long, rating double, games long"), f"{base}/state-0")
+    state = materialize(spark.createDataFrame([], "pool long, key long, rating double, games long"), f"{base}/state-0")
     step = 0
     for block in blocks:
         work = rows.where(F.col("block") == block).drop("block")
         while True:
             step += 1
-            known = work.join(state, "key", "left").withColumn("games", F.coalesce("games", F.lit(0))).withColumn(
+            known = work.join(state, ["pool", "key"], "left").withColumn("games", F.coalesce("games", F.lit(0))).withColumn(
                 "rating", F.coalesce("rating", F.lit(rates.START_RATING)))
-            grouped = known.groupBy("contest_id", "ts", "base_k", "a_win", "a_keys", "b_keys").agg(
+            grouped = known.groupBy(*contest).agg(
                 F.min((F.col("games") == F.col("seq")).cast("int")).alias("ready"),
                 F.map_from_entries(F.collect_list(F.struct("key", F.struct("rating", "games", "seq")))).alias("m"))
             tried = materialize(grouped, f"{base}/step-{step}", "ready")
             done = _apply_update(tried.where("ready = 1"), provisional)
             done.write.mode("overwrite").parquet(f"{base}/done/step={step}")
-            done = spark.read.schema(FOLD_SCHEMA).parquet(f"{base}/done/step={step}")
+            done = spark.read.schema(FOLD_SCHEMA + ", pool long").parquet(f"{base}/done/step={step}")
             changed = _states_after(done)
             state = materialize(
-                state.join(changed.select("key"), "key", "left_anti").unionByName(changed), f"{base}/state-{step}")
-            open_rows = tried.where("ready = 0").select(
-                "contest_id", "ts", "base_k", "a_win", "a_keys", "b_keys", F.explode("m").alias("key", "v")
-            ).select("contest_id", "key", "ts", "base_k", "a_win", "a_keys", "b_keys", F.col("v.seq").alias("seq"))
+                state.join(changed.select("pool", "key"), ["pool", "key"], "left_anti").unionByName(changed), f"{base}/state-{step}")
+            open_rows = tried.where("ready = 0").select(*contest, F.explode("m").alias("key", "v")).select(
+                *contest, "key", F.col("v.seq").alias("seq"))
             if open_rows.isEmpty():
                 break
             work = open_rows
@@ -131,15 +130,17 @@ def _apply_update(ready: DataFrame, provisional: bool) -> DataFrame:
     out = out.withColumn("a_expected", rates.elo_expected(F.col("a_rating"), F.col("b_rating")))
     out = out.withColumn("a_delta", F.col("a_k") * (F.col("a_win") - F.col("a_expected"))).withColumn(
         "b_delta", F.col("b_k") * (F.col("a_expected") - F.col("a_win")))
-    return out.select(*[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+    return out.select(*[c.split()[0] for c in FOLD_SCHEMA.split(", ")], "pool")
 
 
 def _states_after(done: DataFrame) -> DataFrame:
     def side(s):
         return F.transform(
             F.arrays_zip(F.col(f"{s}_keys").alias("key"), F.col(f"{s}_before").alias("r"), F.col(f"{s}_games").alias("g")),
-            lambda v: F.struct(v["key"].alias("key"), (v["r"] + F.col(f"{s}_delta")).alias("rating"), (v["g"] + 1).alias("games")))
-    return done.select(F.explode(F.concat(side("a"), side("b"))).alias("v")).select("v.*")
+            lambda v: F.struct(v["key"].alias("key"), v["r"].alias("r"), F.col(f"{s}_delta").alias("delta"), v["g"].alias("g")))
+    moves = done.select("contest_id", "pool", F.explode(F.concat(side("a"), side("b"))).alias("v")).select("contest_id", "pool", "v.*")
+    # a key has one ready contest at a time; its two rows, if it is on both sides, become one state
+    return moves.groupBy("pool", "key").agg((F.first("r") + F.sum("delta")).alias("rating"), (F.first("g") + 1).alias("games"))
 
 
 def _by_pool_size(sides: DataFrame, provisional: bool, pool_rows: int, block_seconds: int) -> DataFrame:
@@ -151,7 +152,7 @@ def _by_pool_size(sides: DataFrame, provisional: bool, pool_rows: int, block_sec
 
 
 def pool_violations(contests: DataFrame, pool: str = "pool") -> DataFrame:
-    """Entities seen in more than one pool: these would make pool-wise ratings wrong."""
+    """Entities seen in more than one pool: they have a rating in each."""
     return (side_long(contests, pool).groupBy("entity_id").agg(F.min(pool).alias("lo"), F.max(pool).alias("hi"))
             .where(F.col("lo") != F.col("hi")))
 
@@ -190,7 +191,7 @@ def member_ratings(lineups: DataFrame, k_factor: float = 24.0, pool: str | None
                    pool_rows: int = POOL_ROWS, block_seconds: int = WAVE_BLOCK_SECONDS) -> DataFrame:
     """Member ratings: a side's rating is the mean of its members, all of them move by one delta.
 
-    ``lineups``: contest_id, ts, pool, a_win and the member lists a_keys / b_keys (disjoint).
+    ``lineups``: contest_id, ts, pool, a_win and the member lists a_keys / b_keys, each without repeats.
     """
     sides = lineups.select(
         "contest_id", "ts", (F.col(pool) if pool else F.lit(0)).cast("long").alias("pool"),
@@ -256,7 +257,7 @@ TAU = 0.5
 EPSILON = 1e-6
 GLICKO_SCHEMA = (
     "kind int, contest_id long, day long, entity_id long, opponent_id long, rating double, deviation double, "
-    "volatility double, other_rating double, other_deviation double, other_volatility double, contests long, wins long"
+    "volatility double, other_rating double, other_deviation double, other_volatility double, contests long, wins long, pool long"
 )
 
 
@@ -302,28 +303,33 @@ def _glicko_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fold the pools of a partition together.
 
     Rows arrive sorted by ``step``, the rank of the day among the active days of its pool. Pools do
-    not meet, so one step rates the n-th active day of every pool in one vectorised update.
+    not meet, so one step rates the n-th active day of every pool in one vectorised update. State is
+    kept by (pool, entity), so the result does not depend on which pools share a partition.
     """
-    slot_of: dict[int, int] = {}
-    state = np.empty((3, 0))
-    last = np.empty(0, dtype=np.int64)
+    slot_of: dict[tuple[int, int], int] = {}
+    state = np.empty((3, 1024))
+    last = np.empty(1024, dtype=np.int64)
+    pair = np.dtype([("pool", np.int64), ("entity", np.int64)])
     names = [c.split()[0] for c in GLICKO_SCHEMA.split(", ")]
 
-    def rate(contest_id, day, a_id, b_id, a_win):
+    def rate(contest_id, day, a_id, b_id, a_win, pool):
         nonlocal state, last
         n = len(day)
-        own = np.concatenate([a_id, b_id])
+        own = np.empty(2 * n, dtype=pair)
+        own["pool"], own["entity"] = np.concatenate([pool, pool]), np.concatenate([a_id, b_id])
         won = np.concatenate([a_win, 1 - a_win])
         ids, first, pos = np.unique(own, return_index=True, return_inverse=True)
         today = np.concatenate([day, day])[first]
         rival = np.concatenate([pos[n:], pos[:n]])
         fresh = [(i, t) for i, t in zip(ids.tolist(), today.tolist()) if i not in slot_of]
         if fresh:
+            known = len(slot_of)
             for i, _ in fresh:
                 slot_of[i] = len(slot_of)
-            new = np.repeat([[rates.START_RATING], [rates.START_DEVIATION], [rates.START_VOLATILITY]], len(fresh), axis=1)
-            state = np.concatenate([state, new], axis=1)
-            last = np.concatenate([last, np.array([t for _, t in fresh], dtype=np.int64)])
+            while len(slot_of) > len(last):
+                state, last = np.concatenate([state, np.empty_like(state)], axis=1), np.concatenate([last, np.empty_like(last)])
+            state[:, known:len(slot_of)] = [[rates.START_RATING], [rates.START_DEVIATION], [rates.START_VOLATILITY]]
+            last[known:len(slot_of)] = [t for _, t in fresh]
         slots = np.array([slot_of[i] for i in ids.tolist()])
         r, d, s = state[:, slots]
         idle = np.maximum(0, today - last[slots] - 1)
@@ -340,12 +346,12 @@ def _glicko_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = pos[:n], rival[:n]
         zero = np.zeros(len(ids), dtype=np.int64)
         contests = (np.zeros(n, dtype=np.int32), contest_id, day, a_id, b_id, r[a], d[a], s[a], r[b], d[b], s[b],
-                    np.ones(n, dtype=np.int64), a_win)
-        periods = (np.ones(len(ids), dtype=np.int32), zero, today, ids, zero, r, d, s, r2, d2, s2,
-                   np.bincount(pos, minlength=len(ids)), np.bincount(pos, weights=won, minlength=len(ids)).astype(np.int64))
+                    np.ones(n, dtype=np.int64), a_win, pool)
+        periods = (np.ones(len(ids), dtype=np.int32), zero, today, ids["entity"], zero, r, d, s, r2, d2, s2,
+                   np.bincount(pos, minlength=len(ids)), np.bincount(pos, weights=won, minlength=len(ids)).astype(np.int64), ids["pool"])
         return contests, periods
 
-    columns = ["contest_id", "day", "a_id", "b_id", "a_win"]
+    columns = ["contest_id", "day", "a_id", "b_id", "a_win", "pool"]
     rest = None
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -379,7 +385,7 @@ def glicko_timeline(contests: DataFrame, pool: str | None = "pool", since: int |
 
 def _glicko_pools(valid: DataFrame) -> DataFrame:
     active_day = F.dense_rank().over(Window.partitionBy("pool").orderBy("day")).alias("step")
-    stepped = valid.repartition(_tasks(valid), "pool").select("contest_id", "day", "a_id", "b_id", "a_win", active_day)
+    stepped = valid.repartition(_tasks(valid), "pool").select("contest_id", "day", "a_id", "b_id", "a_win", "pool", active_day)
     return stepped.sortWithinPartitions("step", "contest_id").mapInPandas(_glicko_fold, GLICKO_SCHEMA)
 
 
@@ -395,7 +401,7 @@ def glicko_by_period(valid: DataFrame) -> DataFrame:
     days = [r[0] for r in rows.select("day").distinct().orderBy("day").collect()]
     columns = [c.split()[0] for c in GLICKO_SCHEMA.split(", ")]
     state = materialize(spark.createDataFrame(
-        [], "entity_id long, r double, d double, s double, last long"), f"{base}/state")
+        [], "pool long, entity_id long, r double, d double, s double, last long"), f"{base}/state")
 
     @F.pandas_udf("r2 double, d2 double, s2 double")
     def after(r: pd.Series, d: pd.Series, s: pd.Series, inverse: pd.Series, gain: pd.Series) -> pd.DataFrame:
@@ -406,10 +412,10 @@ def glicko_by_period(valid: DataFrame) -> DataFrame:
         today = rows.where(F.col("day") == day)
         for side in ("a", "b"):
             idle = rates.glicko_idle_periods(F.lit(day) - F.col("last"))
-            own = state.select(F.col("entity_id").alias(f"{side}_id"), F.col("r").alias(f"{side}_r"),
+            own = state.select("pool", F.col("entity_id").alias(f"{side}_id"), F.col("r").alias(f"{side}_r"),
                                rates.glicko_inactivity(F.col("d"), F.col("s"), idle).alias(f"{side}_d"),
                                F.col("s").alias(f"{side}_s"))
-            today = today.join(own, f"{side}_id", "left")
+            today = today.join(own, ["pool", f"{side}_id"], "left")
             for c, start in (("r", rates.START_RATING), ("d", rates.START_DEVIATION), ("s", rates.START_VOLATILITY)):
                 today = today.withColumn(f"{side}_{c}", F.coalesce(f"{side}_{c}", F.lit(start)))
 
@@ -419,12 +425,12 @@ def glicko_by_period(valid: DataFrame) -> DataFrame:
                 F.col(f"{own}_d").alias("d"), F.col(f"{own}_s").alias("s"), F.col(f"{other}_r").alias("r_o"),
                 F.col(f"{other}_d").alias("d_o"), won.alias("won"))
 
-        sides = today.select(F.explode(F.array(
-            view(0, "a", "b", F.col("a_win")), view(1, "b", "a", 1 - F.col("a_win")))).alias("v")).select("v.*")
+        sides = today.select("pool", F.explode(F.array(
+            view(0, "a", "b", F.col("a_win")), view(1, "b", "a", 1 - F.col("a_win")))).alias("v")).select("pool", "v.*")
         phi_o = F.col("d_o") / rates.GLICKO_SCALE
         g = 1 / F.sqrt(1 + 3 * phi_o * phi_o / (np.pi ** 2))
         e = 1 / (1 + F.exp(-g * (F.col("r") - F.col("r_o")) / rates.GLICKO_SCALE))
-        sums = sides.groupBy("entity_id", "r", "d", "s").agg(
+        sums = sides.groupBy("pool", "entity_id", "r", "d", "s").agg(
             F.sum(g * g * e * (1 - e)).alias("inverse"), F.sum(g * (F.col("won") - e)).alias("gain"),
             F.count("*").alias("contests"), F.sum("won").alias("wins"))
         rated = sums.withColumn("u", after("r", "d", "s", "inverse", "gain"))
@@ -432,18 +438,18 @@ def glicko_by_period(valid: DataFrame) -> DataFrame:
             F.lit(0).alias("kind"), "contest_id", F.lit(day).alias("day"), F.col("a_id").alias("entity_id"),
             F.col("b_id").alias("opponent_id"), F.col("a_r").alias("rating"), F.col("a_d").alias("deviation"),
             F.col("a_s").alias("volatility"), F.col("b_r").alias("other_rating"), F.col("b_d").alias("other_deviation"),
-            F.col("b_s").alias("other_volatility"), F.lit(1).cast("long").alias("contests"), F.col("a_win").alias("wins"))
+            F.col("b_s").alias("other_volatility"), F.lit(1).cast("long").alias("contests"), F.col("a_win").alias("wins"), "pool")
         out_periods = rated.select(
             F.lit(1).alias("kind"), F.lit(0).cast("long").alias("contest_id"), F.lit(day).alias("day"), "entity_id",
             F.lit(0).cast("long").alias("opponent_id"), F.col("r").alias("rating"), F.col("d").alias("deviation"),
             F.col("s").alias("volatility"), F.col("u.r2").alias("other_rating"), F.col("u.d2").alias("other_deviation"),
-            F.col("u.s2").alias("other_volatility"), "contests", "wins")
+            F.col("u.s2").alias("other_volatility"), "contests", "wins", "pool")
         path = f"{base}/out/step={day}"
         out_contests.unionByName(out_periods).select(*columns).write.mode("overwrite").parquet(path)
         changed = spark.read.schema(GLICKO_SCHEMA).parquet(path).where("kind = 1").select(
-            "entity_id", F.col("other_rating").alias("r"), F.col("other_deviation").alias("d"),
+            "pool", "entity_id", F.col("other_rating").alias("r"), F.col("other_deviation").alias("d"),
             F.col("other_volatility").alias("s"), F.col("day").alias("last"))
-        state = materialize(state.join(changed.select("entity_id"), "entity_id", "left_anti").unionByName(changed),
+        state = materialize(state.join(changed.select("pool", "entity_id"), ["pool", "entity_id"], "left_anti").unionByName(changed),
                             f"{base}/state-{day}")
     return spark.read.schema(GLICKO_SCHEMA + ", step long").parquet(f"{base}/out").drop("step")
 

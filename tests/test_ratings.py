@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import reference_fold as fold
 from conftest import by_key, close
 from pyspark.sql import functions as F
@@ -44,17 +45,17 @@ def test_glicko_equals_a_sequential_fold(spark, contests):
     close(by_key(got, "day", "entity_id"), want, 1e-5)
 
 
-def one_pool(spark, days, contests=60):
+def one_pool(spark, days, contests=60, shared=False):
     rng = random.Random(11)
     rows = [(i, rng.randrange(days) * 86_400 + rng.randrange(4), "premium" if i % 3 else None, *rng.sample(range(1, 30), 2), rng.randint(0, 1), i % 2)
             for i in range(contests)]
-    # Pools 0 and 1 must not share entities.
-    rows = [(i, t, tier, a + 100 * p, b + 100 * p, w, p) for i, t, tier, a, b, w, p in rows]
+    rows = [(i, t, tier, a + 100 * p * (not shared), b + 100 * p * (not shared), w, p) for i, t, tier, a, b, w, p in rows]
     return spark.createDataFrame(rows, "contest_id long, ts long, tier string, a_id long, b_id long, a_win long, pool long")
 
 
-def test_wavefront_equals_the_fold(spark):
-    c = one_pool(spark, 6)
+@pytest.mark.parametrize("shared", [False, True])
+def test_wavefront_equals_the_fold(spark, shared):
+    c = one_pool(spark, 6, shared=shared)
     columns = ["contest_id", "a_rating", "b_rating", "a_games", "b_games", "a_expected", "a_after", "b_after"]
     folded = ratings.elo_history(c).select(*columns)
     waves = ratings.elo_history(c, pool_rows=1, block_seconds=2 * 86_400).select(*columns)
@@ -77,10 +78,40 @@ def test_member_wavefront_equals_the_fold(spark):
     assert all(abs(r["s"]) < 1e-6 for r in deltas)
 
 
-def test_period_rounds_equal_the_fold(spark):
-    c = one_pool(spark, 4, 40)
-    columns = ["kind", "contest_id", "day", "entity_id", "rating", "deviation", "volatility", "other_rating", "other_deviation", "contests", "wins"]
-    keys = ("kind", "contest_id", "day", "entity_id")
+def test_overlapping_sides_and_shared_members(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(4) * 1000, i % 2, rng.randint(0, 1), sorted(rng.sample(range(1, 8), 3)), sorted(rng.sample(range(4, 11), 3))) for i in range(24)]
+    d = spark.createDataFrame(rows, "contest_id long, ts long, pool long, a_win long, a_keys array<long>, b_keys array<long>")
+    columns = ["contest_id", "a_rating", "b_rating", "a_expected", "a_before", "b_before", "a_games", "b_games"]
+    folded = by_key(ratings.member_ratings(d).select(*columns), "contest_id")
+    waves = by_key(ratings.member_ratings(d, pool_rows=1).select(*columns), "contest_id")
+    rating, games = {}, {}
+    for i, _, pool, win, a, b in sorted(rows, key=lambda r: (r[1], r[0])):
+        before = [[rating.get((pool, m), 1500.0) for m in side] for side in (a, b)]
+        for got in (folded, waves):
+            assert np.allclose(got[i,]["a_before"], before[0]) and np.allclose(got[i,]["b_before"], before[1])
+            assert list(got[i,]["a_games"]) == [games.get((pool, m), 0) for m in a]
+        expected = 1 / (1 + 10 ** ((np.mean(before[1]) - np.mean(before[0])) / 400))
+        for side, delta in ((a, 24 * (win - expected)), (b, 24 * (expected - win))):
+            for m in side:
+                rating[pool, m] = rating.get((pool, m), 1500.0) + delta
+        for m in {*a, *b}:
+            games[pool, m] = games.get((pool, m), 0) + 1
+
+
+@pytest.mark.parametrize("shared, partitions", [(False, 4), (True, 1), (True, 3)])
+def test_period_rounds_equal_the_fold(spark, shared, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        compare_periods(one_pool(spark, 4, 40, shared))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def compare_periods(c):
+    columns = ["kind", "pool", "contest_id", "day", "entity_id", "rating", "deviation", "volatility", "other_rating", "other_deviation", "contests", "wins"]
+    keys = ("kind", "pool", "contest_id", "day", "entity_id")
     close(by_key(ratings.glicko_timeline(c).select(*columns), *keys), by_key(ratings.glicko_timeline(c, pool_rows=1).select(*columns), *keys), 1e-7)
 
 
