@@ -152,4 +152,4 @@ def sink_result(spark, d):
     path = run_dir(spark, "result")
     dims.write_result(rounded(st.table(spark, d, "orders").groupBy("o_orderpriority").agg(
         F.count("*").alias("orders"), F.sum("o_totalprice").alias("total")), 2), path, "json")
-    return spark.read.schema("o_orderpriority string, orders long, total double").json(path)
+    return dims.read_result(spark, path, "json", "o_orderpriority string, orders long, total double")

@@ -17,7 +17,7 @@ def canonical_ids(spark, d):
 
 
 def _member_dim(spark, d):
-    return st.table(spark, d, "customer").where("c_custkey % 9 <> 0").select(
+    return st.table(spark, d, "customer").select(
         (F.col("c_custkey") + 1).alias("member_id"), F.col("c_name").alias("handle"))
 
 
@@ -27,7 +27,7 @@ def _leagues(spark, d):
     return n.select(F.col("n_nationkey").cast("long").alias("league_id"), tier.alias("league_tier"), F.col("n_name").alias("league_name"))
 
 
-@query("q_member_training_view", f"""WITH {st.SQL_MEMBERS}, dim AS (SELECT c_custkey + 1 AS member_id, c_name AS handle FROM customer WHERE c_custkey % 9 <> 0),
+@query("q_member_training_view", f"""WITH {st.SQL_MEMBERS}, dim AS (SELECT c_custkey + 1 AS member_id, c_name AS handle FROM customer),
 lg AS (SELECT n_nationkey AS league_id, CASE n_nationkey % 3 WHEN 0 THEN 'premium' WHEN 1 THEN 'amateur' END AS league_tier FROM nation)
 SELECT m.contest_id, m.slot, m.member_id, handle, coalesce(league_tier, 'professional') AS tier, entity_id,
   CASE WHEN side = 0 THEN c.b_id ELSE c.a_id END AS opponent_id, won, round(CASE WHEN m.duration > 0 THEN kills * 60.0 / m.duration END, 6) AS kills_per_min,
@@ -38,11 +38,11 @@ def member_training_view(spark, d):
     return rounded(v.select("contest_id", "slot", "member_id", "handle", "tier", "entity_id", "opponent_id", "won", "kills_per_min", "denies_per_min"))
 
 
-@query("q_enrich_dims", f"""WITH {st.SQL_CONTESTS}, dim AS (SELECT c_custkey + 1 AS a_id, c_name, c_mktsegment FROM customer WHERE c_custkey % 9 <> 0)
+@query("q_enrich_dims", f"""WITH {st.SQL_CONTESTS}, dim AS (SELECT c_custkey + 1 AS a_id, c_name, c_mktsegment FROM customer)
 SELECT contest_id, coalesce(c_name, 'unknown') AS c_name, coalesce(c_mktsegment, 'none') AS c_mktsegment, n_name AS league_name
 FROM contests LEFT JOIN dim USING (a_id) LEFT JOIN nation ON n_nationkey = league_id""")
 def enrich_dims(spark, d):
-    dim = st.table(spark, d, "customer").where("c_custkey % 9 <> 0").select((F.col("c_custkey") + 1).alias("a_id"), "c_name", "c_mktsegment")
+    dim = st.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("a_id"), "c_name", "c_mktsegment")
     out = roster.enrich_dims(st.contests(spark, d), [
         (dim, "a_id", {"c_name": F.lit("unknown"), "c_mktsegment": F.lit("none")}), (_leagues(spark, d), "league_id", {})])
     return out.select("contest_id", "c_name", "c_mktsegment", "league_name")
@@ -107,7 +107,7 @@ def latest_state_glicko(spark, d):
 
 
 REG = """reg AS (SELECT c_custkey AS reg_id, c_custkey % 40 + 1 AS entity_id, CASE WHEN c_custkey % 2 = 0 THEN upper(p_name) ELSE p_brand END AS name,
-  CASE WHEN c_custkey % 10 = 0 THEN c_custkey * 2 ELSE NULL END AS override_id FROM customer JOIN part ON p_partkey = c_custkey),
+  CASE WHEN c_custkey % 10 = 0 THEN c_custkey * 2 ELSE NULL END AS override_id FROM customer LEFT JOIN part ON p_partkey = c_custkey),
 cand AS (SELECT p_partkey AS member_id, p_name AS handle, p_brand AS alias, p_size AS entity_id, CAST(floor(p_retailprice) AS BIGINT) AS last_ts, p_partkey % 7 AS contests FROM part)"""
 KEY = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
@@ -119,7 +119,7 @@ o AS (SELECT reg_id, r.entity_id, name, member_id, 0 AS prio, 0 AS same, 0 AS la
 SELECT reg_id, entity_id, name, member_id FROM o QUALIFY row_number() OVER (PARTITION BY reg_id ORDER BY prio, same, last_ts, contests, member_id) = 1""")
 def resolve_names(spark, d):
     part = st.table(spark, d, "part")
-    reg = st.table(spark, d, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).select(
+    reg = st.table(spark, d, "customer").join(part, F.col("p_partkey") == F.col("c_custkey"), "left").select(
         F.col("c_custkey").alias("reg_id"), (F.col("c_custkey") % 40 + 1).alias("entity_id"),
         F.when(F.col("c_custkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_brand")).alias("name"),
         F.when(F.col("c_custkey") % 10 == 0, F.col("c_custkey") * 2).alias("override_id"))
@@ -153,8 +153,9 @@ def _rated(spark, d):
 
 
 @query("q_pairwise_probability", f"""WITH {st.SQL_VALID}, {RATED}, ask AS (SELECT a_id, b_id FROM valid UNION SELECT b_id, a_id FROM valid),
-p AS (SELECT a_id, b_id, 1 / (1 + exp(-(1 / sqrt(1 + 3 * (pow(x.deviation / 173.7178, 2) + pow(y.deviation / 173.7178, 2)) / (pi() * pi()))) * (x.rating - y.rating) / 173.7178)) AS p
-  FROM ask JOIN rated x ON x.entity_id = a_id JOIN rated y ON y.entity_id = b_id)
+p AS (SELECT a_id, b_id, 1 / (1 + exp(-(1 / sqrt(1 + 3 * (pow(xd / 173.7178, 2) + pow(yd / 173.7178, 2)) / (pi() * pi()))) * (xr - yr) / 173.7178)) AS p
+  FROM (SELECT ask.a_id, ask.b_id, coalesce(r.rating, 1500) AS xr, coalesce(r.deviation, 350) AS xd, coalesce(s.rating, 1500) AS yr, coalesce(s.deviation, 350) AS yd
+    FROM ask LEFT JOIN rated r ON r.entity_id = a_id LEFT JOIN rated s ON s.entity_id = b_id))
 SELECT a_id, b_id, round(p, 6) AS p, round(p * p * (3 - 2 * p), 6) AS bo3, round(p * p * p * (10 - 15 * p + 6 * p * p), 6) AS bo5 FROM p""")
 def pairwise_probability(spark, d):
     v = VALID(spark, d).select("a_id", "b_id")
@@ -172,7 +173,7 @@ BOTH = """both_sides AS (SELECT pool, series_id, lo AS entity_id, hi AS opponent
 @query("q_standings", f"""WITH {st.SQL_VALID}, {SERIES}, {BOTH}, {RATED}, own AS (SELECT pool, entity_id, sum(won) AS wins, sum(1 - won) AS losses FROM both_sides GROUP BY 1, 2),
 opp AS (SELECT b.entity_id, sum(o.wins) AS opponent_wins FROM both_sides b JOIN own o ON o.entity_id = b.opponent_id GROUP BY 1)
 SELECT pool, entity_id, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(opponent_wins AS BIGINT) AS opponent_wins,
-  row_number() OVER (PARTITION BY pool ORDER BY wins DESC, losses, opponent_wins DESC, rating DESC, entity_id) AS rank FROM own JOIN opp USING (entity_id) JOIN rated USING (entity_id)""")
+  row_number() OVER (PARTITION BY pool ORDER BY wins DESC, losses, opponent_wins DESC, coalesce(rating, 1500) DESC, entity_id) AS rank FROM own JOIN opp USING (entity_id) LEFT JOIN rated USING (entity_id)""")
 def standings(spark, d):
     s = sd.standings(sd.series_results(VALID(spark, d)), _rated(spark, d).select("entity_id", "rating"))
     return s.select("pool", "entity_id", "wins", "losses", "opponent_wins", "rank")
@@ -183,7 +184,7 @@ def standings(spark, d):
 e AS (SELECT series_id, pool, round, lo AS entity_id FROM x UNION ALL SELECT series_id, pool, round, hi FROM x)
 SELECT 'winner' AS rule, CAST(series_id AS VARCHAR) AS key FROM x WHERE status = 'complete' AND (winner IS NULL OR winner NOT IN (lo, hi))
 UNION ALL SELECT 'status', CAST(series_id AS VARCHAR) FROM x WHERE status NOT IN ('complete', 'live', 'scheduled')
-UNION ALL SELECT 'unknown_entity', CAST(entity_id AS VARCHAR) FROM e WHERE entity_id NOT IN (SELECT c_custkey + 1 FROM customer WHERE c_custkey % 50 <> 7)
+UNION ALL SELECT 'unknown_entity', CAST(entity_id AS VARCHAR) FROM e WHERE entity_id NOT IN (SELECT c_custkey + 1 FROM customer)
 UNION ALL SELECT 'twice_in_round', round || '-' || entity_id FROM e GROUP BY round, entity_id HAVING count(*) > 1
 UNION ALL SELECT 'relation', CAST(series_id AS VARCHAR) FROM x WHERE (round <= 3 AND lo % 2 <> hi % 2) OR (round = 4 AND lo % 2 = hi % 2)
 UNION ALL SELECT 'uneven_games', CAST(pool AS VARCHAR) FROM (SELECT pool, entity_id, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY pool HAVING min(n) <> max(n)""")
@@ -191,7 +192,7 @@ def series_checks(spark, d):
     s = sd.series_results(VALID(spark, d)).withColumn("round", F.col("series_id") % 5 + 1).withColumn(
         "winner", F.when(F.col("series_id") % 97 == 0, -1).otherwise(F.col("winner"))).withColumn(
         "status", F.when(F.col("series_id") % 101 == 0, "lost").otherwise(F.col("status")))
-    known = st.table(spark, d, "customer").where("c_custkey % 50 <> 7").select((F.col("c_custkey") + 1).alias("entity_id"))
+    known = st.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("entity_id"))
     return sd.series_checks(s, known, F.col("lo") % 2, F.col("hi") % 2)
 
 
@@ -203,11 +204,11 @@ def entity_record(spark, d):
     return sd.entity_record(sides, "league_id")
 
 
-@query("q_form_rating", f"""WITH {SL}, {RATED}, r AS (SELECT entity_id, any_value(rating) AS rating, sum(won) AS wins, sum(1 - won) AS losses FROM sl JOIN rated USING (entity_id) GROUP BY 1),
+@query("q_form_rating", f"""WITH {SL}, {RATED}, r AS (SELECT entity_id, coalesce(any_value(rating), 1500) AS rating, sum(won) AS wins, sum(1 - won) AS losses FROM sl LEFT JOIN rated USING (entity_id) GROUP BY 1),
 f AS (SELECT *, (SELECT avg(rating) FROM r) + 400 * log10((wins + 2.0) / (losses + 2.0)) AS form FROM r)
 SELECT entity_id, round(form, 6) AS form, round(0.6 * rating + 0.4 * form, 6) AS effective FROM f""")
 def form_rating(spark, d):
-    record = sd.entity_record(ch.side_long(VALID(spark, d))).join(_rated(spark, d), "entity_id")
+    record = sd.entity_record(ch.side_long(VALID(spark, d))).join(_rated(spark, d), "entity_id", "left").na.fill({"rating": 1500.0})
     return rounded(sd.form_rating(record).select("entity_id", "form", "effective"))
 
 
@@ -252,8 +253,8 @@ def merge_partials(spark, d):
 
 
 @query("q_coalesced_sort", f"""WITH {RATED}, r AS (SELECT entity_id, CASE WHEN entity_id % 3 = 0 THEN NULL ELSE rating END AS elo, CASE WHEN entity_id % 2 = 0 THEN NULL ELSE deviation END AS glicko FROM rated)
-SELECT entity_id, CAST(coalesce(elo, glicko, -1) AS DOUBLE) AS sort_rating FROM r ORDER BY sort_rating DESC, entity_id LIMIT 100""")
+SELECT entity_id, CAST(coalesce(elo, glicko, -1) AS DOUBLE) AS sort_rating FROM r ORDER BY sort_rating DESC, entity_id""")
 def coalesced_sort(spark, d):
     r = _rated(spark, d).select("entity_id", F.when(F.col("entity_id") % 3 != 0, F.col("rating")).alias("elo"),
                                 F.when(F.col("entity_id") % 2 != 0, F.col("deviation")).alias("glicko"))
-    return sd.coalesced_sort(r, "elo", "glicko", "entity_id", 100).select("entity_id", "sort_rating")
+    return sd.coalesced_sort(r, "elo", "glicko", "entity_id").select("entity_id", "sort_rating")

@@ -62,7 +62,7 @@ def paired_bootstrap_ci(spark, d):
 
 
 @query("q_promotion_gate", f"""WITH {st.SQL_PROBABILITIES}, d AS (SELECT doc_id, {LOSS.format('p2')} - ({LOSS.format('p1')}) AS d FROM probs),
-c AS (SELECT d, r AS replicate, {bits_sql("'2026'", 'r', 'doc_id')} / 4294967296e0 AS u FROM d, range(1, 501) t(r)),
+c AS (SELECT d, r AS replicate, {bits_sql("'2026'", 'r', 'doc_id')} / 4294967296e0 AS u FROM d, range(1, 2001) t(r)),
 w AS (SELECT replicate, d, {WEIGHT_SQL} AS w FROM c), m AS (SELECT replicate, sum(w * d) / sum(w) AS m FROM w WHERE w > 0 GROUP BY 1),
 x AS (SELECT avg({LOSS.format('p2')}) AS cl, avg({LOSS.format('p1')}) AS bl, avg((p2 - y) * (p2 - y)) AS cb, avg((p1 - y) * (p1 - y)) AS bb FROM probs),
 q AS (SELECT quantile_cont(m, 0.975) AS upper FROM m)
@@ -71,7 +71,7 @@ SELECT round(cl, 6) AS candidate_loss, round(bl, 6) AS baseline_loss, CASE WHEN
 def promotion_gate(spark, d):
     p = st.probabilities(spark, d)
     gate = evaluate.promotion_gate(evaluate.eval_probability(p, "y", "p2"), evaluate.eval_probability(p, "y", "p1"),
-                                   resample.paired_bootstrap_ci(p, "doc_id", "y", "p2", "p1", samples=500))
+                                   resample.paired_bootstrap_ci(p, "doc_id", "y", "p2", "p1"))
     return rounded(gate.select("candidate_loss", "baseline_loss", "provisional", "promoted"))
 
 

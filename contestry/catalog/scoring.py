@@ -122,7 +122,7 @@ ACTIVE = "CASE lower(suffix) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rul
 
 @query("q_expected_factor", f"""WITH {PROFILE}, t AS (SELECT member_id, 'p' || (member_id % 8) AS prefix, 6 + member_id % 5 AS prefix_bonus,
   CASE WHEN member_id % 9 = 0 THEN NULL ELSE {TITLES}[member_id % 8 + 1] END AS suffix, 9 + member_id % 16 AS suffix_bonus FROM prof0),
-pr AS (SELECT member_id, 'p' || (member_id % 8) AS prefix, 100.0 * mid_contests / contests AS prefix_rate FROM prof0 WHERE pool % 2 = 0)
+pr AS (SELECT member_id, 'p' || (member_id % 8) AS prefix, 100.0 * mid_contests / contests AS prefix_rate FROM prof0)
 SELECT member_id, round(coalesce(prefix_rate, 0), 9) AS prefix_rate,
   round(1 + coalesce(prefix_bonus / 100.0 * prefix_rate / 100.0, 0) + CASE WHEN suffix IS NULL THEN 0 ELSE suffix_bonus / 100.0 * {ACTIVE} END, 9) AS factor
 FROM t LEFT JOIN pr USING (member_id, prefix)""")
@@ -133,7 +133,7 @@ def expected_factor(spark, d):
     titled = p.select("member_id", prefix.alias("prefix"), (6 + F.col("member_id") % 5).alias("prefix_bonus"),
                       F.when(F.col("member_id") % 9 != 0, F.element_at(names, (F.col("member_id") % 8 + 1).cast("int"))).alias("suffix"),
                       (9 + F.col("member_id") % 16).alias("suffix_bonus"))
-    prefix_rates = p.where("pool % 2 = 0").select(
+    prefix_rates = p.select(
         "member_id", prefix.alias("prefix"), (100.0 * F.col("mid_contests") / F.col("contests")).alias("prefix_rate"))
     return rounded(sc.expected_factor(titled, prefix_rates).select("member_id", "prefix_rate", "factor"), 9)
 
@@ -174,10 +174,12 @@ SELECT contest_id, raw_slot, role, slot, action, CAST(CASE action WHEN 'REROLL S
    WHEN 'REROLL TRAIT' THEN 42 ELSE 10 END AS BIGINT) AS priority,
   round(CASE action WHEN 'REROLL STAT' THEN floor((0.86e0 - fit) * greatest(30, multiplier - 100) * 10 + 0.5e0) / 10
    WHEN 'RAISE QUALITY' THEN floor((CASE WHEN tier IS NOT NULL THEN greatest(0, 60 - [10, 30, 60, 100, 150][tier]) ELSE greatest(0, 180 - multiplier) END) * fit * 10 + 0.5e0) / 10
-   WHEN 'REROLL TRAIT' THEN floor((0.72e0 - tf) * greatest(20, multiplier - 100) * 10 + 0.5e0) / 10 ELSE 0 END, 6) AS expected_uplift FROM a""")
+   WHEN 'REROLL TRAIT' THEN floor((0.72e0 - tf) * greatest(20, multiplier - 100) * 10 + 0.5e0) / 10 ELSE 0 END, 6) AS expected_uplift,
+  row_number() OVER (PARTITION BY contest_id ORDER BY priority DESC, expected_uplift DESC, raw_slot) AS rank FROM a""")
 def advice_cascade(spark, d):
-    return rounded(sc.advice(_emblems(spark, d), 5).select(
+    advised = rounded(sc.advice(_emblems(spark, d), 5).select(
         "contest_id", "raw_slot", "role", "slot", "action", "priority", "expected_uplift"))
+    return sc.ranked_advice(advised, ["contest_id"], "raw_slot")
 
 
 @query("q_pool_percentile", f"""WITH {PROFILE}, v AS (SELECT member_id, role, CASE WHEN member_id % 13 <> 0 THEN gold_per_min END AS gpm,
@@ -215,14 +217,13 @@ def blend_fit(spark, d):
     scaled = sc.pool_minmax(long, ["role", "metric"], "value")
     ranked = sc.pool_percentile(scaled, ["role", "metric"], "value").withColumn(
         "percentile", F.when(F.col("metric") == "Deaths", 1 - F.col("percentile")).otherwise(F.col("percentile")))
-    fits = ranked.groupBy("member_id", "role").agg(F.avg(0.7 * F.col("scaled") + 0.3 * F.col("percentile")).alias("v"))
-    return fits.select("member_id", "role", rules.js_round(F.round(F.col("v") * 100, 6)).cast("long").alias("fit"))
+    return sc.blend_fit(ranked, ["member_id", "role"])
 
 
-@query("q_role_leaders", f"""WITH {PROFILE}, s AS (SELECT member_id, role, round({FLAT} * 2, 6) AS projected FROM prof WHERE member_id % 10 <> 0)
+@query("q_role_leaders", f"""WITH {PROFILE}, s AS (SELECT member_id, role, round({FLAT} * 2, 6) AS projected FROM prof)
 SELECT member_id, role, projected, row_number() OVER (PARTITION BY role ORDER BY projected DESC, member_id) AS rank FROM s QUALIFY rank <= 10""")
 def role_leaders(spark, d):
-    p = sc.flat_points(profile(spark, d).where("member_id % 10 <> 0"), "group")
+    p = sc.flat_points(profile(spark, d), "group")
     scored = p.select("member_id", "role", F.round(F.col("per_game") * 2, 6).alias("projected"))
     return sc.role_leaders(scored, "projected", "member_id", 10)
 
@@ -240,12 +241,12 @@ def metric_board(spark, d):
     return rounded(sc.metric_board(sc.unpivot_stats(profile(spark, d), ["member_id", "role"]), "member_id"))
 
 
-@query("q_quantile_summary", f"""WITH {MC} SELECT pool, round(avg(stuns), 6) AS mean, round(quantile_cont(stuns, 0.1), 6) AS p10, round(quantile_cont(stuns, 0.5), 6) AS p50,
-  round(quantile_cont(stuns, 0.9), 6) AS p90, round(quantile_cont(stuns, 0.95), 6) AS p95 FROM mc GROUP BY pool""")
+@query("q_quantile_summary", f"""WITH {MC} SELECT pool, round(avg(stuns), 9) AS mean, round(quantile_cont(stuns, 0.1), 9) AS p10, round(quantile_cont(stuns, 0.5), 9) AS p50,
+  round(quantile_cont(stuns, 0.9), 9) AS p90, round(quantile_cont(stuns, 0.95), 9) AS p95 FROM mc GROUP BY pool""")
 def quantile_summary(spark, d):
     rows = member_rows(spark, d)
     q = hot.exact_quantiles(rows, ["pool"], "stuns", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p95": 0.95})
-    return rounded(rows.groupBy("pool").agg(F.avg("stuns").alias("mean")).join(q, "pool"))
+    return rounded(rows.groupBy("pool").agg(F.avg("stuns").alias("mean")).join(q, "pool"), 9)
 
 
 GROUPS = """pools AS (SELECT DISTINCT CAST(FLOOR(c_custkey / 10) AS BIGINT) AS pool FROM customer),

@@ -20,7 +20,7 @@ def stream_upsert(spark, d):
     landing = jobs.fresh_base(spark, "versions")
     records = _versions(spark, d)
     for n, part in enumerate((records.where("version = 2"), records.where("version = 1"), records.where("version = 3"), records.where("version = 2"))):
-        part.coalesce(1).write.mode("append").parquet(f"{landing}")
+        part.write.mode("append").parquet(f"{landing}")
     stream = jobs.read_landed(spark, landing, files_per_batch=2)
     out = jobs.upsert_contests(stream, jobs.fresh_base(spark, "upsert"))
     return out.select("contest_id", "ts", "league_id", "series_id", "duration", "a_win", "detailed", "payload")

@@ -62,14 +62,18 @@ READING_LINE = ("CASE xp_per_min % 6 WHEN 0 THEN 'Kills ' || CAST(100 + gold_per
                 "ELSE 'Friendly Unique ' || CAST(gold_per_min AS VARCHAR(9)) END AS line")
 
 
+FRONTS = "list_transform(string_split_regex(line, '{0}')[:-2], lambda x: regexp_replace(string_split(rtrim(x), ' ')[-1], '[^0-9]', '', 'g'))"
+
+
 @query("q_extract_measures", f"""WITH {st.SQL_MEMBERS}, t AS (SELECT contest_id, slot, {READING_LINE} FROM members),
-m AS (SELECT *, TRY_CAST(regexp_extract(line, '(?:^|\\s)([1-3]?\\d{{2}})(?:[09])?\\s*(?:%|[Yy][oO0])(?:\\s|$|[,.;])', 1) AS INT) AS p1,
-  regexp_replace(regexp_extract(line, '(?:^|\\s)(\\d[\\d.,]{{1,6}})\\s*%', 1), '\\D', '', 'g') AS noisy, regexp_extract(line, '\\+?\\s*(10|30|60|100|150)\\s*%', 1) AS bonus,
-  lower(regexp_extract(regexp_replace(line, '[1|!\\]]', 'I', 'g'), '(?i)tier\\s*(iv|v|iii|ii|i|[1-5])', 1)) AS num, regexp_replace(lower(line), '[^a-z0-9]', '', 'g') AS key FROM t)
-SELECT contest_id, slot, CASE WHEN p1 BETWEEN 100 AND 350 THEN p1 WHEN TRY_CAST(noisy AS INT) BETWEEN 100 AND 350 THEN TRY_CAST(noisy AS INT)
-   WHEN regexp_matches(noisy, '[09]$') AND TRY_CAST(left(noisy, length(noisy) - 1) AS INT) BETWEEN 100 AND 350 THEN TRY_CAST(left(noisy, length(noisy) - 1) AS INT) END AS percent,
-  CASE WHEN regexp_matches(line, '(?i)tier') THEN CASE WHEN bonus <> '' THEN CASE bonus WHEN '10' THEN 1 WHEN '30' THEN 2 WHEN '60' THEN 3 WHEN '100' THEN 4 ELSE 5 END
-    ELSE CASE num WHEN 'i' THEN 1 WHEN 'ii' THEN 2 WHEN 'iii' THEN 3 WHEN 'iv' THEN 4 WHEN 'v' THEN 5 WHEN '' THEN NULL ELSE TRY_CAST(num AS INT) END END END AS tier,
+m AS (SELECT *, list_filter(list_transform(list_transform({FRONTS.format(tx.PERCENT_MARK)}, lambda x: TRY_CAST(x AS BIGINT)), lambda n: CASE WHEN n BETWEEN 100 AND 350 THEN n
+    WHEN n % 10 IN (0, 9) AND n // 10 BETWEEN 100 AND 350 THEN n // 10 END), lambda n: n IS NOT NULL)[1] AS percent,
+  coalesce({FRONTS.format('%')}[1], '') AS bonus, ltrim(lower(substring(translate(line, '1|!]', 'IIII'), strpos(lower(line), 'tier') + 4))) AS behind,
+  regexp_replace(lower(line), '[^a-z0-9]', '', 'g') AS key FROM t)
+SELECT contest_id, slot, percent, CASE WHEN contains(lower(line), 'tier') THEN
+    CASE WHEN bonus LIKE '%100' THEN 4 WHEN bonus LIKE '%150' THEN 5 WHEN bonus LIKE '%10' THEN 1 WHEN bonus LIKE '%30' THEN 2 WHEN bonus LIKE '%60' THEN 3
+      WHEN starts_with(behind, 'iii') THEN 3 WHEN starts_with(behind, 'ii') THEN 2 WHEN starts_with(behind, 'iv') THEN 4 WHEN starts_with(behind, 'i') THEN 1
+      WHEN starts_with(behind, 'v') THEN 5 ELSE TRY_CAST(regexp_extract(behind, '^[1-5]') AS INT) END END AS tier,
   CASE WHEN contains(key, 'fractal') THEN 'Fractal' WHEN contains(key, 'friendly') THEN 'Friendly' WHEN contains(key, 'vampiric') THEN 'Vampiric'
     WHEN contains(key, 'unique') THEN 'Unique' WHEN contains(key, 'benevolent') THEN 'Benevolent' END AS trait FROM m""")
 def extract_measures(spark, d):
@@ -77,12 +81,12 @@ def extract_measures(spark, d):
     return match.extract_measures(rows).select("contest_id", "slot", "percent", "tier", "trait")
 
 
-READINGS = ("series_id AS source_id", "CAST(kills % 3 AS BIGINT) AS metric", "100 + gold_per_min % 60 AS multiplier", "slot * 10000000 + contest_id AS slot",
+READINGS = ("coalesce(series_id, -1 - contest_id) AS source_id", "CAST(kills % 3 AS BIGINT) AS metric", "100 + gold_per_min % 60 AS multiplier", "slot * 10000000 + contest_id AS slot",
             "(xp_per_min % 90) / 100.0E0 AS confidence", "CASE WHEN kills % 4 = 0 THEN NULL ELSE 1 + kills % 5 END AS tier",
             "CASE WHEN deaths % 3 = 0 THEN NULL ELSE deaths END AS trait", "CASE WHEN assists % 2 = 0 THEN NULL ELSE assists * 5 END AS trait_bonus")
 
 
-@query("q_dedupe_readings", f"""WITH {st.SQL_MEMBERS}, r AS (SELECT {', '.join(READINGS)} FROM members WHERE series_id IS NOT NULL),
+@query("q_dedupe_readings", f"""WITH {st.SQL_MEMBERS}, r AS (SELECT {', '.join(READINGS)} FROM members),
 o AS (SELECT *, (CASE WHEN tier IS NULL THEN 0 ELSE 1 END) + (CASE WHEN trait IS NULL THEN 0 ELSE 1 END) + (CASE WHEN trait_bonus IS NULL THEN 0 ELSE 1 END) AS detail,
   CASE WHEN multiplier - lag(multiplier) OVER (PARTITION BY source_id, metric ORDER BY multiplier, slot) > 5 THEN 1 ELSE 0 END AS st FROM r),
 g AS (SELECT *, sum(st) OVER (PARTITION BY source_id, metric ORDER BY multiplier, slot ROWS UNBOUNDED PRECEDING) AS run FROM o)
@@ -91,7 +95,7 @@ SELECT source_id, metric, arg_max(multiplier, (confidence, detail, -slot)) AS mu
   arg_max(trait_bonus, (confidence, detail, -slot)) FILTER (WHERE trait_bonus IS NOT NULL) AS trait_bonus, max(confidence) AS confidence, count(*) AS readings
 FROM g GROUP BY source_id, metric, run""")
 def dedupe_readings(spark, d):
-    rows = st.members(spark, d).where("series_id IS NOT NULL").selectExpr(*READINGS)
+    rows = st.members(spark, d).selectExpr(*READINGS)
     return match.dedupe_readings(rows, ["source_id", "metric"])
 
 

@@ -72,6 +72,29 @@ SIGNAL_WEIGHTS = {
 # Quality bonus in percent by tier 0 to 5.
 TIER_BONUS = [0, 10, 30, 60, 100, 150]
 LUCKY_FACTOR = 1.21
+# Worth of a trait; the first condition that holds counts.
+TRAIT_SCORES = [
+    ("trait IS NULL", 0.45), ("trait_bonus >= 40", 0.92), ("trait_bonus > 0", 0.74), ("trait_bonus < 0", 0.12),
+    ("trait = 'Friendly' AND trait_bonus = 0", 0.34), ("trait = 'Friendly' AND role = 'Core'", 0.46), ("trait = 'Friendly'", 0.82),
+    ("trait = 'Vampiric' AND slot IN (1, stage_slots)", 0.9), ("trait = 'Vampiric'", 0.58),
+    ("trait = 'Benevolent' AND slot = ceil(stage_slots / 2)", 0.86), ("trait = 'Benevolent'", 0.5), ("trait = 'Unique'", 0.42),
+    ("true", 0.3),
+]
+# Advice; the first condition that holds counts. Action, priority, uplift before rounding to a tenth.
+ADVICE = [
+    ("fit < 0.55", "REROLL STAT", "90 + floor((0.55D - fit) * 10 + 0.5D)", "(0.86D - fit) * greatest(30.0D, multiplier - 100)"),
+    ("(tier IS NULL AND quality < 0.25) OR tier <= 2", "RAISE QUALITY", "65", "gap * fit"),
+    ("trait_fit < 0.48", "REROLL TRAIT", "42", "(0.72D - trait_fit) * greatest(20.0D, multiplier - 100)"),
+    ("true", "KEEP", "10", "0.0D"),
+]
+
+
+def first_fitting(cases: list[tuple[str, Column]]) -> Column:
+    """Value of the first case whose SQL condition holds."""
+    out = F.lit(None)
+    for condition, value in reversed(cases):
+        out = F.when(F.expr(condition), value).otherwise(out)
+    return out
 
 
 def rule_points(metric: str, value: Column) -> Column:

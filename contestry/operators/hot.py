@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from contestry.session import materialize, run_dir
+
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 20_000
 
@@ -114,18 +116,18 @@ def global_index(df: DataFrame, order: list[str], name: str = "idx", bucket_widt
     )
 
 
-def cumulative_counts(df: DataFrame, group: list[str], value: str, buckets: int = 4096) -> DataFrame:
+def cumulative_counts(df: DataFrame, group: list[str], value: str, buckets: int = 256) -> DataFrame:
     """Distinct (group, value) with ``n`` rows, ``n_lt`` below, ``n_le`` at or below and ``n_all``.
 
-    Equal values collapse before the shuffle. The order within a group is built from ``buckets``
-    value ranges per group, so a group with most of the rows is sorted by many tasks.
+    Equal values collapse first and are written, so the input is read once. The order within a group is
+    built from ``buckets`` ranges that hold about as many distinct values each, wherever these lie: a group
+    with most of the rows is sorted by many tasks. Where the ranges are cut does not change the result.
     """
     base = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
-    span = base.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("n_all"))
-    placed = base.join(span, group).withColumn(
-        "_b", F.when(F.col("_hi") > F.col("_lo"),
-                     F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets).cast("int"))
-        .otherwise(F.lit(0)))
+    base = materialize(base, run_dir(df.sparkSession, "counts"))
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(20 * buckets))
+    span = base.groupBy(*group).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("n").alias("n_all"))
+    placed = base.join(span, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*group, "_b").agg(F.sum("n").alias("_t")).select(
         *group, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_c"))

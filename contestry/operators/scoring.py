@@ -89,43 +89,27 @@ def expected_factor(titled: DataFrame, prefix_rates: DataFrame) -> DataFrame:
     return j.select(*titled.columns, F.coalesce("prefix_rate", F.lit(0.0)).alias("prefix_rate"), (1 + prefix + suffix).alias("factor"))
 
 
-def trait_score(stage_slots: Column) -> Column:
-    bonus, trait, slot = F.col("trait_bonus"), F.col("trait"), F.col("slot")
-    return (
-        F.when(trait.isNull(), 0.45)
-        .when(bonus >= 40, 0.92).when(bonus > 0, 0.74).when(bonus < 0, 0.12)
-        .when((trait == "Friendly") & (bonus == 0), 0.34)
-        .when((trait == "Friendly") & (F.col("role") == "Core"), 0.46).when(trait == "Friendly", 0.82)
-        .when(trait == "Vampiric", F.when((slot == 1) | (slot == stage_slots), 0.9).otherwise(0.58))
-        .when(trait == "Benevolent", F.when(slot == F.ceil(stage_slots / 2), 0.86).otherwise(0.5))
-        .when(trait == "Unique", 0.42).otherwise(0.3)
-    )
-
-
 def advice(emblems: DataFrame, stage_slots: int) -> DataFrame:
-    """First matching rule per emblem: stat, then quality, then trait, else keep."""
+    """The rule of ``rules.ADVICE`` that applies to every emblem."""
     p = F.broadcast(rules.priority_table(emblems.sparkSession))  # forty-two rows
-    j = emblems.join(p, ["role", "color", "metric"], "left")
-    fit = F.when(F.col("place").isNull(), 0.2).otherwise(1 - F.col("place") / F.col("size") * 0.72)
-    j = j.withColumn("fit", fit).withColumn("trait_fit", trait_score(F.lit(stage_slots))).withColumn(
-        "quality", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("multiplier") - 100) / 200.0)))
-    weak_stat = F.col("fit") < 0.55
-    low_quality = (F.col("tier").isNull() & (F.col("quality") < 0.25)) | (F.col("tier") <= 2)
-    weak_trait = F.col("trait_fit") < 0.48
     bonus = F.element_at(F.array(*[F.lit(float(b)) for b in rules.TIER_BONUS]), (F.coalesce("tier", F.lit(0)) + 1).cast("int"))
-    gap = F.when(F.col("tier").isNotNull(), F.greatest(F.lit(0.0), 60.0 - bonus)).otherwise(
-        F.greatest(F.lit(0.0), 180.0 - F.col("multiplier")))
-    over = F.col("multiplier") - 100
-    uplift = (
-        F.when(weak_stat, rules.js_round((0.86 - F.col("fit")) * F.greatest(F.lit(30.0), over), 1))
-        .when(low_quality, rules.js_round(gap * F.col("fit"), 1))
-        .when(weak_trait, rules.js_round((0.72 - F.col("trait_fit")) * F.greatest(F.lit(20.0), over), 1))
-        .otherwise(0.0))
-    return j.select(
-        *[c for c in emblems.columns],
-        F.when(weak_stat, "REROLL STAT").when(low_quality, "RAISE QUALITY").when(weak_trait, "REROLL TRAIT").otherwise("KEEP").alias("action"),
-        F.when(weak_stat, 90 + rules.js_round((0.55 - F.col("fit")) * 10)).when(low_quality, 65).when(weak_trait, 42).otherwise(10).cast("long").alias("priority"),
-        uplift.alias("expected_uplift"))
+    aim = F.when(F.col("tier").isNotNull(), 60.0 - bonus).otherwise(180.0 - F.col("multiplier"))
+    j = emblems.join(p, ["role", "color", "metric"], "left").withColumns({
+        "stage_slots": F.lit(stage_slots),
+        "fit": F.coalesce(1 - F.col("place") / F.col("size") * 0.72, F.lit(0.2)),
+        "quality": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("multiplier") - 100) / 200.0)),
+        "gap": F.greatest(F.lit(0.0), aim)})
+    j = j.withColumn("trait_fit", rules.first_fitting([(c, F.lit(v)) for c, v in rules.TRAIT_SCORES]))
+    action = rules.first_fitting([(c, F.lit(a)) for c, a, _, _ in rules.ADVICE])
+    priority = rules.first_fitting([(c, F.expr(v)) for c, _, v, _ in rules.ADVICE]).cast("long")
+    uplift = rules.js_round(rules.first_fitting([(c, F.expr(v)) for c, _, _, v in rules.ADVICE]), 1)
+    return j.select(*emblems.columns, action.alias("action"), priority.alias("priority"), uplift.alias("expected_uplift"))
+
+
+def ranked_advice(advised: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """Add ``rank`` within ``keys``: highest priority first, then highest uplift, then ``tie``."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("priority"), F.desc("expected_uplift"), tie)
+    return advised.withColumn("rank", F.row_number().over(w))
 
 
 # --- groups of members -------------------------------------------------------------------------
@@ -214,9 +198,12 @@ def pool_minmax(long: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def blend_fit(fits: DataFrame, keys: list[str]) -> DataFrame:
-    """0.7 guide + 0.3 pool percentile averaged over a member's metrics, in percent."""
-    return fits.groupBy(*keys).agg(
-        rules.js_round(F.avg(0.7 * F.col("scaled") + 0.3 * F.col("percentile")) * 100).alias("fit"))
+    """0.7 guide + 0.3 pool percentile averaged over a member's metrics, in whole percent.
+
+    The average is cut to six places first, so that the order of summation cannot move a half.
+    """
+    share = F.avg(0.7 * F.col("scaled") + 0.3 * F.col("percentile"))
+    return fits.groupBy(*keys).agg(rules.js_round(F.round(share * 100, 6)).cast("long").alias("fit"))
 
 
 def per_group_top_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

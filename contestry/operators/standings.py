@@ -26,7 +26,10 @@ def _both(series: DataFrame, *keep: str) -> DataFrame:
 
 
 def standings(series: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Wins, losses and opponents' wins per entity; rank by wins, losses, opponents' wins, rating."""
+    """Wins, losses and opponents' wins per entity; rank by wins, losses, opponents' wins, rating.
+
+    Entities without a rating have the start rating.
+    """
     sides = _both(series.where("status = 'complete'"), "pool")
     own = sides.groupBy("pool", "entity_id").agg(F.sum("won").alias("wins"), F.sum(1 - F.col("won")).alias("losses"))
     met = sides.groupBy("pool", "entity_id", "opponent_id").agg(F.count("*").alias("times"))
@@ -35,7 +38,9 @@ def standings(series: DataFrame, ratings: DataFrame) -> DataFrame:
         F.sum(F.col("_w") * F.col("times")).alias("opponent_wins"))
     # One row per entity of an event pool: the rank orders a league table, not the contests.
     w = Window.partitionBy("pool").orderBy(F.desc("wins"), "losses", F.desc("opponent_wins"), F.desc("rating"), "entity_id")
-    return own.join(strength, ["pool", "entity_id"]).join(ratings, "entity_id").withColumn("rank", F.row_number().over(w))
+    rated = own.join(strength, ["pool", "entity_id"]).join(ratings, "entity_id", "left").withColumn(
+        "rating", F.coalesce("rating", F.lit(rates.START_RATING)))
+    return rated.withColumn("rank", F.row_number().over(w))
 
 
 def series_checks(series: DataFrame, entities: DataFrame, group: Column, opponent_group: Column) -> DataFrame:
@@ -81,10 +86,14 @@ def form_rating(records: DataFrame, season_weight: float = 0.6) -> DataFrame:
 
 
 def pairwise_probability(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Contest, best-of-three and best-of-five chances for the ordered pairs asked for."""
+    """Contest, best-of-three and best-of-five chances for the ordered pairs asked for.
+
+    Entities without a rating have the start rating and deviation.
+    """
     def side(s):
         return ratings.select(F.col("entity_id").alias(f"{s}_id"), F.col("rating").alias(f"{s}_r"), F.col("deviation").alias(f"{s}_d"))
-    j = pairs.where(F.col("a_id") != F.col("b_id")).join(side("a"), "a_id").join(side("b"), "b_id")
+    j = pairs.where(F.col("a_id") != F.col("b_id")).join(side("a"), "a_id", "left").join(side("b"), "b_id", "left").na.fill(
+        {"a_r": rates.START_RATING, "b_r": rates.START_RATING, "a_d": rates.START_DEVIATION, "b_d": rates.START_DEVIATION})
     p = rates.glicko_expected(F.col("a_r"), F.col("b_r"), F.col("a_d"), F.col("b_d"))
     return j.select("a_id", "b_id", p.alias("p")).select(
         "a_id", "b_id", "p", rates.series_probability(F.col("p"), 3).alias("bo3"), rates.series_probability(F.col("p"), 5).alias("bo5"))

@@ -51,7 +51,7 @@ def parse(payloads: DataFrame) -> DataFrame:
 
 def players(docs: DataFrame) -> DataFrame:
     return docs.select("contest_id", F.explode("players").alias("p")).select(
-        "contest_id", F.when(F.col("p.player_slot") >= SIDE_B_SLOT, 1).otherwise(0).cast("long").alias("side"), "p.*")
+        "contest_id", F.when(F.col("p.player_slot") % (2 * SIDE_B_SLOT) >= SIDE_B_SLOT, 1).otherwise(0).cast("long").alias("side"), "p.*")
 
 
 def picks_bans(docs: DataFrame) -> DataFrame:

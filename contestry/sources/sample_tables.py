@@ -8,7 +8,7 @@ oracle engine both understand; only day arithmetic differs (``{days}``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SPARK_DAYS = "CAST(datediff(CAST({0} AS DATE), DATE '1970-01-01') AS BIGINT)"
 DUCK_DAYS = "date_diff('day', DATE '1970-01-01', CAST({0} AS DATE))"
@@ -42,7 +42,7 @@ CONTEST_COLUMNS = [
 LINE_COLUMNS = [
     "l_orderkey AS contest_id",
     "CAST((l_linenumber + 1) % 2 AS BIGINT) AS side",
-    "CAST(CASE WHEN l_linenumber % 2 = 1 THEN FLOOR(l_linenumber / 2) ELSE 127 + l_linenumber / 2 END AS BIGINT) AS slot",
+    "CAST(CASE WHEN l_linenumber % 2 = 1 THEN FLOOR(l_linenumber / 2) ELSE 127 + l_linenumber / 2 END AS BIGINT) + 256 * ord AS slot",
     "l_suppkey % 5 + 5 * ((l_linenumber + 1) % 2) + 1 AS seat",
     "l_partkey % 40 + 1 AS item_id",
     "CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS BIGINT) AS is_pick",
@@ -87,20 +87,16 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contests_from_orders(table(spark, sf_dir, "orders"))
 
 
+LINE_ORDER = ["l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number); re-sent line numbers keep their greatest version.
+    """Every order line, keyed by (contest_id, slot): repeats of a line number are told apart by an ordinal.
 
-    The key bounds a contest to its handful of slots whatever the number of raw lines, and
-    the partial aggregate collapses a hot order before anything is shuffled.
+    Only lines that are equal in every column can swap ordinals, so the result does not depend on the reading.
     """
-    version = F.struct("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity",
-                       "l_discount", "l_tax", "l_returnflag")
-    kept = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber").agg(F.max(version).alias("v"))
-        .select("l_orderkey", "l_linenumber", "v.*")
-    )
-    return kept.selectExpr(*LINE_COLUMNS)
+    again = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.desc(c) for c in LINE_ORDER])
+    return table(spark, sf_dir, "lineitem").withColumn("ord", (F.row_number().over(again) - 1).cast("long")).selectExpr(*LINE_COLUMNS)
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +160,8 @@ SQL_CONTESTS = (
 )
 SQL_VALID = SQL_CONTESTS + ",\nvalid AS (SELECT * FROM contests WHERE a_id > 0 AND b_id > 0 AND a_id <> b_id)"
 SQL_MEMBERS = (
-    SQL_CONTESTS + ",\nl0 AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
-    "ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, "
-    "l_discount DESC, l_tax DESC, l_returnflag DESC) = 1),\n"
+    SQL_CONTESTS + ",\nl0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY "
+    + ", ".join(f"{c} DESC" for c in LINE_ORDER) + ") - 1 AS ord FROM lineitem),\n"
     "lines AS (" + _duck(LINE_COLUMNS, "l0") + "),\n"
     "members AS (" + _duck(MEMBER_COLUMNS, "lines JOIN contests USING (contest_id)") + ")"
 )
