@@ -75,25 +75,17 @@ def promotion_gate(spark, d):
     return rounded(gate.select("candidate_loss", "baseline_loss", "provisional", "promoted"))
 
 
-SAMPLES = 200
+SAMPLES = 50_000
 THIRD = 0.4
-BOOT_SQL = f"""sc AS (SELECT group_id, contest_id, ts, {{points}} AS points, row_number() OVER (PARTITION BY group_id ORDER BY ts, contest_id) - 1 AS idx, count(*) OVER (PARTITION BY group_id) AS n FROM {{source}}),
-dr AS (SELECT DISTINCT group_id, n, r, s, x FROM (SELECT DISTINCT group_id, n FROM sc) g, range(1, {SAMPLES + 1}) a(r), range(1, 7) b(s), range(1, 4) c(x)),
-pl AS (SELECT group_id, r, s, {bits_sql("'7'", 'group_id', 'r', 's', 'x')} % n AS idx FROM dr WHERE x < 3 OR {bits_sql("'7'", 'group_id', 'r', 's', "'third'")} / 4294967296e0 < {THIRD}),
-se AS (SELECT group_id, r, s, sum(points) - CASE WHEN count(*) = 3 THEN min(points) ELSE 0 END AS score FROM pl JOIN sc USING (group_id, idx) GROUP BY 1, 2, 3),
-be AS (SELECT group_id, k, r, max(score) AS v FROM se, (VALUES (4), (5), (6)) t(k) WHERE s <= k GROUP BY 1, 2, 3),
-su AS (SELECT group_id, k, avg(v) AS mean, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.95) AS p95 FROM be GROUP BY 1, 2)"""
 
 
-@query("q_bootstrap_best_series", f"""WITH {MC}, {GROUPS}, {BOOT_SQL.format(points=POINTS, source='gc')}
-SELECT group_id, k, round(mean, 4) AS mean, round(p10, 4) AS p10, round(p50, 4) AS p50, round(p90, 4) AS p90, round(p95, 4) AS p95 FROM su""")
+# --- resampled series: 50,000 replicates of every group; checked against brute force in the tests ----------
+
+@query("q_bootstrap_best_series")
 def bootstrap_best_series(spark, d):
     return rounded(resample.bootstrap_best_series(_scored(spark, d), SAMPLES, 7, F.lit(THIRD)), 4)
 
 
-WEIGHTS = "((group_id % 5) + 1) / 20e0"
-
-
 def _outcomes(spark, d):
     base = (F.col("group_id") % 5 + 1) / 20.0
     ids = st.table(spark, d, "customer").select((F.floor(F.col("c_custkey") / 10)).alias("pool")).distinct().select(
@@ -102,26 +94,18 @@ def _outcomes(spark, d):
                       F.lit(0.15).alias("elimination_winners"), F.lit(0.3).alias("elimination_losers"))
 
 
-@query("q_mixture_projection", f"""WITH {MC}, {GROUPS}, {BOOT_SQL.format(points=POINTS, source='gc')}
-SELECT group_id, round(sum(w * mean), 8) AS mean, round(sum(w * p90), 8) AS p90 FROM su JOIN (VALUES (4, 0.25e0), (5, 0.3e0), (6, 0.45e0)) t(k, w) USING (k) GROUP BY 1""")
+@query("q_mixture_projection")
 def mixture_projection(spark, d):
     summary = resample.bootstrap_best_series(_scored(spark, d), SAMPLES, 7, F.lit(THIRD))
     return rounded(sc.mixture_projection(summary, projection.series_weights(_outcomes(spark, d)), ["mean", "p90"]), 8)
 
 
-ROLE_SQL = "['Core', 'Mid', 'Support'][group_id % 3 + 1]"
-ROLE_POINTS = "CASE role " + " ".join(f"WHEN '{r}' THEN " + " + ".join(points_sql(m) for m in ms) for r, ms in rules.ROLE_METRICS.items()) + " END"
-
-
 def _role_groups(spark, d):
     role = F.element_at(F.array(F.lit("Core"), F.lit("Mid"), F.lit("Support")), (F.col("group_id") % 3 + 1).cast("int"))
     return group_rows(spark, d, STATS).withColumn("role", role)
 
 
-@query("q_projection_report", f"""WITH {MC}, {GROUPS}, gr AS (SELECT *, {ROLE_SQL} AS role FROM gc), en AS (SELECT group_id, any_value(role) AS role, count(*) AS contests, avg({ROLE_POINTS}) AS per_contest FROM gr GROUP BY 1 HAVING count(*) >= 3),
-ok AS (SELECT gr.* FROM gr SEMI JOIN en USING (group_id)), {BOOT_SQL.format(points=ROLE_POINTS, source='ok')},
-mx AS (SELECT group_id, sum(w * mean) AS projected, sum(w * p10) AS p10, sum(w * p95) AS p95 FROM su JOIN (VALUES (4, 0.25e0), (5, 0.3e0), (6, 0.45e0)) t(k, w) USING (k) GROUP BY 1)
-SELECT group_id, role, contests, round(per_contest, 8) AS per_contest, round(projected, 8) AS projected, round(p10, 8) AS p10, round(p95, 8) AS p95 FROM en JOIN mx USING (group_id)""")
+@query("q_projection_report")
 def projection_report(spark, d):
     r = projection.projection_report(_role_groups(spark, d), _outcomes(spark, d), F.lit(THIRD), SAMPLES, seed=7)
     return rounded(r.select("group_id", "role", "contests", "per_contest", "projected", "p10", "p95"), 8)
@@ -149,7 +133,7 @@ def baseline_metrics(spark, d):
 
 def _lineup_report(spark, d):
     table = features.lineup_features(st.contests(spark, d), lineups.duels(st.members(spark, d), 2))
-    return training.train_lineup_model(table, CUTOFF, samples=500, minimum_train=50, minimum_test=10, minimum_calibration=25)
+    return training.train_lineup_model(table, CUTOFF, samples=10_000)
 
 
 @query("q_logistic_grid")
@@ -163,7 +147,7 @@ def top_coefficients(spark, d):
 
 
 def _boosted(spark, d):
-    return training.train_boosted(features.contest_features(st.contests(spark, d)), CUTOFF, rounds=20)
+    return training.train_boosted(features.contest_features(st.contests(spark, d)), CUTOFF, rounds=250)
 
 
 @query("q_boosted_fit")

@@ -98,13 +98,13 @@ def preferred_metrics(spark, d):
 
 
 @query("q_weighted_points", f"""WITH {PROFILE}, {preferred_sql()}, long AS ({long_sql('prof', 'member_id', 'role')})
-SELECT member_id, role, round(round(sum(points * (100 + 25 * place) / 100.0), 9), 4) AS per_game, round(round(2 * sum(points * (100 + 25 * place) / 100.0), 9), 4) AS best_series
+SELECT member_id, role, round(round(sum(points * (100 + 25 * place) / 100.0), 9), 6) AS per_game, round(round(2 * sum(points * (100 + 25 * place) / 100.0), 9), 6) AS best_series
 FROM long JOIN preferred USING (role, metric) WHERE stage = 'final' GROUP BY 1, 2""")
 def weighted_points(spark, d):
     long = sc.stat_points(sc.unpivot_stats(profile(spark, d), ["member_id", "role"]))
     weights = rules.preferred_table(spark).where("stage = 'final'").select(
         "role", "metric", (100 + 25 * F.col("place")).cast("double").alias("multiplier"))
-    return rounded(rounded(sc.weighted_points(long, weights, ["member_id", "role"]), 9), 4)
+    return rounded(rounded(sc.weighted_points(long, weights, ["member_id", "role"]), 9), 6)
 
 
 FLAT = "CASE role " + " ".join(

@@ -4,7 +4,7 @@ from conftest import SF
 from oracle_check import compare
 
 SAMPLE = ["q_item_matchups", "q_counter_recommend", "q_merge_latest", "q_scan_nested_payload", "q_rank_pivot", "q_best_series", "q_standings",
-          "q_resolve_names", "q_member_rating_history", "q_pool_percentile", "q_bootstrap_best_series", "q_extract_measures", "q_series_checks"]
+          "q_resolve_names", "q_member_rating_history", "q_pool_percentile", "q_extract_measures", "q_series_checks"]
 
 
 def test_entry_runs(spark):

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -58,3 +59,24 @@ def test_measures(spark, line, percent, tier):
 def test_advice_order(spark):
     rows = spark.createDataFrame([(1, 10, 5.0, 1), (1, 90, 1.0, 2), (1, 90, 3.0, 3)], "contest_id long, priority long, expected_uplift double, raw_slot long")
     assert {r.raw_slot: r.rank for r in scoring.ranked_advice(rows, ["contest_id"], "raw_slot").collect()} == {3: 1, 2: 2, 1: 3}
+
+
+@pytest.mark.parametrize("array_rows", [0, 12, 1000])
+def test_resampled_series_equal_brute_force(spark, array_rows):
+    rng = np.random.default_rng(2)
+    rows = [(g, i, int(t), float(p)) for g, n in ((1, 3), (2, 12), (7, 40)) for i, (t, p) in enumerate(zip(rng.integers(0, 9, n), rng.normal(100, 20, n)))]
+    df = spark.createDataFrame(rows, "group_id long, contest_id long, ts long, points double")
+    got = {(r.group_id, r.k): r for r in resample.bootstrap_best_series(df, 300, 5, F.lit(0.4), array_rows=array_rows).collect()}
+    for g in (1, 2, 7):
+        points = [p for _, _, _, p in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))]
+        places, third = resample.series_draws(5, g, len(points), 0.4, 300)
+        for k in (4, 5, 6):
+            best = []
+            for replicate in range(300):
+                series = []
+                for s in range(k):
+                    drawn = [points[i] for i in places[replicate, s][:3 if third[replicate, s] else 2]]
+                    series.append(sum(sorted(drawn)[-2:]))
+                best.append(max(series))
+            assert np.isclose(got[g, k].mean, np.mean(best)) and np.isclose(got[g, k].p90, np.quantile(best, 0.9))
+    assert len(got) == 9
