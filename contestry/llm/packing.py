@@ -42,7 +42,7 @@ class WordEncoder:
     ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
     TRAILING = ".,!?;:#$%&*|"
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -55,44 +55,53 @@ class WordEncoder:
     def _turned(self, kept: tuple[dict, dict]) -> tuple[dict, dict]:
         return kept if len(kept[0]) <= self.most else ({}, kept[0])
 
-    def _split(self, word: str) -> tuple[str, str]:
-        base = word.rstrip(self.TRAILING)
-        if not base or not base[-1].isalnum():
-            base = word
-        return (base.lower() if base.isascii() else base), word[len(base):]
-
     def _learn(self, missing: set[str]) -> None:
-        words, older = self.words
-        split = {}
+        """Encodings of ``missing`` words, whose bare part and trailing punctuation are looked up apart."""
+        words, older_words = self.words
+        parts, older_parts = self.parts
+        bases, fresh = {}, set()
         for word in missing:
-            ids = older.get(word)
-            if ids is None:
-                split[word] = self._split(word)
-            else:
+            ids = older_words.get(word)
+            if ids is not None:
                 words[word] = ids
-        parts, older = self.parts
-        fresh = []
-        for part in {p for pair in split.values() for p in pair if p not in parts}:
-            ids = older.get(part)
-            if ids is None:
-                fresh.append(part)
-            else:
-                parts[part] = ids
+                continue
+            base = word.rstrip(self.TRAILING)
+            if not base or not base[-1].isalnum():
+                base = word
+            part = base.lower() if base.isascii() else base
+            bases[word] = base, part
+            for x in (part, word[len(base):]):
+                if x not in parts:
+                    ids = older_parts.get(x)
+                    if ids is None:
+                        fresh.add(x)
+                    else:
+                        parts[x] = ids
+        fresh = list(fresh)
         parts.update(zip(fresh, self._encode(fresh)))
-        for word, (base, tail) in split.items():
-            words[word] = parts[base] + parts[tail] if tail else parts[base]
+        for word, (base, part) in bases.items():
+            words[word] = parts[part] if len(base) == len(word) else parts[part] + parts[word[len(base):]]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         self.words, self.parts = self._turned(self.words), self._turned(self.parts)
-        known, words, odd = self.words[0], [], {}
+        known, out, open_, odd = self.words[0], [], [], {}
+        missing: set[str] = set()
         for i, raw in enumerate(texts):
             if any(c in raw for c in self.ODD):
                 odd[i] = raw.decode()
-                words.append([])
+                out.append(b"")
+                continue
+            words = raw.decode().split()
+            ids = list(map(known.get, words))  # one look-up a word: that is most of the work
+            if None in ids:
+                missing.update([w for w, x in zip(words, ids) if x is None])
+                open_.append((i, words, ids))
+                out.append(b"")
             else:
-                words.append(raw.decode().split())
-        self._learn({w for ws in words for w in ws if w not in known})
-        out = [b"".join([known[w] for w in ws]) for ws in words]
+                out.append(b"".join(ids))
+        self._learn(missing)
+        for i, words, ids in open_:
+            out[i] = b"".join([known[w] if x is None else x for w, x in zip(words, ids)])
         for i, ids in zip(odd, self._encode(list(odd.values()))):
             out[i] = ids
         return out
@@ -169,7 +178,7 @@ def _packed(path: str, with_ids: bool):
             held, size = [], 0
             return record(SCHEMA, list(zip(*rows)))
 
-        for batch in slices(batches):
+        for batch in slices(batches, 250):
             for doc, ids in zip(batch.column(0).to_pylist(), encode(as_bytes(batch.column(1)))):
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
