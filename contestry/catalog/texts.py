@@ -8,7 +8,7 @@ from contestry.sources import sample_tables as st
 FOLD = "translate({0}, '1l0', 'iio')"
 NAMES_SQL = """names AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part UNION SELECT lower(r_name) FROM region
   UNION SELECT lower(c_mktsegment) FROM customer UNION
-  SELECT DISTINCT tok FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM benchmark) WHERE length(tok) >= 10)"""
+  SELECT DISTINCT tok FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM benchmark))"""
 TOKENS_SQL = """toks AS (SELECT DISTINCT doc_id, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS token FROM (
   SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_`\\[\\].-]*')) AS raw FROM documents))"""
 
@@ -17,7 +17,7 @@ def names(spark, d):
     words = st.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("name"))
     more = st.table(spark, d, "region").select(F.lower("r_name")).union(st.table(spark, d, "customer").select(F.lower("c_mktsegment")))
     tokens = st.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("name"))
-    return words.union(more).union(tokens.where(F.length("name") >= 10)).distinct()
+    return words.union(more).union(tokens).distinct()
 
 
 @query("q_fuzzy_token_match", f"""WITH {NAMES_SQL}, {TOKENS_SQL},

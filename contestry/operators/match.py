@@ -20,20 +20,45 @@ def _variants(folded):
     return F.array_distinct(F.array_append(cut, folded))
 
 
+def _spans(length, edits):
+    """``edits`` + 1 parts (part, at, to) of a string of this length."""
+    cut = lambda i: F.round(i * length / (edits + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("part"), cut(i).alias("at"), cut(i + 1).alias("to")))
+
+
+def _by_parts(tokens_: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of a token and a long name of about its length that share a part of the name, shifted by the allowed edits at most.
+
+    d edits leave one of d + 1 parts unchanged, so no close pair is missed.
+    """
+    edits = F.floor((F.col("nl") + 1) * (1 - LONG_LIMIT) + 1e-9).cast("int")
+    named = long.withColumn("d", edits).select("*", F.explode(_spans(F.col("nl"), F.col("d"))).alias("s"))
+    named = named.withColumn("piece", F.substr("fn", F.col("s.at") + 1, F.col("s.to") - F.col("s.at"))).withColumn("part", F.col("s.part")).drop("s", "d")
+    seen = tokens_.select("*", F.explode(F.sequence(F.col("tl") - 1, F.col("tl") + 1)).alias("nl")).where(F.col("nl") >= LONG).withColumn("d", edits)
+    seen = seen.select("*", F.explode(_spans(F.col("nl"), F.col("d"))).alias("s")).select("*", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("shift"))
+    seen = seen.where(F.col("s.at") + F.col("shift") >= 0).select(
+        "token", "ft", "tl", "nl", F.col("s.part").alias("part"), F.substr("ft", F.col("s.at") + F.col("shift") + 1, F.col("s.to") - F.col("s.at")).alias("piece"))
+    return seen.join(named, ["nl", "part", "piece"]).drop("part", "piece")
+
+
+#: From this many characters on a name allows more than one edit, at this similarity.
+LONG, LONG_LIMIT = 14, 0.86
+
+
 def fuzzy_tokens(vocabulary: DataFrame, names: DataFrame) -> DataFrame:
     """(token, name, score, exact) above the name's threshold, over distinct tokens.
 
     Names below 14 characters allow one edit: two such strings share a one-deletion variant, so an
-    equi join on variants finds every pair. Longer names are compared within their length band.
+    equi join on variants finds every pair. Longer names are joined by unchanged parts.
     """
     t = vocabulary.select("token").distinct().withColumn("ft", tx.fold_confusable(F.col("token"))).withColumn("tl", F.length("token"))
     n = (names.select("name", tx.ascii_key(F.col("name")).alias("key")).withColumn("nl", F.length("key")).where("nl > 2")
          .withColumn("fn", tx.fold_confusable(F.col("key"))).withColumn("limit", tx.name_threshold(F.col("nl"))).distinct())
-    short, long = n.where("nl < 14"), n.where("nl >= 14")
-    by_variant = (t.withColumn("v", F.explode(_variants(F.col("ft"))))
+    short, long = n.where(F.col("nl") < LONG), n.where(F.col("nl") >= LONG)
+    # lengths differ by one at most: longer tokens have no variant to share
+    by_variant = (t.where(F.col("tl") <= LONG).withColumn("v", F.explode(_variants(F.col("ft"))))
                   .join(short.withColumn("v", F.explode(_variants(F.col("fn")))), "v").drop("v"))
-    by_length = t.join(long.withColumn("tl", F.explode(F.sequence(F.col("nl") - 1, F.col("nl") + 1))), "tl").select(*by_variant.columns)
-    pairs = by_variant.unionByName(by_length).distinct()
+    pairs = by_variant.unionByName(_by_parts(t, long).select(*by_variant.columns)).distinct()
     exact = F.col("ft") == F.col("fn")
     close = (F.col("nl") >= 4) & (F.abs(F.col("nl") - F.col("tl")) <= 1)
     score = F.when(exact, 0.995).when(close, tx.similarity(F.col("ft"), F.col("fn")))
@@ -69,9 +94,7 @@ def fuzzy_phrase_match(lines: DataFrame, targets: list[tuple], line: str = "line
         F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(limit).alias("limit"), F.lit(order).alias("order"), F.lit(d).alias("d"),
         F.array(*[F.struct(F.lit(p).alias("text"), F.lit(o).alias("offset")) for p, o in parts]).alias("parts"))
         for label, key, limit, order, d, parts in targets])
-    # The comparison is bound by compute: a fixed number of tasks, whatever the bytes per file.
-    spread = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    s = spread.withColumn("_s", tx.ascii_key(F.col(line)))
+    s = lines.withColumn("_s", tx.ascii_key(F.col(line)))
     possible = F.filter(known, lambda t: F.exists(t["parts"], lambda p: F.contains(F.col("_s"), p["text"])))
     scored = F.transform(possible, lambda t: F.struct(
         F.when(F.contains(F.col("_s"), t["key"]), 0.99).otherwise(

@@ -80,3 +80,33 @@ def test_resampled_series_equal_brute_force(spark, array_rows):
                 best.append(max(series))
             assert np.isclose(got[g, k].mean, np.mean(best)) and np.isclose(got[g, k].p90, np.quantile(best, 0.9))
     assert len(got) == 9
+
+
+def test_long_names_are_found_by_parts(spark):
+    from contestry.operators import match
+
+    rng = np.random.default_rng(6)
+    letters = list("abcdef")
+    names = ["".join(rng.choice(letters, n)) for n in rng.integers(14, 24, 25)]
+    tokens = []
+    for name in names:
+        for edits in (0, 1, 2, 3, 4):
+            chars = list(name)
+            for _ in range(edits):
+                at = int(rng.integers(0, len(chars)))
+                kind = rng.integers(0, 3)
+                chars[at:at + (kind < 2)] = ["x"] if kind == 0 else [] if kind == 1 else ["y"]
+            tokens.append("".join(chars))
+    t = spark.createDataFrame([(x,) for x in set(tokens)], "token string")
+    got = {(r.token, r.name) for r in match.fuzzy_tokens(t, spark.createDataFrame([(x,) for x in names], "name string")).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(x, n) for x in tokens for n in names if x == n or abs(len(x) - len(n)) <= 1 and 1 - distance(x, n) / max(len(x), len(n)) >= 0.86}
+    assert got == want and len(want) > 60
