@@ -106,9 +106,11 @@ def certified(good: DataFrame, strata: int, risk: float = RISK, delta: float = D
                        for m in names for j, c in enumerate(CHAINS[m])])
     # sums per (stratum, metric, level) are taken before anything moves: at most 65 strata x 41 levels per task
     hits = good.select("stratum", F.explode(beyond).alias("b")).groupBy("stratum", "b.metric", "b.level", "b.cut").agg(F.count("*").alias("n"), F.sum("b.hit").alias("k"))
-    # more hits than expected at that risk cannot pass, so the sum never runs over more than n * share terms
-    most = F.least("k", F.ceil(F.col("n") * share))
-    passes = (F.col("k") <= F.col("n") * share) & (_tail(F.col("n"), most, F.lit(share)) <= delta / (strata * len(names)))
+    # more hits than expected at that risk cannot pass; where Chernoff's bound of the tail is small enough already,
+    # the sum of n * share terms at most is not needed
+    n, k, level = F.col("n"), F.least("k", F.ceil(F.col("n") * share)), delta / (strata * len(names))
+    apart = F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0) + (n - k) * F.log((n - k) / (n * (1 - share)))
+    passes = (F.col("k") <= n * share) & ((F.exp(-apart) <= level) | (_tail(n, k, F.lit(share)) <= level))
     chain = Window.partitionBy("stratum", "metric").orderBy("level")
     held = hits.withColumn("ok", F.min(passes.cast("int")).over(chain)).where("ok = 1")
     best = held.groupBy("stratum").pivot("metric", names).agg(F.min("cut"))
