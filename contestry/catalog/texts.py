@@ -54,6 +54,21 @@ def fuzzy_phrase_match(spark, d):
     return rounded(match.fuzzy_phrase_match(lines(spark, d), TARGETS).select("conv_id", "turn", "n", "label", "score"))
 
 
+TITLE_SQL = "titles AS (SELECT *, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS key FROM (VALUES " + ", ".join(
+    f"('{kind}', '{title}', {i})" for kind, titles in tx.TITLES.items() for i, title in enumerate(titles)) + ") t(kind, label, ord))"
+
+
+@query("q_title_match", f"""WITH l AS (SELECT conv_id, turn, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS s FROM conversations), {TITLE_SQL},
+w AS (SELECT conv_id, turn, kind, label, ord, 1 - list_min(list_transform(range(1, length(s) - length(key) - e + 2),
+    lambda i: levenshtein(substring(s, i, length(key) + e), key))) / greatest(length(key), length(key) + e) AS score
+  FROM l, titles, (VALUES (-1), (0), (1)) x(e) WHERE length(s) >= length(key) + e AND NOT contains(s, key)
+  UNION ALL SELECT conv_id, turn, kind, label, ord, 0.99e0 FROM l, titles WHERE contains(s, key))
+SELECT conv_id, turn, kind, label, round(score, 6) AS score FROM w WHERE score >= {tx.TITLE_LIMIT}
+QUALIFY row_number() OVER (PARTITION BY conv_id, turn, kind ORDER BY round(score, 9) DESC, ord) = 1""")
+def title_match(spark, d):
+    return rounded(match.title_match(st.table(spark, d, "conversations"), ["conv_id", "turn"]))
+
+
 READING_LINE = ("CASE xp_per_min % 6 WHEN 0 THEN 'Kills ' || CAST(100 + gold_per_min % 260 AS VARCHAR(9)) || '%' "
                 "WHEN 1 THEN 'GPM ' || CAST(100 + gold_per_min % 260 AS VARCHAR(9)) || '9 Yo, seen' "
                 "WHEN 2 THEN 'Stuns ' || CAST(10 + assists AS VARCHAR(9)) || '.' || CAST(10 + last_hits % 89 AS VARCHAR(9)) || '%' "

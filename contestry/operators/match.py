@@ -84,9 +84,10 @@ def phrase_targets(aliases: dict[str, list[str]], threshold: float) -> list[tupl
     return rows
 
 
-def fuzzy_phrase_match(lines: DataFrame, targets: list[tuple], line: str = "line") -> DataFrame:
+def fuzzy_phrase_match(lines: DataFrame, targets: list[tuple], line: str = "line", longer_first: bool = True) -> DataFrame:
     """Best target per line: a contained phrase scores 0.99, else the best window similarity.
 
+    Of equal scores the longer phrase wins if ``longer_first``, then the one listed first.
     Works inside the row: the target list is a constant, and windows are compared only around
     places where a part of the target occurs unchanged, which no acceptable match lacks.
     """
@@ -99,13 +100,27 @@ def fuzzy_phrase_match(lines: DataFrame, targets: list[tuple], line: str = "line
     scored = F.transform(possible, lambda t: F.struct(
         F.when(F.contains(F.col("_s"), t["key"]), 0.99).otherwise(
             tx.window_similarity(F.col("_s"), t["key"], tx.window_starts(F.col("_s"), t["parts"], t["d"]), t["d"])).alias("score"),
-        F.length(t["key"]).alias("size"), (-t["order"]).alias("first"), t["label"].alias("label"), t["limit"].alias("limit")))
+        (F.length(t["key"]) if longer_first else F.lit(0)).alias("size"), (-t["order"]).alias("first"), t["label"].alias("label"), t["limit"].alias("limit")))
     best = F.array_max(F.filter(scored, lambda t: t["score"] >= t["limit"]))
     # A generator keeps the expression from being repeated for every use of its result.
     found = s.select(*lines.columns, F.explode(F.filter(F.array(best), lambda v: v.isNotNull())).alias("_b"))
     return found.select(*lines.columns, F.col("_b.label").alias("label"), F.col("_b.score").alias("score"))
 
 
+def title_match(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, kind, label, score): the best title of every kind in the first line of a text, from TITLE_LIMIT on.
+
+    Titles are looked for as phrases; one of fewer than two letters or digits matches nothing.
+    """
+    first = texts.select(*keys, F.get(F.split(text, "\n"), F.lit(0)).alias("line"))
+    out = None
+    for kind, titles in tx.TITLES.items():
+        targets = [t for t in phrase_targets({t: [t] for t in titles}, tx.TITLE_LIMIT) if len(t[1]) > 1]
+        found = fuzzy_phrase_match(first, targets, longer_first=False).select(*keys, F.lit(kind).alias("kind"), "label", "score")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def extract_measures(lines: DataFrame, line: str = "line") -> DataFrame:
     c = F.col(line)
     return lines.select("*", tx.percentage(c).alias("percent"), tx.tier_number(c).alias("tier"), tx.trait_of(c).alias("trait"))
