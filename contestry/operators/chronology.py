@@ -101,7 +101,11 @@ def entity_form(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
 
 
 def _form_carry(sliced: DataFrame) -> DataFrame:
-    """State of a hot entity at the start of each of its slices, from one row per slice."""
+    """State of a hot entity at the start of each of its slices, from one row per slice.
+
+    The average forgets: rows more than 300 back in a slice, and slices more than 200 back, weigh less than 1e-14
+    and are left out of it.
+    """
     w = Window.partitionBy("entity_id", hot.SLICE).orderBy(F.desc("ts"), F.desc("contest_id"))
     asc = Window.partitionBy("entity_id", hot.SLICE).orderBy(*ORDER)
     r = sliced.withColumn("back", F.row_number().over(w)).withColumn("rn", F.row_number().over(asc))

@@ -11,11 +11,12 @@ def merge_non_null(records: DataFrame, key: str, version: str, overwrite: tuple[
     """Upsert by key: the newest non-null value wins per column; ``overwrite`` columns follow the newest record.
 
     Works on old and new records in one frame, so a re-delivered record changes nothing. Only
-    partial aggregates: a key with very many versions is combined before the shuffle.
+    partial aggregates: a key with very many versions is combined before the shuffle. Of equal versions
+    the greatest value wins.
     """
     columns = [c for c in records.columns if c not in (key, version)]
     return records.groupBy(key).agg(*[
-        F.max_by(c, F.col(version) if c in overwrite else F.when(F.col(c).isNotNull(), F.col(version))).alias(c)
+        F.max_by(c, F.struct(version, c) if c in overwrite else F.when(F.col(c).isNotNull(), F.struct(version, c))).alias(c)
         for c in columns])
 
 
@@ -25,12 +26,15 @@ def merge_sticky_detail(records: DataFrame, key: str, version: str, detailed: st
         F.max(detailed).alias(detailed), F.max_by(payload, F.struct(F.col(detailed), F.col(version))).alias(payload))
 
 
-def merge_latest(records: DataFrame, key: str, version: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """The newest record per key, nulls included; records lacking a required column are dropped first."""
+def merge_latest(records: DataFrame, key: str, version: str, required: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
+    """The newest record per key, nulls included; records lacking a required column are dropped first.
+
+    Of equal versions the one with the greatest ``tie`` columns wins, then one by a hash of the whole record.
+    """
     kept = records
     for c in required:
         kept = kept.where(F.col(c).isNotNull())
-    w = Window.partitionBy(key).orderBy(F.desc(version))
+    w = Window.partitionBy(key).orderBy(F.desc(version), *[F.desc(c) for c in tie], F.xxhash64(*records.columns))
     return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

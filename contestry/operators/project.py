@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A list of aliases comes from a curated file: tens of entities with a few ids each.
-CURATED_ROWS = 200_000
-
 
 def alias_map(lists: DataFrame) -> DataFrame:
     """(alias_id, canonical_id) from rows whose ``source_ids`` is a ``|`` list; the first id is canonical."""
