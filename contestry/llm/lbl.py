@@ -38,8 +38,8 @@ WARM = 64
 #: Entries a task counts before it passes its sums on.
 FLUSH = 300_000
 ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                  ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.string()))])
-DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>"
+                  ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<long>"
 
 
 def held_out(id_col: Column) -> Column:
@@ -245,9 +245,10 @@ def _score(vocabulary, flat):
             of_model = scorer(*_triples(symbols, end)) + np.where(frequent, share[ids], 0.0)
             of_base = np.where(frequent, base[ids], 0.0)
             n_known = np.add.reduceat((frequent & (known.count[ids] > 0)).astype(np.int64), first)
-            rare = [[w.decode() for w, f in zip(own, frequent[at:at + len(own)].tolist()) if not f] for own, at in zip(words, first.tolist())]
+            rare = [Counter(w for w, f in zip(own, frequent[at:at + len(own)].tolist()) if not f) for own, at in zip(words, first.tolist())]
+            tokens, times = [[w.decode() for w in c] for c in rare], [list(c.values()) for c in rare]
             n = batch.num_rows
-            yield record(ROWS, [np.arange(row, row + n), batch.column(0), batch.column(1), lengths, n_known, np.add.reduceat(of_base, first), np.add.reduceat(of_model, first), rare])
+            yield record(ROWS, [np.arange(row, row + n), batch.column(0), batch.column(1), lengths, n_known, np.add.reduceat(of_base, first), np.add.reduceat(of_model, first), tokens, times])
             row += n
 
     return run
@@ -297,7 +298,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     words, known, vocabulary, flat = learn(rows)
     scored = spool(rows.mapInArrow(_score(vocabulary, flat), DDL), "scored")
-    rare = scored.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("n"))
     looked = rare.join(words, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     # TAIL numbers each
     totals = [F.array(*[F.lit(float(x)) for x in known_]) for known_ in (known.class_total, known.class_distinct)]
@@ -306,7 +307,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = (F.col("c") + SMOOTH) / (known.total + SMOOTH * (known.distinct + 1))
     more = looked.groupBy("row").agg(F.sum(F.col("n") * F.log10(base)).alias("b"), F.sum(F.col("n") * F.log10(within)).alias("s"),
                                      F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-    out = scored.drop("rare").join(more, "row", "left").na.fill(0, ["k"]).na.fill(0.0, ["b", "s"])
+    out = scored.drop("rare", "times").join(more, "row", "left").na.fill(0, ["k"]).na.fill(0.0, ["b", "s"])
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("k")).alias("n_known"), F.lit(known.total).cast("long").alias("train_tokens"),
                       (F.col("base_score") + F.col("b")).alias("base_score"), (F.col("score") + F.col("s")).alias("score"))
 
