@@ -16,9 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from contestry.llm.common import SPACE, fresh, query, spool, table
 
 RISK, DELTA = 0.05, 0.05
-#: Strata are the languages with the most labels; the others share one. Bounds every small table below.
-MAX_STRATA = 64
-OTHER = "other"
 #: Cutoffs from lenient to strict; a document is beyond a cutoff if its metric is larger.
 CHAINS = {
     "symbol_rate": (3.0, 2.5, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
@@ -104,7 +101,7 @@ def certified(good: DataFrame, strata: int, risk: float = RISK, delta: float = D
     share, names = risk / len(CHAINS), list(CHAINS)
     beyond = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(j).alias("level"), F.lit(c).alias("cut"), (F.col(m) > c).cast("long").alias("hit"))
                        for m in names for j, c in enumerate(CHAINS[m])])
-    # sums per (stratum, metric, level) are taken before anything moves: at most 65 strata x 41 levels per task
+    # sums per (stratum, metric, level) are taken before anything moves: 41 levels a stratum
     hits = good.select("stratum", F.explode(beyond).alias("b")).groupBy("stratum", "b.metric", "b.level", "b.cut").agg(F.count("*").alias("n"), F.sum("b.hit").alias("k"))
     # more hits than expected at that risk cannot pass; where Chernoff's bound of the tail is small enough already,
     # the sum of n * share terms at most is not needed
@@ -117,23 +114,20 @@ def certified(good: DataFrame, strata: int, risk: float = RISK, delta: float = D
     return best.select("stratum", F.struct(*[F.col(m) for m in names]).alias("cuts"))
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Certified cutoffs of all labelled documents, and the named strata (at most MAX_STRATA).
+def cutoffs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, cuts) of all labelled documents; every language that has a good one is a stratum of its own.
 
     ``rows``: doc_id, lang and the struct _q of ``measured``. A document is good if all its labels say
     quality 1; labels without an id or quality count for nothing.
     """
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    rows = rows.where("not _q.base_failed").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), *[F.col(f"_q.{m}") for m in CHAINS])
+    rows = rows.where("not _q.base_failed").select("doc_id", _stratum("lang").alias("stratum"), *[F.col(f"_q.{m}") for m in CHAINS])
     rows = spool(rows.join(good, "doc_id", "left_semi").drop("doc_id"), "labelled")
-    named = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_STRATA + 1).collect()]
-    strata, named = max(1, len(named)), named[:MAX_STRATA]
-    return certified(rows.withColumn("stratum", _stratum(F.col("lang"), named)), strata), named
+    return spool(certified(rows, max(1, rows.select("stratum").distinct().count())), "cutoffs")
 
 
-def _stratum(lang: Column, named: list[str]) -> Column:
-    lang = F.coalesce(lang, F.lit(""))
-    return F.when(lang.isin(named), F.concat(F.lit("="), lang)).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
@@ -141,11 +135,11 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> Da
     return measured(rows).drop("text")
 
 
-def _applied(rows: DataFrame, cuts: DataFrame, named: list[str], stratum_col: str, q: str, kept: str) -> DataFrame:
-    """``rows`` with ``kept``. The cutoffs are at most 65 rows and are broadcast."""
+def _applied(rows: DataFrame, cuts: DataFrame, stratum_col: str, q: str, kept: str) -> DataFrame:
+    """``rows`` with ``kept``. A language without cutoffs has none applied."""
     stratum, cut = fresh(rows, "_stratum", "_cuts")
-    rows = rows.withColumn(stratum, _stratum(F.col(f"`{stratum_col}`"), named))
-    rows = rows.join(F.broadcast(cuts.select(F.col("stratum").alias(stratum), F.col("cuts").alias(cut))), stratum, "left")
+    rows = rows.withColumn(stratum, _stratum(stratum_col))
+    rows = rows.join(cuts.select(F.col("stratum").alias(stratum), F.col("cuts").alias(cut)), stratum, "left")
     rejected = F.col(f"{q}.base_failed")
     for m in CHAINS:
         rejected = rejected | F.coalesce(F.col(f"{q}.{m}") > F.col(f"{cut}.{m}"), F.lit(False))
@@ -159,7 +153,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     only the base rules reject.
     """
     rows = spool(_narrow(docs, id_col, text_col, stratum_col), "measured")
-    return _applied(rows, *cutoffs(rows, labels), "lang", "_q", "_kept")
+    return _applied(rows, cutoffs(rows, labels), "lang", "_q", "_kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -169,7 +163,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     q, kept = fresh(docs, "_q", "_kept")
     found = cutoffs(_narrow(docs, id_col, text_col, stratum_col), labels)
-    return _applied(measured(docs, text_col, q), *found, stratum_col, q, kept).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _applied(measured(docs, text_col, q), found, stratum_col, q, kept).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _chains_sql() -> str:
