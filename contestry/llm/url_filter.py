@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
 
 from contestry.llm.common import as_bytes, query, slices, spool, table
 
@@ -24,8 +23,10 @@ from contestry.llm.common import as_bytes, query, slices, spool, table
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Words that mark a host as unwanted.
 SEEDS = frozenset("adult ads bet bets betting casino cialis dating escort gambling jackpot loan loans lottery payday pills poker porn porno sex slots spam tracker viagra xxx".split())
-#: Sizes of the two tables that every task holds, most frequent entries first.
-LEXICON, FEATURES = 50_000, 100_000
+#: Entries of a table that go to every task, the most frequent first; the others are looked up by a join.
+HOT = 20_000
+#: Words up to this length (at most 26 + 26^2 + 26^3) go to every task.
+SHORT = 3
 MAX_WORD = 24
 #: Share of all words that a seed word has at least.
 SEED_SHARE = 1e-6
@@ -60,29 +61,16 @@ def _page_words(counts: Counter, batch: pa.RecordBatch) -> None:
         counts.update(w.decode() for w in WORD.findall(MARKUP.sub(b" ", html.lower())))
 
 
-def _top(counted: DataFrame, n: int) -> dict[str, int]:
-    """The ``n`` most frequent entries; ties by name."""
-    return dict(map(tuple, counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n).collect()))
-
-
 class Segmenter:
     """Most probable split of a run of letters under a unigram model; unknown words pay by length."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = max(1, sum(counts.values()) if total is None else total)
         counts = counts | {s: max(counts.get(s, 0), total * SEED_SHARE) for s in SEEDS}
         self.cost = {w: math.log10(total / c) for w, c in counts.items()}
         self.unknown = [math.log10(total / 10) + size for size in range(MAX_WORD + 1)]
-        self.known: dict[str, tuple[str, ...]] = {}
 
     def split(self, text: str) -> tuple[str, ...]:
-        if len(self.known) > 1 << 16:
-            self.known.clear()
-        if text not in self.known:
-            self.known[text] = self._split(text)
-        return self.known[text]
-
-    def _split(self, text: str) -> tuple[str, ...]:
         best, step = [0.0], [0]
         for end in range(1, len(text) + 1):
             options = []
@@ -98,23 +86,6 @@ class Segmenter:
             end = step[end]
         return tuple(reversed(words))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host, marked h, and of the path, marked p; runs of digits are one token."""
-        out = [f"h:{w}" for part in SPLIT.split(host) if part for w in (self.split(part) if part.isalpha() else ("0",) if part.isdigit() else (part,))]
-        return out + [f"p:{'0' if part.isdigit() else part}" for part in SPLIT.split(path.lower()) if part]
-
-
-def _page_tokens(segmenter):
-    def words_of(counts: Counter, batch: pa.RecordBatch) -> None:
-        model = segmenter.value
-        for host, path in zip(*(c.to_pylist() for c in batch.columns)):
-            tokens = model.tokens(host, path)
-            side = "b" if any(t[2:] in SEEDS for t in tokens if t[0] == "h") else "a"
-            counts[f"{side}#"] += 1
-            counts.update(f"{side}{t}" for t in tokens)
-
-    return words_of
-
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty without ``://`` and for null."""
@@ -134,29 +105,85 @@ def listed(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def train(pages: DataFrame, urls: DataFrame):
-    """(segmenter, weights, prior): log-odds of every frequent token and of a page to be unwanted."""
-    sc = pages.sparkSession.sparkContext
-    segmenter = sc.broadcast(Segmenter(_top(pages.select("html").mapInArrow(_counted(_page_words), "word string, n long"), LEXICON)))
-    counted = spool(urls.select("host", "path").mapInArrow(_counted(_page_tokens(segmenter)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "tokens")
-    side, token = F.substring("word", 1, 1), F.substring("word", 2, 1 << 30)
-    by = counted.groupBy(token.alias("word")).agg(F.sum(F.when(side == "b", F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(side == "a", F.col("n")).otherwise(0)).alias("a"))
-    docs, tokens = by.where("word = '#'"), by.where("word <> '#'")
-    totals = tokens.agg(F.count("*"), F.sum("b"), F.sum("a")).first()
-    pages_b, pages_a = tuple(docs.select("b", "a").first() or (0, 0))
-    v, b, a = (x or 0 for x in totals)
-    top = tokens.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(FEATURES).collect()
-    weights = {w: math.log((nb + 1) / (b + v + 1)) - math.log((na + 1) / (a + v + 1)) for w, nb, na in top}
-    return segmenter, sc.broadcast(weights), math.log((pages_b + 1) / (pages_a + 1))
+def looked_up(rows: DataFrame, entries: DataFrame, key: str | list[str], frequent: DataFrame) -> DataFrame:
+    """``rows`` joined with ``entries`` on ``key``, whatever the size of either.
+
+    ``frequent`` (key, n) tells how often ``rows`` has a key: the HOT most frequent are joined in place, so that
+    every other key has at most a HOT-th of the rows.
+    """
+    keys = [key] if isinstance(key, str) else key
+    top = spool(frequent.where("n > 1").orderBy(F.desc("n"), *keys).limit(HOT).select(*keys), "hot")
+    placed = rows.join(F.broadcast(top.withColumn("hot", F.lit(True))), keys, "left")
+    near, far = placed.where("hot").drop("hot"), placed.where("hot is null").drop("hot")
+    return near.join(F.broadcast(entries.join(F.broadcast(top), keys, "left_semi")), keys).unionByName(far.join(entries, keys))
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 200):
+        for text in batch.column(0).to_pylist():
+            found = list({text[a:b] for a in range(len(text)) for b in range(a + 1, min(len(text), a + MAX_WORD) + 1)})
+            for at in range(0, len(found), FLUSH):
+                own = found[at:at + FLUSH]
+                yield pa.RecordBatch.from_arrays([pa.array([text] * len(own), pa.string()), pa.array(own, pa.string())], names=["part", "word"])
+
+
+def split_parts(letters: DataFrame, words: DataFrame) -> DataFrame:
+    """(part, tokens): the distinct runs of letters ``part`` split under all ``words`` (word, n).
+
+    A task sees of the words those that occur in its run.
+    """
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    inside = letters.mapInArrow(_substrings, "part string, word string")
+    short = F.length("word") <= SHORT
+    found = inside.where(short).join(F.broadcast(words.where(short)), "word").unionByName(inside.where(~short).join(words.where(~short), "word"))
+    found = found.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("own"))
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([list(Segmenter({} if o is None else {x["word"]: x["n"] for x in o}, total).split(t)) for t, o in zip(texts, own)], dtype=object)
+
+    return letters.join(found, "part", "left").select("part", split("part", "own").alias("tokens"))
+
 
+def host_tokens(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, tokens) of distinct hosts: the words of runs of letters; a run of digits is one token."""
+    own = F.filter(F.split("host", SPLIT.pattern), lambda x: x != "")
+    placed = spool(hosts.select("host", F.posexplode_outer(own).alias("at", "part")), "host_parts")
+    letter = F.col("part").rlike("^[a-z]+$")
+    letters = spool(placed.where(letter).groupBy("part").agg(F.count("*").alias("n")), "letters")
+    split = spool(split_parts(letters.select("part"), words), "split")
+    found = looked_up(placed.where(letter), split, "part", letters).select("host", "at", "tokens")
+    digits = F.when(F.col("part").rlike("^[0-9]+$"), F.array(F.lit("0"))).otherwise(F.array("part"))
+    others = placed.where(F.col("part").isNull() | ~letter).select("host", "at", F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(digits).alias("tokens"))
+    rows = found.unionByName(others).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("x"))
+    return rows.select("host", F.flatten("x.tokens").alias("tokens"))
 
-def _odds(segmenter, weights, prior: float):
-    @F.pandas_udf(DoubleType())
-    def odds(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        model, weight = segmenter.value, weights.value
-        return pd.Series([prior + sum(weight.get(t, 0.0) for t in model.tokens(h, p)) for h, p in zip(hosts, paths)], dtype=float)
 
-    return odds
+def odds(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """(host, path, n, odds) of the distinct (host, path) of ``urls``: log-odds of a page to be unwanted.
+
+    Words, tokens and weights are tables of any size; every word and every token counts.
+    """
+    words = spool(pages.select("html").mapInArrow(_counted(_page_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    distinct = spool(urls.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    hosts = spool(distinct.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    of_host = spool(host_tokens(hosts.select("host"), words), "host_tokens")
+    lower = F.filter(F.split(F.lower("path"), SPLIT.pattern), lambda x: x != "")
+    of_path = F.transform(lower, lambda x: F.concat(F.lit("p:"), F.when(x.rlike("^[0-9]+$"), F.lit("0")).otherwise(x)))
+    found = looked_up(distinct, of_host, "host", hosts)
+    unwanted = F.arrays_overlap("tokens", F.array(*[F.lit(s) for s in sorted(SEEDS)]))
+    found = spool(found.select("host", "path", "n", unwanted.alias("unwanted"), F.concat(F.transform("tokens", lambda x: F.concat(F.lit("h:"), x)), of_path).alias("tokens")), "url_tokens")
+    side = lambda yes: F.sum(F.when(F.col("unwanted") == yes, F.col("n")).otherwise(0))
+    pages_b, pages_a = (x or 0 for x in found.agg(side(True), side(False)).first())
+    each = found.select("host", "path", "n", "unwanted", F.explode("tokens").alias("word"))
+    tokens = spool(each.groupBy("word").agg(side(True).alias("b"), side(False).alias("a"), F.count("*").alias("n")), "tokens")
+    v, b, a = (x or 0 for x in tokens.agg(F.count("*"), F.sum("b"), F.sum("a")).first())
+    weights = tokens.select("word", (F.log((F.col("b") + 1) / F.lit(float(b + v + 1))) - F.log((F.col("a") + 1) / F.lit(float(a + v + 1)))).alias("w"))
+    weighed = looked_up(each.select("host", "path", "word"), weights, "word", tokens.select("word", "n"))
+    # summed in one order, so that results do not depend on how rows arrive
+    prior = F.lit(math.log((pages_b + 1) / (pages_a + 1)))
+    sums = weighed.groupBy("host", "path").agg(F.aggregate(F.array_sort(F.collect_list("w")), prior, lambda x, w: x + w).alias("odds"))
+    return spool(found.select("host", "path", "n").join(sums, ["host", "path"], "left").withColumn("odds", F.coalesce("odds", prior)), "odds")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -164,14 +191,14 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     The verdict is the longest listed rule's, else block where the odds to be unwanted are above 0. A null
     url, or one without ``://``, has empty parts, no rule and the prior's verdict; null html teaches nothing.
-    Tokens beyond the FEATURES most frequent weigh nothing.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
     host, path = parts(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    model = train(pages.select(F.col(f"`{html_col}`").alias("html")), rows)
+    found = odds(pages.select(F.col(f"`{html_col}`").alias("html")), rows)
+    rows = looked_up(rows, found.drop("n"), ["host", "path"], found.select("host", "path", "n"))
     rule, verdict = listed(F.col("host"), F.col("path"))
-    rows = rows.withColumns({"rule": rule, "odds": _odds(*model)("host", "path"), "listed": verdict})
+    rows = rows.withColumns({"rule": rule, "listed": verdict})
     return rows.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("odds") > 0, "block").otherwise("allow")).alias("verdict"), "odds")
 
 
