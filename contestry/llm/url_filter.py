@@ -146,15 +146,15 @@ def split_parts(letters: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def host_tokens(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """(host, tokens) of distinct hosts: the words of runs of letters; a run of digits is one token."""
-    own = F.filter(F.split("host", SPLIT.pattern), lambda x: x != "")
+    """(host, tokens) of distinct hosts: the words of runs of letters; a run of digits is one token, 0."""
+    own = F.regexp_extract_all("host", F.lit("[a-z]+|[0-9]+"), F.lit(0))
     placed = spool(hosts.select("host", F.posexplode_outer(own).alias("at", "part")), "host_parts")
     letter = F.col("part").rlike("^[a-z]+$")
     letters = spool(placed.where(letter).groupBy("part").agg(F.count("*").alias("n")), "letters")
     split = spool(split_parts(letters.select("part"), words), "split")
     found = looked_up(placed.where(letter), split, "part", letters).select("host", "at", "tokens")
-    digits = F.when(F.col("part").rlike("^[0-9]+$"), F.array(F.lit("0"))).otherwise(F.array("part"))
-    others = placed.where(F.col("part").isNull() | ~letter).select("host", "at", F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(digits).alias("tokens"))
+    digits = F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("0")))
+    others = placed.where(F.col("part").isNull() | ~letter).select("host", "at", digits.alias("tokens"))
     rows = found.unionByName(others).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("x"))
     return rows.select("host", F.flatten("x.tokens").alias("tokens"))
 

@@ -46,3 +46,14 @@ def test_words_of_any_rank_split(spark):
     assert words.count() > 60_000
     got = url_filter.host_tokens(spark.createDataFrame([("zyzzyvawalrus.x",), ("",)], "host string"), words).collect()
     assert {r.host: r.tokens for r in got} == {"zyzzyvawalrus.x": ["zyzzyva", "walrus", "x"], "": []}
+
+
+def test_hosts_of_letters_and_digits_split(spark):
+    """Seeds are found inside runs of letters next to digits, and such pages teach the unwanted side."""
+    hosts = [("bet365casino.net", "bet casino"), ("casino24.net", "casino"), ("xxxporn4u.net", "porn"), ("garden24.org", "garden")] + [("garden.org", "garden")] * 5
+    found = url_filter.judge(pages(spark, [(h, "q", w) for h, w in hosts])).collect()
+    odds = {r.host: r.odds for r in found}
+    assert all(odds[h] > 0 for h, _ in hosts[:3]) and odds["garden.org"] < 0
+    words = spark.createDataFrame([("bet", 9), ("casino", 9), ("porn", 9), ("filler", 10**6)], "word string, n long")
+    tokens = {r.host: r.tokens for r in url_filter.host_tokens(spark.createDataFrame([(h,) for h, _ in hosts[:3]], "host string"), words).collect()}
+    assert tokens["bet365casino.net"][:3] == ["bet", "0", "casino"] and tokens["casino24.net"][:2] == ["casino", "0"] and tokens["xxxporn4u.net"][:2] == ["xxx", "porn"]
