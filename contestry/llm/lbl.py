@@ -33,8 +33,8 @@ END = "\n"
 FREQUENT = 200_000
 SMOOTH = 0.1
 BATCH, NOISE, RATE, SEED = 4096, 32, 0.05, 7
-#: The share of training documents that warms up the common weights (one task), one in so many.
-WARM = 64
+#: One training document in WARM warms up the common weights, in so many rounds of averaging.
+WARM, WARM_ROUNDS = 64, 2
 #: Entries a task counts before it passes its sums on.
 FLUSH = 300_000
 ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -254,6 +254,11 @@ def _score(vocabulary, flat):
     return run
 
 
+def warm_up(docs: DataFrame) -> DataFrame:
+    """Training texts for the warm-up: a share of the rows, whatever their texts, in as many partitions as it takes."""
+    return spool(docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(WARM)) == 0)).select("text"), "warm")
+
+
 def learn(docs: DataFrame):
     """(vocabulary table, bounded Vocabulary and weights as broadcasts) of the training rows of ``docs``."""
     spark = docs.sparkSession
@@ -278,8 +283,9 @@ def learn(docs: DataFrame):
     noise = noise / noise.sum()
     vocabulary = spark.sparkContext.broadcast(known)
     flat = Weights.start(noise).flat()
-    warm = texts.where(F.pmod(F.xxhash64("text"), F.lit(WARM)) == 0).coalesce(1)
-    flat = train(warm, vocabulary, noise, flat)
+    warm = warm_up(docs)
+    for _ in range(WARM_ROUNDS):
+        flat = train(warm, vocabulary, noise, flat)
     return table_, known, vocabulary, spark.sparkContext.broadcast(train(texts, vocabulary, noise, flat))
 
 
