@@ -35,6 +35,16 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, run_dir(df.sparkSession, label))
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of spooled ``tables`` that no later job reads."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     """``names``, with underscores in front until no column of ``df`` has such a name."""
     taken, out = {c.lower() for c in df.columns}, []
