@@ -13,16 +13,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contestry.llm.common import as_bytes, query, record, slices, table
+from contestry.llm.common import query, record, table
 
 LENGTH, END_ID, QUADRATIC = 2048, 1, 4096.0
 #: Tokens packed together; bounds a task's memory whatever the partition holds.
 WINDOW = 1 << 21
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: Bytes of text encoded together.
+BYTES = 1 << 23
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -32,81 +36,80 @@ class WordEncoder:
     """Ids of whole texts, encoding each distinct word between white space once.
 
     The tokenizer drops white space before it looks for words and never joins across it, so a text's ids
-    are those of its words in order. ``str.split`` and the tokenizer agree on Unicode white space, apart
-    from the separators U+001C to U+001F, which only Python counts; texts with these are encoded whole.
+    are those of its words in order. Arrow and the tokenizer agree on white space, apart from the controls in
+    ODD, which only Arrow counts; texts with these are encoded whole.
 
-    A word's trailing punctuation is a token run of its own, so it is encoded apart. Encoded words are kept in
-    two generations of bounded size, which serve all tasks of a worker.
+    Punctuation behind an ASCII letter or digit is a token run of its own, so it is encoded apart; behind any
+    other character it is not, as normalisation may end the word in a mark. Encoded parts are kept in two generations
+    of bounded size, which serve all tasks of a worker.
     """
 
-    ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+    ODD = r"[\x1c-\x1f]"
     TRAILING = ".,!?;:#$%&*|"
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words: tuple[dict, dict] = ({}, {})
-        self.parts: tuple[dict, dict] = ({}, {})
+        self.new, self.old = {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _turned(self, kept: tuple[dict, dict]) -> tuple[dict, dict]:
-        return kept if len(kept[0]) <= self.most else ({}, kept[0])
-
-    def _learn(self, missing: set[str]) -> None:
-        """Encodings of ``missing`` words, whose bare part and trailing punctuation are looked up apart."""
-        words, older_words = self.words
-        parts, older_parts = self.parts
-        bases, fresh = {}, set()
-        for word in missing:
-            ids = older_words.get(word)
-            if ids is not None:
-                words[word] = ids
-                continue
-            base = word.rstrip(self.TRAILING)
-            if not base or not base[-1].isalnum():
-                base = word
-            part = base.lower() if base.isascii() else base
-            bases[word] = base, part
-            for x in (part, word[len(base):]):
-                if x not in parts:
-                    ids = older_parts.get(x)
-                    if ids is None:
-                        fresh.add(x)
-                    else:
-                        parts[x] = ids
-        fresh = list(fresh)
-        parts.update(zip(fresh, self._encode(fresh)))
-        for word, (base, part) in bases.items():
-            words[word] = parts[part] if len(base) == len(word) else parts[part] + parts[word[len(base):]]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        self.words, self.parts = self._turned(self.words), self._turned(self.parts)
-        known, out, open_, odd = self.words[0], [], [], {}
-        missing: set[str] = set()
-        for i, raw in enumerate(texts):
-            if any(c in raw for c in self.ODD):
-                odd[i] = raw.decode()
-                out.append(b"")
-                continue
-            words = raw.decode().split()
-            ids = list(map(known.get, words))  # one look-up a word: that is most of the work
-            if None in ids:
-                missing.update([w for w, x in zip(words, ids) if x is None])
-                open_.append((i, words, ids))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        self._learn(missing)
-        for i, words, ids in open_:
-            out[i] = b"".join([known[w] if x is None else x for w, x in zip(words, ids)])
-        for i, ids in zip(odd, self._encode(list(odd.values()))):
-            out[i] = ids
+    def _known(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.new.get, parts))
+        missing = [x for x, ids in zip(parts, found) if ids is None]
+        fresh = [x for x in missing if x not in self.old]
+        self.new.update(zip(fresh, self._encode(fresh)))
+        self.new.update((x, self.old[x]) for x in missing if x in self.old)
+        found = [self.new[x] if ids is None else ids for x, ids in zip(parts, found)] if missing else found
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        return found
+
+    def _split(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Bare parts and trailing punctuation of distinct words, as dictionaries."""
+        base = pc.utf8_rtrim(words, characters=self.TRAILING)
+        apart = pc.and_(pc.match_substring_regex(base, "[0-9A-Za-z]$"), pc.less(pc.binary_length(base), pc.binary_length(words)))
+        tail = pc.struct_field(pc.extract_regex(words, "(?P<t>[" + self.TRAILING + "]*)$"), "t")
+        base, tail = pc.if_else(apart, base, words), pc.if_else(apart, tail, "")
+        plain = pc.and_(pc.string_is_ascii(base), pc.invert(pc.match_substring(base, "<")))  # a special token is told by its case
+        return pc.if_else(plain, pc.ascii_lower(base), base).dictionary_encode(), tail.dictionary_encode()
+
+    def __call__(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of every text of a string column or list; null is empty."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).cast(pa.string())).fill_null("")
+        odd = pc.match_substring_regex(texts, self.ODD)
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        words = lists.flatten().dictionary_encode()
+        base, tail = self._split(words.dictionary)
+        ids = [*self._known(base.dictionary.to_pylist()), *self._known(tail.dictionary.to_pylist())]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        pairs = np.stack([base.indices.to_numpy(), tail.indices.to_numpy() + len(base.dictionary)], axis=1)
+        index = pairs[words.indices.to_numpy()].ravel()
+        own = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        every = flat[np.repeat(starts[index] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())]).tolist()
+        out = [every[s:e] for s, e in zip(cuts, cuts[1:])]
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i, whole in zip(at, self._encode([texts[i].as_py() for i in at])):
+            out[i] = whole
         return out
 
 
+def parted(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of BYTES of text or a single row."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 @lru_cache(2)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -178,8 +181,8 @@ def _packed(path: str, with_ids: bool):
             held, size = [], 0
             return record(SCHEMA, list(zip(*rows)))
 
-        for batch in slices(batches, 250):
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(as_bytes(batch.column(1)))):
+        for batch in parted(batches, 1):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= WINDOW:
@@ -197,7 +200,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded. Null and empty texts are the end id alone. Equal or null ids and repeated rows are packed as
     separate documents. sequence_id is unique, not gapless: it holds the partition's number.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(_packed(path, with_ids), DDL)
     return out if with_ids else out.drop("ids")
 

@@ -68,6 +68,20 @@ def test_word_encoder_equals_tokenizer():
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_encoder_equals_tokenizer_at_every_code_point():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(packing.TOKENIZER), packing.WordEncoder(packing.TOKENIZER)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 50_000):
+        texts = [t for c in points[at:at + 50_000] for t in (f"a{c}.", f"{c}B!? x{c}y")]
+        want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for t, x, ids in zip(texts, encode([t.encode() for t in texts]), want):
+            assert np.frombuffer(x, "<u4").tolist() == ids, repr(t)
+    texts = ["<|ENDOFTEXT|>a.", "<|endoftext|>a.", "THE\u0130. A\u0958!", "x<|startoftext|>. <b>c."] * 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def reference(texts):
     from sentencepiece import SentencePieceProcessor
 
