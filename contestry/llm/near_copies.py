@@ -1,193 +1,29 @@
-"""Near copies by five-word shingles: texts of Jaccard likeness 0.8 or more, found without loss.
+"""Near copies by five-word shingles: texts of Jaccard likeness 0.8 or more.
 
-Two sets of that likeness share one of the first n - ceil(0.8 n) + 1 shingles of each in any common order
-(prefix filter), so every set is filed under these and sets filed together are compared exactly. Common
-shingles come last in the order, so that a boilerplate passage files few texts together; which ones are
-known to be common changes the work, not the result.
+SimHash comes first: fingerprints of the shingle sets that share pigeonhole blocks and differ in three bits at most
+are candidates, which finds the closest copies cheaply. A likeness of 0.8 is about ten differing bits, so most other
+pairs are beyond any block scheme of 64 bits; they are found by signature bands, which miss a pair of that
+likeness with a chance of 1e-8. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, functions as F
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType
+from contestry.llm import simhash, superminhash
+from contestry.llm.common import components, dropped, fresh, spool
 
-from contestry.llm.common import as_bytes, components, fresh, slices, spool
+LAW = superminhash.Law(5, (4, 5), 4, 0.6)
 
-SHINGLE = 5
-#: Common shingles are those of COMMON texts or more of one text in SAMPLE; the ORDERED most frequent come last in the order.
-SAMPLE, COMMON, ORDERED = 16, 8, 20_000
-#: Sets of a key that one task compares; a fuller key is cut in tiles, each pair of tiles is a task's work.
-TILE = 2048
-#: Nodes a task remembers to have filed.
-REMEMBERED = 1 << 20
 
-
-def shingles(text: bytes) -> np.ndarray:
-    """Ascending hashes of the word shingles; fewer than five words are one shingle, no word: none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        return np.array([digest(line)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    spans = zip((ends - sizes).tolist(), ends[SHINGLE - 1:].tolist())
-    return np.unique(np.fromiter((digest(line[s:e]) for s, e in spans), np.uint64, len(words) - SHINGLE + 1))
-
-
-def alike(common, a, b):
-    """Whether sets of ``a`` and ``b`` members with ``common`` ones have Jaccard likeness 0.8 or more, in whole numbers."""
-    return 9 * common >= 4 * (a + b)
-
-
-def node_of(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
-
-
-@F.pandas_udf(LongType())
-def _nodes(texts: pd.Series) -> pd.Series:
-    return pd.Series([node_of(shingles(t.encode() if isinstance(t, str) else b"")) for t in texts], dtype="int64")
-
-
-def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 200):
-        hashes = np.concatenate([shingles(t) for t in as_bytes(batch.column(0))] or [np.empty(0, np.uint64)])
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["k"])
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles a set is filed under, first in the order: not in ``common`` (ascending) before those in it, by rank."""
-    n = len(hashes)
-    if len(common) and n:
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.lexsort((hashes, np.where(common[at] == hashes, rank[at], 0)))]
-    return hashes[:n - (4 * n + 4) // 5 + 1] if n else hashes
-
-
-def _entries(order):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = order.value
-        filed: set[int] = set()
-        for batch in slices(batches, 200):
-            keys, nodes, sizes, places = [np.empty(0, np.uint64)], [], [], []
-            for text in as_bytes(batch.column(0)):
-                hashes = shingles(text)
-                node = node_of(hashes)
-                if not len(hashes) or node in filed:
-                    continue
-                if len(filed) >= REMEMBERED:
-                    filed.clear()
-                filed.add(node)
-                own = prefix(hashes, common, rank)
-                keys.append(own)
-                nodes.append(np.full(len(own), node))
-                sizes.append(np.full(len(own), len(hashes), np.int32))
-                places.append(np.arange(len(own), dtype=np.int32))
-            if nodes:
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "node", "n", "at"])
-
-    return run
-
-
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, ranks) of the shingles that come last in the order; at most ORDERED."""
-    some = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = some.mapInArrow(_all, "k long").groupBy("k").count().where(F.col("count") >= COMMON)
-    rows = counts.orderBy(F.desc("count"), "k").limit(ORDERED).collect()
-    hashes, rank = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    by = np.argsort(hashes)
-    return hashes[by], rank[by]
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key's members with different labels that can still be alike where this is their first common shingle."""
-    for batch in batches:
-        for members in batch.column(0):
-            node, n, at, label = (members.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "n", "at", "label"))
-            a, b = [], []
-            for i in range(len(node) - 1):
-                rest = slice(i + 1, None)
-                hit = (label[rest] != label[i]) & alike(np.minimum(n[rest] - at[rest], n[i] - at[i]), n[rest], n[i])
-                found = node[rest][hit]
-                a.append(np.minimum(found, node[i]))
-                b.append(np.maximum(found, node[i]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
-
-
-def _stars(shared: DataFrame) -> DataFrame:
-    """Pairs of every member of a key with its first and its last member: linear in the members."""
-    key = Window.partitionBy("k")
-    ends = shared.withColumns({c: f(F.struct("node", "n")).over(key) for c, f in (("first", F.min), ("last", F.max))})
-    ends = ends.select("node", "n", F.explode(F.array("first", "last")).alias("e"))
-    close = 5 * F.least("n", "e.n") >= 4 * F.greatest("n", "e.n")
-    return ends.where((F.col("node") != F.col("e.node")) & close).select(F.least("node", "e.node").alias("a"), F.greatest("node", "e.node").alias("b")).distinct()
-
-
-def _others(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a key's members that no chain of ``labels`` joins; a key of one label has none. No key is capped."""
-    key = Window.partitionBy("k")
-    rows = shared.join(labels.withColumnRenamed("label", "found"), "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
-    rows = rows.withColumns({"m": F.count("*").over(key), "x": F.min("label").over(key), "y": F.max("label").over(key)}).where("x < y")
-    member = F.collect_list(F.struct("node", "n", "at", "label")).alias("members")
-    cold = rows.where(F.col("m") <= TILE).groupBy("k").agg(member).select("members")
-    tiles = F.ceil(F.col("m") / TILE)
-    hot = rows.where(F.col("m") > TILE).withColumn("p", F.pmod(F.xxhash64("node"), tiles))
-    hot = hot.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    hot = hot.withColumns({"p": F.least("p", "q"), "q": F.greatest("p", "q")}).repartition("k", "p", "q")
-    hot = hot.groupBy("k", "p", "q").agg(member).select("members")
-    return cold.union(hot).mapInArrow(_pairs, "a long, b long").distinct()
-
-
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hit = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            hit.append(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """Candidate links (a, b) between nodes of equal or close SimHash fingerprints, enough to connect each such class."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("hub"))
+    equal = nodes.join(first, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = simhash.links(nodes, "fp").distinct()
     for c in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")), c)
-    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(_checked, "a long, b long")
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 200):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], names=["node", "hashes"])
-
-
-def _picked(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
-    """The rows of ``docs`` whose (id, text hash) is an ``r`` of ``rows``, with two further columns that hold these."""
-    ki, kh, ri, rh = fresh(docs, "_keep_i", "_keep_h", "_row_i", "_row_h")
-    keys = rows.select(F.col("r.i").alias(ki), F.col("r.h").alias(kh))
-    at = docs.withColumns({ri: F.col(f"`{id_col}`"), rh: F.xxhash64(f"`{text_col}`")})
-    return at.join(keys, F.col(ri).eqNullSafe(F.col(ki)) & (F.col(rh) == F.col(kh)), "left_semi"), ri, rh
-
-
-def _labels(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that are like another one."""
-    order = texts.sparkSession.sparkContext.broadcast(_common(texts))
-    entries = texts.select("text").mapInArrow(_entries(order), "k long, node long, n int, at int")
-    entries = entries.repartition("k").dropDuplicates(["k", "node"])
-    shared = spool(entries.withColumn("m", F.count("*").over(Window.partitionBy("k"))).where("m > 1").drop("m"), "shared")
-    nodes = reps.join(shared.select("node").distinct(), "node", "left_semi")
-    picked = _picked(texts, nodes, "doc_id", "text")[0].select(_nodes("text").alias("node"), "text")
-    sets = spool(picked.mapInArrow(_hashes, "node long, hashes binary").dropDuplicates(["node"]), "sets")
-    tested = spool(_stars(shared), "tested")
-    near = spool(_alike(tested, sets), "near")
-    others = _others(shared, components(near, "a", "b")).join(tested, ["a", "b"], "left_anti")
-    return components(near.union(spool(_alike(others, sets), "near")), "a", "b")
+        pairs = pairs.join(first.select(F.col("fp").alias(c), F.col("hub").alias(f"of_{c}")), c).drop(c)
+    return equal.union(pairs.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,12 +32,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Classes are chains of texts whose five-word shingles (lower-cased, as sets) have Jaccard likeness 0.8 or
     more; texts without words are one class, shorter texts are alike where their words are the same. The row
     with the smallest id stays (null ids last, then the smallest text hash; of equal rows any). All columns
-    of ``docs`` are returned, whatever their names.
+    of ``docs`` are returned, whatever their names. An empty table gives no rows.
     """
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = spool(superminhash.signed(docs, LAW.width, id_col, text_col), "near")
+    nodes = superminhash.node_rows(rows)
+    candidates = spool(close_prints(nodes), "prints")
+    known = superminhash.confirmed(docs, candidates, nodes, LAW, text_col)
+    label = superminhash.links(docs, nodes, LAW, text_col, known)
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("h"))
-    narrow = texts.select("doc_id", F.xxhash64("text").alias("h"), _nodes("text").alias("node"))
-    reps = spool(narrow.groupBy("node").agg(F.min(order).alias("r")), "sets_of")
-    kept = reps.join(_labels(texts, reps), "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("r").alias("r"))
-    rows, ri, rh = _picked(docs, kept, id_col, text_col)
-    return rows.dropDuplicates([ri, rh]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lows = rows.groupBy("node").agg(F.min(order).alias("r")).join(label, "node", "left")
+    kept = lows.groupBy(F.coalesce("label", "node")).agg(F.min("r").alias("r")).select(F.col("r.i").alias("i"), "r.h", F.lit(True).alias("stays"))
+    each = rows.groupBy(F.col("doc_id").alias("i"), "h").agg(F.count("*").alias("n")).alias("e")
+    each = each.join(kept.alias("k"), F.col("e.i").eqNullSafe(F.col("k.i")) & (F.col("e.h") == F.col("k.h")), "left").select("e.i", "e.h", "n", "stays")
+    marks = spool(each.where("stays is null or n > 1").select("i", "h", F.col("stays").isNotNull().alias("once")), "marks")
+    ki, kh, ri, rh, once = fresh(docs, "_mark_i", "_mark_h", "_row_i", "_row_h", "_once")
+    found = marks.select(F.col("i").alias(ki), F.col("h").alias(kh), F.col("once").alias(once))
+    found = F.broadcast(found) if marks.count() <= superminhash.PICKED else found
+    marked = docs.withColumns({ri: F.col(f"`{id_col}`"), rh: F.xxhash64(f"`{text_col}`")})
+    marked = marked.join(found, F.col(ri).eqNullSafe(F.col(ki)) & (F.col(rh) == F.col(kh)), "left")
+    dropped(nodes, candidates)
+    out = marked.where(F.col(once).isNull())
+    if marks.where("once").count():  # equal rows, of which one stays
+        out = out.union(marked.where(F.col(once)).dropDuplicates([ri, rh]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from contestry.llm.common import SPACE, fresh, query, spool, table
 
 RISK, DELTA = 0.05, 0.05
+FEW = 500_000
 #: Cutoffs from lenient to strict; a document is beyond a cutoff if its metric is larger.
 CHAINS = {
     "symbol_rate": (3.0, 2.5, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
@@ -120,12 +121,16 @@ def cutoffs(rows: DataFrame, labels: DataFrame) -> DataFrame:
     ``rows``: doc_id, lang and the struct _q of ``measured``. A document is good if all its labels say
     quality 1; labels without an id or quality count for nothing.
     """
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    good = _good(labels)
     rows = rows.where("not _q.base_failed").select("doc_id", _stratum("lang").alias("stratum"), *[F.col(f"_q.{m}") for m in CHAINS])
     rows = spool(rows.join(good, "doc_id", "left_semi").drop("doc_id"), "labelled")
     return spool(certified(rows, max(1, rows.select("stratum").distinct().count())), "cutoffs")
 
 
+def _good(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+
+
 def _stratum(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
@@ -159,11 +164,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    Texts are measured a second time where they are filtered: that costs less than moving them to their verdicts.
+    Labelled good documents are measured for the cutoffs, then all documents where they are filtered: that costs less
+    than moving texts to their verdicts. Up to FEW labels (8 bytes each) are broadcast, so that no other text is
+    measured for the cutoffs; more labels are joined to the measures of all documents.
     """
     q, kept = fresh(docs, "_q", "_kept")
-    found = cutoffs(_narrow(docs, id_col, text_col, stratum_col), labels)
-    return _applied(measured(docs, text_col, q), found, stratum_col, q, kept).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    good = spool(_good(labels), "good")
+    taught = docs.join(F.broadcast(good.select(F.col("doc_id").alias(kept))), F.col(f"`{id_col}`") == F.col(kept), "left_semi") if good.count() <= FEW else docs
+    found = cutoffs(_narrow(taught, id_col, text_col, stratum_col), labels)
+    # measures come out of a generator: no later step can take them apart and compute them again
+    rows = measured(docs, text_col, q).withColumn(q, F.explode(F.array(q)))
+    return _applied(rows, found, stratum_col, q, kept).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _chains_sql() -> str:

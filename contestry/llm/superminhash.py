@@ -263,6 +263,19 @@ def _confirm(docs: DataFrame, groups: DataFrame, nodes: DataFrame, law: Law, tex
     return links
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, law: Law, text_col: str = "text", label: DataFrame | None = None) -> DataFrame:
+    """Confirmed links among nodes that ``pairs`` (a, b) join to the same a; ``label`` (node, label) marks what is linked already."""
+    sizes = pairs.groupBy("a").count()
+    stars = pairs.join(sizes, "a").withColumn("tile", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / TILE)))
+    hubs = sizes.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / TILE) - 1)).alias("tile"), F.col("a").alias("node"))
+    groups = stars.select(F.col("a").alias("g"), "tile", F.col("b").alias("node")).unionByName(hubs)
+    if label is None:
+        groups = groups.withColumn("label", F.col("node"))
+    else:
+        groups = groups.join(label, "node", "left").select("g", "tile", "node", F.coalesce("label", "node").alias("label"))
+    return _confirm(docs, groups, nodes, law, text_col)
+
+
 def _tiled(rows: DataFrame, size: str) -> DataFrame:
     """``rows`` (g, node, ...) with a column ``tile``: groups above TILE rows (column ``size``) are cut, each pair of cuts meets once."""
     cuts = F.ceil(F.col(size) / TILE)
@@ -288,16 +301,12 @@ def links(docs: DataFrame, nodes: DataFrame, law: Law, text_col: str = "text", k
     for c in ("a", "b"):
         pairs = pairs.join(sigs.select(F.col("node").alias(c), F.col("sig").alias(f"of_{c}")), c)
     pairs = spool(pairs.select("a", "b", "of_a", "of_b").mapInArrow(partial(_estimated, law.least), "a long, b long"), "pairs")
-    label = known if known is None else components(known, "a", "b")
+    label = None if known is None else components(known, "a", "b")
     if label is not None:  # what is linked already needs no set
         for c in ("a", "b"):
             pairs = pairs.join(label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
         pairs = pairs.where("of_a <> of_b").select("a", "b")
-    sizes = pairs.groupBy("a").count()
-    stars = pairs.join(sizes, "a").withColumn("cuts", F.ceil(F.col("count") / TILE)).withColumn("tile", F.pmod(F.xxhash64("b"), F.col("cuts")))
-    hubs = sizes.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / TILE) - 1)).alias("tile"), F.col("a").alias("node"))
-    groups = stars.select(F.col("a").alias("g"), "tile", F.col("b").alias("node")).unionByName(hubs).withColumn("label", F.col("node"))
-    found = _confirm(docs, groups, nodes, law, text_col)
+    found = confirmed(docs, pairs, nodes, law, text_col, label)
     found = found if known is None else found.union(known)
     label = components(found, "a", "b")
     rows = shared.drop("hub").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))

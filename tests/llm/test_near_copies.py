@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from contestry.llm import near_copies
+from contestry.llm import near_copies, superminhash
 
 
 def shingles(text):
@@ -52,11 +52,10 @@ def planted():
     return [(int(i), " ".join(rows[j]).title()) for i, j in enumerate(order)]
 
 
-@pytest.mark.parametrize("tile, common", [(2048, 8), (5, 1)])
-def test_near_copies_equal_all_pairs(spark, monkeypatch, tile, common):
-    monkeypatch.setattr(near_copies, "TILE", tile)
-    monkeypatch.setattr(near_copies, "COMMON", common)
-    monkeypatch.setattr(near_copies, "SAMPLE", 2)
+@pytest.mark.parametrize("tile, picked", [(1024, 500_000), (5, 1)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, tile, picked):
+    monkeypatch.setattr(superminhash, "TILE", tile)
+    monkeypatch.setattr(superminhash, "PICKED", picked)
     rows = planted()
     got = [r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert len(got) == len(set(got)) < len(rows) and set(got) == kept(rows)
