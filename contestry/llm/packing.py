@@ -25,7 +25,7 @@ LENGTH, END_ID, QUADRATIC = 2048, 1, 4096.0
 #: Tokens packed together; bounds a task's memory whatever the partition holds.
 WINDOW = 1 << 21
 #: Bytes of text encoded together.
-BYTES = 1 << 23
+BYTES = 1 << 22
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -47,7 +47,7 @@ class WordEncoder:
     ODD = r"[\x1c-\x1f]"
     TRAILING = ".,!?;:#$%&*|"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most

@@ -68,7 +68,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered in two generations of bounded size."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.new, self.old = most, {}, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -146,7 +146,7 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for h, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2))):
             row = seen.get(h)  # copies are signed once
             if row is None:
-                if len(seen) >= 100_000:
+                if len(seen) >= 20_000:
                     seen.clear()
                 hashes = shingles(text, width)
                 row = seen[h] = (len(hashes), node_of(hashes), simhash(hashes), (signature(hashes) & np.uint64(255)).astype(np.uint8).tobytes()) if len(hashes) else (0, 0, 0, None)
