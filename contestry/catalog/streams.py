@@ -1,9 +1,11 @@
 """Streaming jobs over landed files of the sample tables; each must equal its batch result."""
 
+from pyspark.sql import functions as F
+
 from contestry.catalog.chronology import SL
 from contestry.catalog.ingestion import VERSIONS, _versions
 from contestry.catalog.registry import query, rounded
-from contestry.operators import chronology as ch, ratings
+from contestry.operators import chronology as ch
 from contestry.sources import sample_tables as st
 from contestry.streaming import jobs
 
@@ -48,13 +50,34 @@ def stream_stop(spark, d):
     return jobs.stream_counts(stream, jobs.fresh_base(spark, "events"), ["event_type"])
 
 
-@query("q_stream_entity_state", f"""WITH {SL}, w AS (SELECT contest_id, side, entity_id, row_number() OVER o - 1 AS games, coalesce(sum(won) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins,
-  round(coalesce(least(30.0, (ts - lag(ts) OVER o) / 86400.0), 30.0), 6) AS rest_days FROM sl WINDOW o AS (PARTITION BY entity_id ORDER BY ts, contest_id))
-SELECT contest_id, side, entity_id, games, CAST(wins AS BIGINT) AS wins, rest_days, 0 AS late FROM w""")
+FORM_SQL = f"""WITH {SL}, w AS (SELECT contest_id, side, entity_id, ts, won, row_number() OVER o - 1 AS games, coalesce(sum(won) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins,
+  round(coalesce(least(30.0, (ts - lag(ts) OVER o) / 86400.0), 30.0), 6) AS rest_days, list(CAST(won AS DOUBLE)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h,
+  row_number() OVER o AS rn, row_number() OVER (PARTITION BY entity_id, won ORDER BY ts, contest_id) AS rw FROM sl WINDOW o AS (PARTITION BY entity_id ORDER BY ts, contest_id)),
+i AS (SELECT *, row_number() OVER (PARTITION BY entity_id, won, rn - rw ORDER BY ts, contest_id) * (2 * won - 1) AS after FROM w)
+SELECT contest_id, side, entity_id, games, CAST(wins AS BIGINT) AS wins, round(list_reduce(list_prepend(CAST(0.5 AS DOUBLE), coalesce(h, [])), lambda acc, v: 0.15 * v + 0.85 * acc), 7) AS ema,
+  coalesce(lag(after) OVER (PARTITION BY entity_id ORDER BY ts, contest_id), 0) AS streak, rest_days"""
+
+
+@query("q_stream_entity_state", FORM_SQL + ", 0 AS late FROM i")
 def stream_entity_state(spark, d):
     run = lambda stream, base: jobs.stream_entity_state(ch.side_long(ch.valid_contests(stream)), base)
     out = jobs.catch_up(st.contests(spark, d), jobs.fresh_base(spark, "form"), run, DELIVERIES)
-    return rounded(out.select("contest_id", "side", "entity_id", "games", "wins", "rest_days", "late"))
+    return _form_rows(out, "late")
+
+
+@query("q_stream_late_rows", FORM_SQL + " FROM i")
+def stream_late_rows(spark, d):
+    """A third of the contests arrives after all others: their entities are rated again from the snapshots before them."""
+    base = jobs.fresh_base(spark, "late-form")
+    landing, contests = f"{base}/landing", st.contests(spark, d)
+    for part in (contests.where("contest_id % 3 > 0"), contests.where("contest_id % 3 = 0")):
+        part.write.mode("append").parquet(landing)
+        out = jobs.stream_entity_state(ch.side_long(ch.valid_contests(jobs.read_landed(spark, landing))), base)
+    return _form_rows(out)
+
+
+def _form_rows(out, *more):
+    return rounded(out.select("contest_id", "side", "entity_id", "games", "wins", F.round("ema", 7).alias("ema"), "streak", F.round("rest_days", 6).alias("rest_days"), *more), 7)
 
 
 @query("q_stream_periods", f"""WITH {SL} SELECT CAST(floor(ts / 86400) AS BIGINT) AS day, entity_id, count(*) AS contests, CAST(sum(won) AS BIGINT) AS wins FROM sl
@@ -66,7 +89,5 @@ def stream_periods(spark, d):
 
 @query("q_stream_period_rating")
 def stream_period_rating(spark, d):
-    rate = lambda rows: ratings.glicko_history(ratings.glicko_timeline(rows))
-    run = lambda stream, base: jobs.stream_period_rating(stream, base, rate)
-    out = jobs.catch_up(st.contests(spark, d), jobs.fresh_base(spark, "rating"), run, DELIVERIES)
+    out = jobs.catch_up(st.contests(spark, d), jobs.fresh_base(spark, "rating"), jobs.stream_period_rating, DELIVERIES)
     return rounded(out.select("day", "entity_id", "rating_after", "deviation_after"))

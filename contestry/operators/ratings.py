@@ -351,9 +351,25 @@ def _glicko_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                    np.bincount(pos, minlength=len(ids)), np.bincount(pos, weights=won, minlength=len(ids)).astype(np.int64), ids["pool"])
         return contests, periods
 
+    def load(rows: pd.DataFrame) -> None:
+        """Stored states, which come before all contests."""
+        nonlocal state, last
+        known = len(slot_of)
+        for p, e in zip(rows["pool"].tolist(), rows["a_id"].tolist()):
+            slot_of[p, e] = len(slot_of)
+        while len(slot_of) > len(last):
+            state, last = np.concatenate([state, np.empty_like(state)], axis=1), np.concatenate([last, np.empty_like(last)])
+        state[:, known:len(slot_of)] = rows[["r", "d", "s"]].to_numpy(dtype=float).T
+        last[known:len(slot_of)] = rows["last"].to_numpy(dtype=np.int64)
+
     columns = ["contest_id", "day", "a_id", "b_id", "a_win", "pool"]
     rest = None
     for batch in batches:
+        if "r" in batch.columns:
+            stored = batch["step"].to_numpy() == 0
+            if stored.any():
+                load(batch[stored])
+                batch = batch[~stored]
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         step = rows["step"].to_numpy()
         cuts = np.flatnonzero(np.diff(step)) + 1
@@ -371,25 +387,34 @@ def _glicko_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def glicko_timeline(contests: DataFrame, pool: str | None = "pool", since: int | None = None,
-                    pool_rows: int = POOL_ROWS, period_days: int = 1) -> DataFrame:
-    """Rows of kind 0 (contest, both states before) and kind 1 (entity and day, before and after)."""
+                    pool_rows: int = POOL_ROWS, period_days: int = 1, state: DataFrame | None = None) -> DataFrame:
+    """Rows of kind 0 (contest, both states before) and kind 1 (entity and day, before and after).
+
+    ``state`` (pool, entity_id, r, d, s, last): where to continue from; ``last`` is the day of an entity's last period.
+    """
     valid = valid_contests(contests, since).select(
         "contest_id", F.floor(F.col("ts") / (DAY * period_days)).alias("day"), "a_id", "b_id", "a_win",
         (F.col(pool) if pool else F.lit(0)).cast("long").alias("pool"))
     large = valid.groupBy("pool").count().where(F.col("count") > pool_rows).select("pool")
     if large.isEmpty():
-        return _glicko_pools(valid)
-    return _glicko_pools(valid.join(large, "pool", "left_anti")).unionByName(
-        glicko_by_period(valid.join(large, "pool", "left_semi")))
+        return _glicko_pools(valid, state)
+    return _glicko_pools(valid.join(large, "pool", "left_anti"), state).unionByName(
+        glicko_by_period(valid.join(large, "pool", "left_semi"), state))
 
 
-def _glicko_pools(valid: DataFrame) -> DataFrame:
+def _glicko_pools(valid: DataFrame, state: DataFrame | None = None) -> DataFrame:
     active_day = F.dense_rank().over(Window.partitionBy("pool").orderBy("day")).alias("step")
     stepped = valid.repartition(_tasks(valid), "pool").select("contest_id", "day", "a_id", "b_id", "a_win", "pool", active_day)
+    if state is not None:
+        zero = F.lit(0).cast("long")
+        none = [F.lit(None).cast("double").alias(c) for c in ("r", "d", "s")]
+        held = state.select(zero.alias("contest_id"), zero.alias("day"), F.col("entity_id").alias("a_id"), zero.alias("b_id"), zero.alias("a_win"), "pool",
+                            F.lit(0).alias("step"), "r", "d", "s", "last")
+        stepped = stepped.select("*", *none, F.lit(None).cast("long").alias("last")).unionByName(held).repartition(_tasks(valid), "pool")
     return stepped.sortWithinPartitions("step", "contest_id").mapInPandas(_glicko_fold, GLICKO_SCHEMA)
 
 
-def glicko_by_period(valid: DataFrame) -> DataFrame:
+def glicko_by_period(valid: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """The same timeline for a pool too large for one task: one round of joins per period.
 
     Contests of a period only need the state before it, so a period is two joins, one partial
@@ -400,8 +425,8 @@ def glicko_by_period(valid: DataFrame) -> DataFrame:
     rows = materialize(valid, f"{base}/contests", "day")
     days = [r[0] for r in rows.select("day").distinct().orderBy("day").collect()]
     columns = [c.split()[0] for c in GLICKO_SCHEMA.split(", ")]
-    state = materialize(spark.createDataFrame(
-        [], "pool long, entity_id long, r double, d double, s double, last long"), f"{base}/state")
+    none = spark.createDataFrame([], "pool long, entity_id long, r double, d double, s double, last long")
+    state = materialize(none if start is None else start.select(*none.columns), f"{base}/state")
 
     @F.pandas_udf("r2 double, d2 double, s2 double")
     def after(r: pd.Series, d: pd.Series, s: pd.Series, inverse: pd.Series, gain: pd.Series) -> pd.DataFrame:

@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from contestry.operators import ratings
 from contestry.session import run_dir
+from contestry.sources.ledger import BucketTable, Ledger
 
 
 def read_landed(spark: SparkSession, path: str, files_per_batch: int | None = None, glob: str | None = None) -> DataFrame:
@@ -35,28 +36,28 @@ def run_available(stream: DataFrame, base: str, batch: Callable[[DataFrame, int]
 
 # --- upsert ------------------------------------------------------------------------------------
 
-def upsert(stream: DataFrame, base: str, key: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Keep one merged row per key, as generations of a table.
+def upsert(stream: DataFrame, base: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = 32,
+           mode: str = "append") -> DataFrame:
+    """Keep one merged row per key in a bucketed table.
 
-    A micro-batch reads the generation before it and writes its own; repeating a batch rewrites the
-    same folder from the same input. ``merge`` takes old and new records in one frame.
+    A micro-batch rewrites only the buckets of its keys and commits them with one rename; a batch that is
+    delivered again changes nothing. The version before the current one stays readable, older ones are deleted.
+    ``merge`` takes old and new records in one frame.
     """
     spark = stream.sparkSession
+    ledger, table = Ledger(spark, base), BucketTable(spark, f"{base}/table", stream.schema, keys, buckets)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        merged = merge(_previous(rows, batch_id))
-        merged.write.mode("overwrite").parquet(f"{base}/table/generation={batch_id}")
+        doc = ledger.read()
+        if batch_id <= doc["batch"]:
+            return
+        old = doc.get("files", {})
+        files = table.stage(old, rows, merge)
+        ledger.commit(batch_id, files=files)
+        table.vacuum(old, files)
 
-    def _previous(rows: DataFrame, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return rows
-        old = spark.read.schema(rows.schema).parquet(f"{base}/table/generation={batch_id - 1}")
-        return old.unionByName(rows)
-
-    run_available(stream, base, write)
-    generations = spark.read.parquet(f"{base}/table")
-    newest = generations.agg(F.max("generation")).first()[0]
-    return spark.read.parquet(f"{base}/table/generation={newest}")
+    run_available(stream, base, write, mode)
+    return table.read(ledger.read().get("files", {}))
 
 
 def upsert_contests(stream: DataFrame, base: str) -> DataFrame:
@@ -78,7 +79,7 @@ def upsert_contests(stream: DataFrame, base: str) -> DataFrame:
         return rows.groupBy("contest_id").agg(*[F.max(c).alias(c) for c in [*columns, *latest, "detailed", "payload"]]).select(
             *rows.columns)
 
-    table = upsert(versioned(stream), base, "contest_id", merge)
+    table = upsert(versioned(stream), base, ["contest_id"], merge)
     return table.select("contest_id", *[F.col(f"{c}.v").alias(c) for c in [*columns, *latest]], "detailed", F.col("payload.v").alias("payload"))
 
 
@@ -89,62 +90,99 @@ def incremental_index(stream: DataFrame, base: str, since: int) -> DataFrame:
 
 # --- counters ----------------------------------------------------------------------------------
 
-def stream_counts(stream: DataFrame, base: str, keys: list[str]) -> DataFrame:
-    """Resumable counters: each micro-batch stores its partial counts, the total is their sum."""
-    def write(rows: DataFrame, batch_id: int) -> None:
-        rows.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/partials/batch={batch_id}")
-
-    run_available(stream, base, write)
-    stored = stream.sparkSession.read.parquet(f"{base}/partials")
-    return stored.groupBy(*keys).agg(F.sum("n").alias("n"))
+def stream_counts(stream: DataFrame, base: str, keys: list[str], buckets: int = 8) -> DataFrame:
+    """Resumable counters: totals live in the stream's state, changed ones are upserted into a bucketed table."""
+    counts = stream.groupBy(*keys).agg(F.count("*").alias("n"))
+    return upsert(counts, base, keys, lambda rows: rows.groupBy(*keys).agg(F.max("n").alias("n")), buckets, "update")
 
 
 # --- per-entity state --------------------------------------------------------------------------
 
-STATE = "games long, wins long, ema double, streak long, last_ts long, last_id long"
 OUTPUT = "contest_id long, side long, entity_id long, ts long, games long, wins long, ema double, streak long, rest_days double, late long"
 FORM_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+LOG = OUTPUT + ", won long"
+LOG_COLUMNS = [c.split()[0] for c in LOG.split(", ")]
+EVENT = ["ts", "contest_id", "side"]
 
 
-class FormProcessor(StatefulProcessor):
-    """Form of one entity: emits the values before each contest, then updates them.
+def _form_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold rows sorted by entity, kind, event. Kind 0 is the row to continue after, with its stored values; kind 1 is rated.
 
-    Rows of a micro-batch are put in event order. A contest older than the stored last one cannot be
-    applied any more; it is emitted with ``late`` = 1 for a rebuild.
+    Only the state of the current entity is in memory, however many rows it has.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.form = handle.getValueState("form", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["ts", "contest_id"], kind="stable")
-        games, wins, ema, streak, last_ts, last_id = self.form.get() if self.form.exists() else (0, 0, 0.5, 0, -1, -1)
+    entity, state = None, None
+    for batch in batches:
         out = []
-        for cid, side, ts, won in zip(batch.contest_id, batch.side, batch.ts, batch.won):
-            late = (ts, cid) < (last_ts, last_id)
-            rest = 30.0 if games == 0 else min(30.0, max(0.0, (ts - last_ts) / 86_400))
-            out.append((cid, side, key[0], ts, games, wins, ema, streak, rest, int(late)))
-            if late:
-                continue
-            games, wins, ema = games + 1, wins + won, 0.15 * won + 0.85 * ema
+        for kind, eid, ts, cid, side, won, late, *stored in zip(*(batch[c] for c in ("kind", "entity_id", *EVENT, "won", "late", "games", "wins", "ema", "streak"))):
+            if eid != entity:
+                entity, state = eid, (0, 0, 0.5, 0, None)
+            games, wins, ema, streak, last = state
+            if kind == 0:
+                games, wins, ema, streak = int(stored[0]), int(stored[1]), float(stored[2]), int(stored[3])
+            else:
+                rest = 30.0 if last is None else min(30.0, max(0.0, (ts - last) / 86_400))
+                out.append((cid, side, eid, ts, games, wins, ema, streak, rest, late, won))
             streak = (max(streak, 0) + 1) if won else (min(streak, 0) - 1)
-            last_ts, last_id = ts, cid
-        self.form.update((int(games), int(wins), float(ema), int(streak), int(last_ts), int(last_id)))
-        yield pd.DataFrame(out, columns=FORM_COLUMNS)
+            state = (games + 1, wins + won, 0.15 * won + 0.85 * ema, streak, ts)
+        yield pd.DataFrame(out, columns=LOG_COLUMNS)
 
-    def close(self) -> None:
-        pass
 
+def _newest(log: DataFrame, *columns: str) -> DataFrame:
+    """The last version of every logged row."""
+    rows = F.max_by(F.struct(*columns), "batch").alias("r")
+    return log.groupBy("contest_id", "side").agg(rows).select("r.*")
 
-def stream_entity_state(sides: DataFrame, base: str) -> DataFrame:
-    """Run the form state over a stream of side rows; needs the RocksDB state store."""
+
+def stream_entity_state(sides: DataFrame, base: str, buckets: int = 32) -> DataFrame:
+    """Form of every side row before its contest, kept up to date, late rows included.
+
+    The log holds each rated row with the values before it, so every row is a snapshot. The state is the last row of
+    each entity, in a bucketed table. A batch continues from there; for an entity with rows older than its state, the
+    log is read: the batch continues from the last row before the oldest new one, and the rows behind it are rated
+    again and logged as a newer version. ``late`` marks rows that came after a later one of their entity. Rows
+    delivered again replace themselves. Log and state are committed together, once per batch.
+    """
     spark = sides.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    formed = sides.groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=FormProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
-    run_available(formed, base, sink=f"{base}/form")
-    return spark.read.schema(OUTPUT).parquet(f"{base}/form")
+    ledger, states = Ledger(spark, base), BucketTable(spark, f"{base}/state", LOG + ", batch long", ["entity_id"], buckets)
+    at = F.struct(*EVENT)
+
+    def logged(batch: int) -> DataFrame:
+        return spark.read.schema(LOG + ", batch long").parquet(f"{base}/log").where(F.col("batch") <= batch)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        doc = ledger.read()
+        if batch_id <= doc["batch"] or rows.isEmpty():
+            return
+        files = doc.get("files", {})
+        rows = rows.select("contest_id", "side", "entity_id", "ts", "won").dropDuplicates(["contest_id", "side"])
+        first = rows.groupBy("entity_id").agg(F.min(at).alias("first"))
+        last = states.read(files, states.touched(rows)).join(first, "entity_id").withColumn("at", at)
+        rated = rows.join(last.select("entity_id", "at"), "entity_id", "left").withColumn("late", F.coalesce((F.struct(*EVENT) < F.col("at")).cast("long"), F.lit(0).cast("long"))).drop("at")
+        pieces = [last.where(F.col("at") < F.col("first")).select(F.lit(0).alias("kind"), *LOG_COLUMNS)]
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("games", "long"), ("wins", "long"), ("ema", "double"), ("streak", "long"), ("rest_days", "double"))]
+        fresh = rated.select(F.lit(1).alias("kind"), *[c for c in LOG_COLUMNS if c not in ("games", "wins", "ema", "streak", "rest_days")], *none)
+        behind = last.where(F.col("at") >= F.col("first")).select("entity_id", "first")
+        if files and not behind.isEmpty():
+            own = _newest(logged(doc["batch"]).join(behind.select("entity_id"), "entity_id", "left_semi"), *LOG_COLUMNS).join(behind, "entity_id")
+            start = own.where(at < F.col("first")).groupBy("entity_id").agg(F.max_by(F.struct(*LOG_COLUMNS), at).alias("r")).select(F.lit(0).alias("kind"), "r.*")
+            again = own.where(at >= F.col("first")).join(rows.select("contest_id", "side"), ["contest_id", "side"], "left_anti")
+            pieces += [start, again.select(F.lit(1).alias("kind"), *LOG_COLUMNS)]
+        for piece in pieces:
+            fresh = fresh.unionByName(piece)
+        ordered = fresh.repartition("entity_id").sortWithinPartitions("entity_id", "kind", *EVENT)
+        path = f"{base}/log/batch={batch_id}"
+        ordered.mapInPandas(_form_fold, LOG).write.mode("overwrite").parquet(path)
+        ends = spark.read.schema(LOG).parquet(path).groupBy("entity_id").agg(F.max_by(F.struct(*LOG_COLUMNS), at).alias("r")).select("r.*", F.lit(batch_id).cast("long").alias("batch"))
+        newer = lambda both: both.groupBy("entity_id").agg(F.max_by(F.struct(*LOG_COLUMNS, "batch"), "batch").alias("r")).select("r.*")
+        current = states.stage(files, ends, newer)
+        ledger.commit(batch_id, files=current)
+        states.vacuum(files, current)
+
+    run_available(sides, base, write)
+    batch = ledger.read()["batch"]
+    if batch < 0:
+        return spark.createDataFrame([], OUTPUT)
+    return _newest(logged(batch), *FORM_COLUMNS)
 
 
 # --- daily periods -----------------------------------------------------------------------------
@@ -159,17 +197,59 @@ def stream_periods(sides: DataFrame, base: str, delay: str = "1 day") -> DataFra
     return sides.sparkSession.read.schema("day long, entity_id long, contests long, wins long").parquet(f"{base}/days")
 
 
-def stream_period_rating(contests: DataFrame, base: str, rate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Ratings from closed days only: contests are stored as they arrive, a day counts once a later one was seen."""
+RATING_STATE = "pool long, entity_id long, r double, d double, s double, last long"
+
+
+def stream_period_rating(contests: DataFrame, base: str, wait: int = 0, buckets: int = 32) -> DataFrame:
+    """Glicko history of the closed days (pool, day, entity_id, states before and after), from stored ratings.
+
+    A day closes once a contest more than ``wait`` days later was seen. A batch rates only the days that it closes,
+    from the state of the entities that play in them; contests of open days wait in a table of their own. A contest
+    of a day that is closed already is not rated: it goes to the late table (``late_contests``) and is counted
+    in the ledger. History, state and open contests are committed together, once per batch.
+    """
     spark = contests.sparkSession
+    ledger, states = Ledger(spark, base), BucketTable(spark, f"{base}/state", RATING_STATE, ["pool", "entity_id"], buckets)
+    columns = ["contest_id", "ts", "pool", "a_id", "b_id", "a_win"]
+    day = F.floor(F.col("ts") / 86_400)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{base}/contests/batch={batch_id}")
+        doc = ledger.read()
+        if batch_id <= doc["batch"]:
+            return
+        rows, closed, files = rows.select(*columns), doc.get("closed"), doc.get("files", {})
+        late = rows.where(day <= closed) if closed is not None else rows.where("false")
+        late.write.mode("overwrite").parquet(f"{base}/late/batch={batch_id}")
+        open_ = rows if closed is None else rows.where(day > closed)
+        if "open" in doc:
+            open_ = open_.unionByName(spark.read.schema(rows.schema).parquet(doc["open"])).dropDuplicates(["contest_id"])
+        newest = open_.agg(F.max(day)).first()[0]
+        until = closed if newest is None else max(newest - 1 - wait, newest - 1 - wait if closed is None else closed)
+        ready, rest = (open_.where(day <= until), open_.where(day > until)) if until is not None else (open_.where("false"), open_)
+        rest.write.mode("overwrite").parquet(f"{base}/open/batch={batch_id}")
+        ready = ratings.valid_contests(ready)
+        players = ready.select("pool", F.explode(F.array("a_id", "b_id")).alias("entity_id")).distinct()
+        known = states.read(files, states.touched(players)).join(players, ["pool", "entity_id"], "left_semi")
+        timeline = ratings.glicko_timeline(ready, state=known).where("kind = 1")
+        path = f"{base}/history/batch={batch_id}"
+        timeline.write.mode("overwrite").parquet(path)
+        ends = spark.read.schema(timeline.schema).parquet(path).groupBy("pool", "entity_id").agg(F.max_by(F.struct(
+            F.col("other_rating").alias("r"), F.col("other_deviation").alias("d"), F.col("other_volatility").alias("s"), F.col("day").alias("last")), "day").alias("v"))
+        newer = lambda both: both.groupBy("pool", "entity_id").agg(F.max_by(F.struct("r", "d", "s", "last"), "last").alias("v")).select("pool", "entity_id", "v.*")
+        current = states.stage(files, ends.select("pool", "entity_id", "v.*"), newer)
+        n_late = doc.get("late", 0) + spark.read.schema(rows.schema).parquet(f"{base}/late/batch={batch_id}").count()
+        ledger.commit(batch_id, files=current, open=f"{base}/open/batch={batch_id}", closed=until, late=n_late)
+        states.vacuum(files, current)
 
     run_available(contests, base, write)
-    stored = spark.read.parquet(f"{base}/contests").drop("batch")
-    open_day = stored.agg(F.max(F.floor(F.col("ts") / 86_400))).scalar()
-    return rate(stored.where(F.floor(F.col("ts") / 86_400) < open_day))
+    batch = ledger.read()["batch"]
+    stored = spark.read.schema(ratings.GLICKO_SCHEMA + ", batch long").parquet(f"{base}/history").where(F.col("batch") <= batch)
+    return ratings.glicko_history(stored)
+
+
+def late_contests(spark: SparkSession, base: str) -> DataFrame:
+    """Contests that came after their day was closed, with the batch that brought them."""
+    return spark.read.parquet(f"{base}/late")
 
 
 def fresh_base(spark: SparkSession, label: str) -> str:
