@@ -40,7 +40,7 @@ def entity_form(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
     rows and no per-row array is built. Hot entities are sliced and their earlier slices carried.
     """
     rows = side_long(contests)
-    s = hot.slice_hot_keys(rows, ["entity_id"], "ts", hot_rows)
+    s = sliced = hot.slice_hot_keys(rows, ["entity_id"], ORDER, hot_rows)
     part = ["entity_id", hot.SLICE]
     w = Window.partitionBy(*part).orderBy(*ORDER)
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +71,7 @@ def entity_form(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
     s = s.withColumn("ema_local", (F.col("scaled") - own) * F.pow(F.lit(decay), F.col("pos") - 1)
                      + F.col("start") * F.pow(F.lit(decay), F.col("pos")))
 
-    carry = _form_carry(hot.hot_slices(hot.slice_hot_keys(rows, ["entity_id"], "ts", hot_rows)))
+    carry = _form_carry(hot.hot_slices(sliced))
     j = hot.attach_carry(s, carry, ["entity_id"])
     before = F.coalesce(F.col("c_games"), F.lit(0))
     games = F.col("g") + before

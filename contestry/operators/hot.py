@@ -1,55 +1,105 @@
 """Ordered windows that stay parallel when one key holds a large part of the rows.
 
 A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here the few keys above
-``hot_rows`` rows are cut into time slices; the window runs per (key, slice), and what earlier
-slices contribute is added from a table with one row per slice of a hot key. Other keys keep a
-single slice, and their side table is empty. The list of hot keys is limited to the largest
-``MAX_HOT_KEYS``, so the broadcast has a fixed size: a key outside that list holds fewer than
-1 / MAX_HOT_KEYS of all rows and needs no cut.
+``hot_rows`` rows are cut into slices of about equal numbers of rows, along the full order: the first order
+column is cut at its quantiles, and a single value that fills several slices is cut by the second one. The
+window runs per (key, slice), and what earlier slices contribute is added from a table with one row per slice of a
+hot key. Other keys keep a single slice; without hot keys the plan is the plain window.
+
+Which keys are hot and where they are cut is decided when the plan is built: at most ``MAX_HOT_KEYS`` keys with a
+bounded number of cuts each reach the driver, so the broadcast has a fixed size. A key outside that list holds
+fewer than 1 / MAX_HOT_KEYS of all rows and needs no cut. Cuts change the work, never the result.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, MapType, StructField, StructType
 
 from contestry.session import materialize, run_dir
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 20_000
+MAX_HOT_KEYS = 2_000
+#: Slices of a hot key: as many as its rows ask for, between these bounds; of a single value of the first order column.
+LEAST_SLICES, MOST_SLICES, TIE_SLICES = 128, 4096, 64
+CHUNK = 64
 
 SLICE = "_slice"
 SLICES = "_slices"
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(keys, _lo, _hi, _slices) of the keys that need slicing; at most MAX_HOT_KEYS rows."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
-        .select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / hot_rows).alias(SLICES))
-    )
-
-
-def slice_hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_slice`` (0 for ordinary keys) and ``_slices``; equal order values share a slice.
-
-    Rows with a null key match no hot key and stay whole; they are still right, only not cut.
+def _fractions(pieces: int) -> Column:
+    return F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k] == right[f"_k{i}"] for i, k in enumerate(keys)])
+
+
+def _named(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *more)
+
+
+def _cuts(df: DataFrame, keys: list[str], order: list[str], hot: list, schema: StructType, most: int) -> DataFrame:
+    """(keys, _tops, _parts, _ties) of the hot keys: cuts of the first order column in chunks, cuts of values that fill slices."""
+    spark, first = df.sparkSession, order[0]
+    right = _named(spark.createDataFrame(hot, schema), keys)
+    rows = df.join(F.broadcast(right), _same(df, right, keys)).select(*keys, *order[:2])
+    pieces = min(MOST_SLICES, max(LEAST_SLICES, most))
+    found = {tuple(r[k] for k in keys): r["c"] for r in rows.groupBy(*keys).agg(
+        F.percentile_approx(first, _fractions(pieces), F.lit(20 * pieces)).alias("c")).collect()}
+    kind = df.schema[first].dataType
+    heavy = [(*k, v) for k, c in found.items() for v in sorted({x for x, y in zip(c, c[1:]) if x == y})]
+    ties: dict[tuple, dict] = {}
+    tie_kind = LongType()
+    if heavy and len(order) > 1:
+        tie_kind = df.schema[order[1]].dataType
+        wanted = _named(spark.createDataFrame(heavy, StructType([df.schema[k] for k in keys] + [StructField("_v", kind)])), keys, "_v")
+        same = rows.join(F.broadcast(wanted), _same(rows, wanted, keys) & (rows[first] == wanted["_v"]))
+        for r in same.groupBy(*keys, first).agg(F.percentile_approx(order[1], _fractions(TIE_SLICES), F.lit(20 * TIE_SLICES)).alias("c")).collect():
+            ties.setdefault(tuple(r[k] for k in keys), {})[r[first]] = sorted(set(r["c"]))
+    out = []
+    for k, c in found.items():
+        c = sorted(set(c))
+        parts = [c[i:i + CHUNK] for i in range(0, len(c), CHUNK)]
+        out.append((*k, [p[-1] for p in parts], parts, ties.get(k, {})))
+    fields = [*[df.schema[k] for k in keys], StructField("_tops", ArrayType(kind)), StructField("_parts", ArrayType(ArrayType(kind))), StructField("_ties", MapType(kind, ArrayType(tie_kind)))]
+    return spark.createDataFrame(out, StructType([StructField(f.name, f.dataType, True) for f in fields]))
+
+
+def _below(cuts: Column, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
+def _placed(df: DataFrame, keys: list[str], order: list[str], cuts: DataFrame) -> DataFrame:
+    right = _named(cuts, keys, "_tops", "_parts", "_ties")
+    first = F.col(order[0])
+    chunk = _below(F.col("_tops"), first)
+    rank = chunk * CHUNK + F.coalesce(F.when(chunk < F.size("_tops"), _below(F.get("_parts", chunk), first)), F.lit(0))
+    # a value that is cut is the last one of its slice: it comes behind the other values there
+    tie = F.try_element_at(F.col("_ties"), first)
+    deep = F.when(tie.isNotNull(), 1 + _below(tie, F.col(order[1]))).otherwise(0) if len(order) > 1 else F.lit(0)
+    number = F.when(F.col("_tops").isNotNull(), rank * (TIE_SLICES + 1) + deep).otherwise(0)
+    joined = df.join(F.broadcast(right), _same(df, right, keys), "left")
+    return joined.withColumn(SLICE, number).withColumn(SLICES, F.when(F.col("_tops").isNotNull(), MOST_SLICES).otherwise(1)).drop(
+        "_tops", "_parts", "_ties", *[f"_k{i}" for i in range(len(keys))])
+
+
+def slice_hot_keys(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_slice`` (0 for ordinary keys) and ``_slices`` (above 1 for hot keys). Slices ascend along ``order``.
+
+    Rows with a null key match no hot key and stay whole; they are still right, only not cut. The first two columns of
+    ``order`` must be numeric.
     """
-    hot = hot_keys(df, keys, order, hot_rows)
-    right = hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi", SLICES)
-    condition = reduce(lambda a, b: a & b, [df[k] == right[f"_k{i}"] for i, k in enumerate(keys)])
-    width = F.col("_hi") - F.col("_lo") + 1
-    return (
-        df.join(F.broadcast(right), condition, "left")
-        .withColumn(SLICE, F.coalesce(
-            F.floor((F.col(order) - F.col("_lo")) / width * F.col(SLICES)).cast("int"), F.lit(0)))
-        .withColumn(SLICES, F.coalesce(F.col(SLICES), F.lit(1)))
-        .drop("_lo", "_hi", *[f"_k{i}" for i in range(len(keys))])
-    )
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS).collect()
+    hot = [r for r in hot if all(r[k] is not None for k in keys)]
+    if not hot:
+        return df.withColumns({SLICE: F.lit(0), SLICES: F.lit(1)})
+    return _placed(df, keys, order, _cuts(df, keys, order, hot, counts.schema, math.ceil(hot[0]["_n"] / hot_rows)))
 
 
 def attach_carry(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,7 +133,7 @@ def prefix_sums(
     ``order[0]`` must be numeric; the full order must be total within a key.
     """
     named = df.select("*", *[expr.alias(f"_v_{n}") for n, expr in sums.items()])
-    sliced = slice_hot_keys(named, keys, order[0], hot_rows)
+    sliced = slice_hot_keys(named, keys, order, hot_rows)
     last = 0 if inclusive else -1
     local_w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     before_w = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,24 +145,26 @@ def prefix_sums(
         *df.columns, *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
-def global_index(df: DataFrame, order: list[str], name: str = "idx", bucket_width: int = 3600) -> DataFrame:
+def global_index(df: DataFrame, order: list[str], name: str = "idx", slice_rows: int = HOT_ROWS) -> DataFrame:
     """0-based position in one global order without a single-task sort.
 
-    Rows are bucketed by ``order[0]`` (seconds); offsets come from one row per bucket. The number
-    of buckets is bounded by the calendar (about 88,000 hours in ten years), not by the rows.
+    The whole table is cut like a hot key: slices of about equal numbers of rows along the order, rows that share one
+    moment included. Offsets come from one row per slice.
     """
-    bucketed = df.withColumn("_b", F.floor(F.col(order[0]) / bucket_width))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
-        .select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    within = Window.partitionBy("_b").orderBy(*order)
+    keyed = df.withColumn("_g", F.lit(0))
+    total = df.count()
+    if not total:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    schema = keyed.select("_g").schema
+    sliced = _placed(keyed, ["_g"], order, _cuts(keyed, ["_g"], order, [(0,)], schema, math.ceil(total / slice_rows)))
+    before = Window.partitionBy(F.lit(0)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(SLICE).agg(F.count("*").alias("_n")).select(SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(SLICE).orderBy(*order)
     return (
-        bucketed.withColumn("_i", F.row_number().over(within) - 1)
-        .join(offsets, "_b")
+        sliced.withColumn("_i", F.row_number().over(within) - 1)
+        .join(offsets, SLICE)
         .withColumn(name, (F.col("_i") + F.col("_offset")).cast("long"))
-        .drop("_b", "_i", "_offset")
+        .drop("_g", "_i", "_offset", SLICE, SLICES)
     )
 
 
@@ -127,6 +179,7 @@ def cumulative_counts(df: DataFrame, group: list[str], value: str, buckets: int
     base = materialize(base, run_dir(df.sparkSession, "counts"))
     cuts = F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(20 * buckets))
     span = base.groupBy(*group).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("n").alias("n_all"))
+    span = materialize(span, run_dir(df.sparkSession, "cuts"))  # both uses below must see the same cuts
     placed = base.join(span, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*group, "_b").agg(F.sum("n").alias("_t")).select(
@@ -156,7 +209,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, name: str,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``name``: the value of the preceding row of the same key, null for the first."""
-    s = slice_hot_keys(df, keys, order[0], hot_rows)
+    s = slice_hot_keys(df, keys, order, hot_rows)
     w = Window.partitionBy(*keys, SLICE).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     local = s.withColumn("_prev", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)

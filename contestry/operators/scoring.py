@@ -154,7 +154,7 @@ def series_scores(scored: DataFrame) -> DataFrame:
 
 def running_best(series: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
     """Highest series score of the group so far, in order of time."""
-    s = hot.slice_hot_keys(series, ["group_id"], "ts", hot_rows)
+    s = hot.slice_hot_keys(series, ["group_id"], ["ts", "series_id"], hot_rows)
     w = Window.partitionBy("group_id", hot.SLICE).orderBy("ts", "series_id").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("group_id").orderBy(hot.SLICE).rowsBetween(Window.unboundedPreceding, -1)
     local = s.withColumn("_m", F.max("score").over(w))

@@ -108,3 +108,25 @@ def test_lineup_experience_sliced(spark):
     s = lineups.sides(d)
     for make in (lineups.member_experience, lineups.lineup_experience, lineups.pair_experience, lineups.retained_members):
         close(by_key(make(s), "contest_id", "side"), by_key(make(s, hot_rows=20), "contest_id", "side"))
+
+
+@pytest.mark.parametrize("times", [lambda i: 5, lambda i: 10 ** 9 if i == 999 else i // 10, lambda i: i if i < 300 else 300, lambda i: i])
+def test_hot_key_is_cut_whatever_its_times(spark, times):
+    rows = [(1, times(i), i, i % 7) for i in range(1000)] + [(2, 3, i, 1) for i in range(20)] + [(None, 1, i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, ts long, id long, v long").repartition(3)
+    sliced = hot.slice_hot_keys(df, ["k"], ["ts", "id"], 100)
+    sizes = {r[hot.SLICE]: (r.n, r.lo, r.hi) for r in sliced.where("k = 1").groupBy(hot.SLICE).agg(
+        F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("lo"), F.max(F.struct("ts", "id")).alias("hi")).collect()}
+    assert len(sizes) >= 8 and max(n for n, _, _ in sizes.values()) <= 250
+    bounds = [sizes[k][1:] for k in sorted(sizes)]
+    assert all(tuple(a[1]) < tuple(b[0]) for a, b in zip(bounds, bounds[1:]))
+    assert sliced.where("k = 2 or k is null").agg(F.max(hot.SLICE)).first()[0] == 0
+    summed = hot.prefix_sums(df, ["k"], ["ts", "id"], {"s": F.col("v")}, 100).where("k = 1").orderBy("ts", "id").collect()
+    assert [r.s for r in summed] == [sum(r.v for r in summed[:i]) for i in range(1000)]
+    index = hot.global_index(df.where("k = 1"), ["ts", "id"], slice_rows=50).orderBy("ts", "id").collect()
+    assert [r.idx for r in index] == list(range(1000))
+
+
+def test_window_without_hot_keys_reads_its_input_once(spark, contests):
+    plan = ch.entity_form(ch.valid_contests(contests))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == ch.valid_contests(contests)._jdf.queryExecution().optimizedPlan().toString().count("Join")
