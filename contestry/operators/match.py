@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from contestry.functions import text as tx
@@ -126,28 +129,52 @@ def extract_measures(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select("*", tx.percentage(c).alias("percent"), tx.tier_number(c).alias("tier"), tx.trait_of(c).alias("trait"))
 
 
-def dedupe_readings(readings: DataFrame, keys: list[str], gap: int = 5) -> DataFrame:
-    """One row per run of readings of a metric whose multipliers are at most ``gap`` apart.
-
-    The more confident, then more detailed reading wins; its gaps are filled from the others and
-    the lowest slot is kept. Equal multipliers collapse first, so a run is found over a few
-    hundred rows however often a source repeats a reading.
+DETAILS = ("tier", "trait", "trait_bonus")
+
+
+def _kept_readings(keys: list[str], columns: list[str], gap: float):
+    """Fold readings sorted by keys and slot; only the kept readings of the current key are in memory."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept, out = None, [], []
+
+        def finished() -> list[tuple]:
+            return [(*current, r["multiplier"], r["slot"], *[r[c] for c in DETAILS], r["confidence"], r["readings"]) for r in kept]
+
+        for batch in batches:
+            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                key = tuple(row[k] for k in keys)
+                if key != current:
+                    out += finished() if kept else []
+                    current, kept = key, []
+                m = row["multiplier"]
+                row["readings"] = 1
+                at = next((i for i, r in enumerate(kept) if m is not None and r["multiplier"] is not None and abs(r["multiplier"] - m) <= gap), None)
+                if at is None:
+                    kept.append(row)
+                    continue
+                held = kept[at]
+                detail = [sum(r[c] is not None for c in DETAILS) for r in (row, held)]
+                better = (row["confidence"] or 0) > (held["confidence"] or 0) or detail[0] > detail[1]
+                first, second = (row, held) if better else (held, row)
+                filled = {c: second[c] if first[c] is None else first[c] for c in DETAILS}
+                kept[at] = first | filled | {"slot": min(held["slot"], row["slot"]), "readings": held["readings"] + 1}
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+            out = []
+        yield pd.DataFrame(finished() if kept else [], columns=columns, dtype=object)
+
+    return fold
+
+
+def dedupe_readings(readings: DataFrame, keys: list[str], gap: float = 5) -> DataFrame:
+    """The readings kept of every key: a reading whose multiplier is within ``gap`` of a kept one is merged into it.
+
+    Readings come in order of ``slot``. The more confident or more detailed one of the two keeps its values, its gaps
+    are filled from the other, and the lower slot stays; later readings are compared with what was kept. The rule
+    depends on the order, so a key is one sequence: its rows are streamed through one task, sorted on disk where
+    they are many, and only the kept readings are held. Null multipliers match nothing.
     """
-    detail = sum(F.col(c).isNotNull().cast("int") for c in ("tier", "trait", "trait_bonus"))
-    order = F.struct(F.col("confidence"), detail.alias("detail"), (-F.col("slot")).alias("first"))
-    fills = ("tier", "trait", "trait_bonus")
-    r = readings.select(
-        *keys, "multiplier", "slot", F.lit(1).alias("n"), F.struct(order.alias("o"), F.col("multiplier").alias("v")).alias("best"),
-        *[F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v"))).alias(c) for c in fills])
-
-    def merged(df, *by):
-        return df.groupBy(*keys, *by).agg(
-            F.max("best").alias("best"), F.min("slot").alias("slot"), F.sum("n").alias("n"), *[F.max(c).alias(c) for c in fills])
-
-    first = merged(r, "multiplier")
-    w = Window.partitionBy(*keys).orderBy("multiplier")
-    starts = F.when(F.col("multiplier") - F.lag("multiplier").over(w) > gap, 1).otherwise(0)
-    runs = first.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged(runs, "_run").select(
-        *keys, F.col("best.v").alias("multiplier"), "slot", *[F.col(f"{c}.v").alias(c) for c in fills],
-        F.col("best.o.confidence").alias("confidence"), F.col("n").alias("readings"))
+    numbers = ["multiplier", "slot", *DETAILS, "confidence"]
+    rows = readings.select(*keys, *numbers)
+    schema = rows.schema.simpleString()[len("struct<"):-1].replace(":", " ") + ", readings long"
+    order = rows.repartition(*keys).sortWithinPartitions(*keys, "slot", "multiplier", F.desc("confidence"))
+    return order.mapInPandas(_kept_readings(keys, [*keys, *numbers, "readings"], gap), schema)

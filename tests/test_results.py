@@ -110,3 +110,29 @@ def test_long_names_are_found_by_parts(spark):
 
     want = {(x, n) for x in tokens for n in names if x == n or abs(len(x) - len(n)) <= 1 and 1 - distance(x, n) / max(len(x), len(n)) >= 0.86}
     assert got == want and len(want) > 60
+
+
+def test_readings_are_compared_with_what_was_kept(spark):
+    from contestry.operators import match
+
+    columns = "source long, metric long, multiplier long, slot long, confidence double, tier long, trait string, trait_bonus long"
+    rows = [(1, 1, 100, 1, 0.5, 1, None, None), (1, 1, 105, 2, 0.4, None, "a", None), (1, 1, 110, 3, 0.4, None, None, None),  # 110 is beyond the kept 100
+            (1, 2, 100, 1, 0.5, None, None, None), (1, 2, 104, 2, 0.9, 3, None, 7), (1, 2, 108, 3, 0.1, None, None, None),  # the kept one has become 104
+            (2, 1, None, 1, 0.5, None, None, None), (2, 1, None, 2, 0.5, None, None, None), (None, None, 100, 1, 0.5, None, None, None)]
+    got = sorted(map(tuple, match.dedupe_readings(spark.createDataFrame(rows, columns).repartition(3), ["source", "metric"]).collect()), key=str)
+    assert got == sorted([
+        (1, 1, 100, 1, 1, "a", None, 0.5, 2), (1, 1, 110, 3, None, None, None, 0.4, 1), (1, 2, 104, 1, 3, None, 7, 0.9, 3),
+        (2, 1, None, 1, None, None, None, 0.5, 1), (2, 1, None, 2, None, None, None, 0.5, 1), (None, None, 100, 1, None, None, None, 0.5, 1)], key=str)
+    assert match.dedupe_readings(spark.createDataFrame([], columns), ["source", "metric"]).count() == 0
+
+
+def test_distinct_sketches_merge_within_their_error(spark, tmp_path):
+    from contestry.operators import standings
+
+    rows = spark.range(60_000).selectExpr("id % 2 AS g", "id % 20000 AS v", "cast(id % 50 as string) AS w")
+    parts = []
+    for n in range(3):
+        standings.distinct_sketches(rows.where(f"id % 3 = {n}" if "id" in rows.columns else f"v % 3 = {n}"), ["g"], ["v", "w"]).write.parquet(f"{tmp_path}/{n}")
+        parts.append(spark.read.parquet(f"{tmp_path}/{n}"))
+    got = {r.g: r for r in standings.merge_sketches(parts, ["g"], ["v", "w"]).collect()}
+    assert all(got[g].n == 30_000 and abs(got[g].v - 10_000) < 0.05 * 10_000 and got[g].w == 25 for g in (0, 1))
