@@ -41,7 +41,7 @@ class WordEncoder:
 
     Punctuation behind an ASCII letter or digit is a token run of its own, so it is encoded apart; behind any
     other character it is not, as normalisation may end the word in a mark. Encoded parts are kept in two generations
-    of bounded size, which serve all tasks of a worker.
+    of bounded size, which serve the batches of a task.
     """
 
     ODD = r"[\x1c-\x1f]"
@@ -67,6 +67,11 @@ class WordEncoder:
             self.new, self.old = {}, self.new
         return found
 
+    def forget(self) -> None:
+        """Give back the memory of encoded parts; a worker that waits for its next task holds the tokenizer only."""
+        self.new, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def _split(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Bare parts and trailing punctuation of distinct words, as dictionaries."""
         base = pc.utf8_rtrim(words, characters=self.TRAILING)
@@ -189,6 +194,7 @@ def _packed(path: str, with_ids: bool):
                     yield flush()
         if held:
             yield flush()
+        encode.forget()
 
     return run
 

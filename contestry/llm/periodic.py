@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contestry.llm.common import SPACE, as_bytes, fresh, query, slices, table
-from contestry.llm.superminhash import GOLDEN, mixed, word_hashes
+from contestry.llm.superminhash import GOLDEN, forget, mixed, word_hashes
 
 #: A run has so many words and so many periods, at least.
 MIN_WORDS, MIN_PERIODS = 24, 3
@@ -240,6 +240,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], fields=list(RUN)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists, pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "runs", "collapsed"])
+    forget()
 
 
 def periodic(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,6 +87,12 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+def forget() -> None:
+    """Give back the memory of remembered words at the end of a task; a waiting worker should hold little."""
+    word_hashes.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingles(text: bytes, width: int) -> np.ndarray:
     """Ascending hashes of the distinct word shingles; fewer words are one shingle, no word: none."""
     words = text.lower().split()  # bytes: A-Z only, and exactly the white space of the contract
@@ -154,6 +160,8 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         n, node, fp, sig = zip(*rows) if rows else ((), (), (), ())
         arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n", "node", "fp", "sig"])
+    seen.clear()
+    forget()
 
 
 def signed(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,6 +226,7 @@ def _confirmed(law: Law, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         links = forest(sets, _column(parts, 3).to_numpy(zero_copy_only=False)[at], sigs, law)
         node = node[at]
         yield pa.RecordBatch.from_arrays([pa.array([int(node[x[k]]) for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    forget()
 
 
 def _met(law: Law, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
