@@ -11,6 +11,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,9 @@ LENGTH, END_ID, QUADRATIC = 2048, 1, 4096.0
 #: Tokens packed together; bounds a task's memory whatever the partition holds.
 WINDOW = 1 << 21
 #: Bytes of text encoded together.
-BYTES = 1 << 22
+BYTES = 1 << 23
+#: Encoded parts that outlive a task.
+KEPT = 100_000
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -41,13 +44,13 @@ class WordEncoder:
 
     Punctuation behind an ASCII letter or digit is a token run of its own, so it is encoded apart; behind any
     other character it is not, as normalisation may end the word in a mark. Encoded parts are kept in two generations
-    of bounded size, which serve the batches of a task.
+    of bounded size; a bounded part of them outlives a task.
     """
 
     ODD = r"[\x1c-\x1f]"
     TRAILING = ".,!?;:#$%&*|"
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -68,8 +71,9 @@ class WordEncoder:
         return found
 
     def forget(self) -> None:
-        """Give back the memory of encoded parts; a worker that waits for its next task holds the tokenizer only."""
-        self.new, self.old = {}, {}
+        """Give back memory: a worker that waits for its next task holds the first KEPT parts it met, most of them common ones."""
+        first = self.old or self.new
+        self.new, self.old = {}, dict(islice(first.items(), KEPT))
         pa.default_memory_pool().release_unused()
 
     def _split(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
