@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from contestry.catalog.chronology import ELO_SQL
 from contestry.catalog.registry import query, rounded
-from contestry.catalog.scoring import GROUPS, MC, POINTS, STATS, _scored, group_rows, points_sql
+from contestry.catalog.scoring import GROUPS, MC, POINTS, SINCE, STATS, _scored, group_rows, groups, member_rows, points_sql
 from contestry.functions import rates, rules
 from contestry.operators import chronology as ch, evaluate, lineups, models, ratings, resample, scoring as sc
 from contestry.plans import features, projection, training
@@ -105,10 +105,38 @@ def _role_groups(spark, d):
     return group_rows(spark, d, STATS).withColumn("role", role)
 
 
+def _entities(spark, d):
+    """Groups, and members with the team and role of their group, one row per contest."""
+    shape = ["kind", "id", "team_id", "role", "contest_id", "ts", *STATS]
+    both = _role_groups(spark, d).withColumns({"kind": F.lit("group"), "id": F.col("group_id"), "team_id": F.col("group_id")}).select(*shape)
+    role = F.element_at(F.array(F.lit("Core"), F.lit("Mid"), F.lit("Support")), (F.col("group_id") % 3 + 1).cast("int"))
+    single = member_rows(spark, d).join(groups(spark, d), "member_id").withColumns(
+        {"kind": F.lit("member"), "id": F.col("member_id"), "team_id": F.col("group_id"), "role": role}).select(*shape)
+    return both.unionByName(single)
+
+
+ROLE_SQL = "['Core', 'Mid', 'Support'][group_id % 3 + 1] AS role"
+COUNTED_SQL = " OR ".join(f"(role = '{r}' AND metric IN ({', '.join(repr(m) for m in ms)}))" for r, ms in rules.ROLE_METRICS.items())
+
+
+@query("q_projection_entities", f"""WITH {MC}, {GROUPS}, e AS (
+  SELECT 'group' AS kind, group_id AS id, group_id AS team_id, {ROLE_SQL}, {', '.join(STATS)} FROM gc
+  UNION ALL SELECT 'member', member_id, group_id, {ROLE_SQL}, {', '.join(STATS)} FROM mc JOIN groups USING (member_id)),
+s AS (""" + " UNION ALL ".join(f"SELECT kind, id, team_id, role, '{m}' AS metric, count(*) AS contests, avg({c}) AS raw, avg({points_sql(m)}) AS points FROM e GROUP BY ALL"
+                               for m, c, _, _ in rules.STAT_RULES) + f"""),
+c AS (SELECT *, ({COUNTED_SQL}) AS counted FROM s WHERE contests >= 3)
+SELECT kind, id, team_id, role, metric, contests, counted, round(round(raw, 10), 6) AS raw, round(round(points, 7), 4) AS points,
+  round(round(sum(CASE WHEN counted THEN points ELSE 0 END) OVER (PARTITION BY kind, id), 7), 4) AS per_contest FROM c""")
+def projection_entities(spark, d):
+    e = projection.projected_entities(_entities(spark, d)).select("kind", "id", "team_id", "role", "contests", "per_contest", F.explode("stats").alias("s"))
+    return e.select("kind", "id", "team_id", "role", "contests", "s.metric", "s.counted", F.round(F.round("s.raw", 10), 6).alias("raw"),
+                    *[F.round(F.round(c, 7), 4).alias(n) for n, c in (("points", "s.points"), ("per_contest", "per_contest"))])
+
+
 @query("q_projection_report")
 def projection_report(spark, d):
-    r = projection.projection_report(_role_groups(spark, d), _outcomes(spark, d), F.lit(THIRD), SAMPLES, seed=7)
-    return rounded(r.select("group_id", "role", "contests", "per_contest", "projected", "p10", "p95"), 8)
+    third = sc.third_game_rate(st.contests(spark, d), SINCE).select("rate").scalar()
+    return projection.projection_report(_entities(spark, d), _outcomes(spark, d), third, SAMPLES, seed=7)
 
 
 @query("q_projection_stat_means", f"WITH {MC}, {GROUPS} " + " UNION ALL ".join(
