@@ -3,8 +3,9 @@
 Sequential ratings are a chain of updates, so the parallel unit is a *pool*: a set of entities
 that only meet each other (a region, a league system). Pools of ordinary size are folded inside
 tasks, one stream of sorted rows per partition with only the current states in memory. A pool
-above ``pool_rows`` contests is not left to one task: it takes the wavefront, where each round
-updates every contest whose participants have finished all their earlier ones. Both give the
+above ``pool_rows`` contests is not left to one task: it is cut along time into blocks of at most
+``block_rows`` contests, and the contests of a block into components that share no key; one round per
+block folds the components side by side, each from the states its keys brought along. Both give the
 same numbers at every size: state belongs to (pool, key), so an entity that occurs in two pools has
 a rating in each, and a key on both sides of a contest counts in both means, moves by both deltas
 and has played one contest.
@@ -24,7 +25,8 @@ from contestry.operators.chronology import DAY, side_long, valid_contests
 from contestry.session import materialize, run_dir
 
 POOL_ROWS = 5_000_000
-WAVE_BLOCK_SECONDS = 30 * DAY
+#: Contests of a pool per round: at most so many are held by one task.
+BLOCK_ROWS = 500_000
 
 SIDES_SCHEMA = "contest_id long, ts long, pool long, base_k double, a_win long, a_keys array<long>, b_keys array<long>"
 FOLD_SCHEMA = (
@@ -34,10 +36,24 @@ FOLD_SCHEMA = (
 )
 
 
-def _fold_batches(provisional: bool):
-    """Fold sorted contests pool by pool; the state of a pool is dropped when it ends."""
+def _update(rating: dict, games: dict, provisional: bool, k: float, win: int, a: list, b: list) -> tuple:
+    """Rate one contest: moves the states and returns what the contest saw and did."""
     limit, factor, start = rates.PROVISIONAL_GAMES, rates.PROVISIONAL_FACTOR, rates.START_RATING
+    ra, rb = [rating.get(m, start) for m in a], [rating.get(m, start) for m in b]
+    ga, gb = [games.get(m, 0) for m in a], [games.get(m, 0) for m in b]
+    mean_a, mean_b = sum(ra) / len(ra), sum(rb) / len(rb)
+    expected = 1.0 / (1.0 + 10.0 ** ((mean_b - mean_a) / 400.0))
+    ka = k * factor if provisional and ga[0] < limit else k
+    kb = k * factor if provisional and gb[0] < limit else k
+    da, db = ka * (win - expected), kb * (expected - win)
+    for keys, played, delta in ((a, ga, da), (b, gb, db)):
+        for m, g in zip(keys, played):
+            rating[m], games[m] = rating.get(m, start) + delta, g + 1
+    return ra, rb, ga, gb, mean_a, mean_b, expected, da, db
 
+
+def _fold_batches(provisional: bool):
+    """Fold sorted contests pool by pool; the state of a pool is dropped when it ends."""
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool, rating, games = None, {}, {}
         for batch in batches:
@@ -46,17 +62,7 @@ def _fold_batches(provisional: bool):
                                                 batch.a_win, batch.a_keys, batch.b_keys):
                 if p != pool:
                     pool, rating, games = p, {}, {}
-                ra, rb = [rating.get(m, start) for m in a], [rating.get(m, start) for m in b]
-                ga, gb = [games.get(m, 0) for m in a], [games.get(m, 0) for m in b]
-                mean_a, mean_b = sum(ra) / len(ra), sum(rb) / len(rb)
-                expected = 1.0 / (1.0 + 10.0 ** ((mean_b - mean_a) / 400.0))
-                ka = k * factor if provisional and ga[0] < limit else k
-                kb = k * factor if provisional and gb[0] < limit else k
-                da, db = ka * (win - expected), kb * (expected - win)
-                for keys, played, delta in ((a, ga, da), (b, gb, db)):
-                    for m, g in zip(keys, played):
-                        rating[m], games[m] = rating.get(m, start) + delta, g + 1
-                out.append((cid, ts, win, a, b, ra, rb, ga, gb, mean_a, mean_b, expected, da, db))
+                out.append((cid, ts, win, a, b, *_update(rating, games, provisional, k, win, a, b)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
 
     return fold
@@ -72,83 +78,124 @@ def _fold_pools(sides: DataFrame, provisional: bool) -> DataFrame:
     return ordered.mapInPandas(_fold_batches(provisional), FOLD_SCHEMA)
 
 
-def wavefront(sides: DataFrame, provisional: bool, block_seconds: int = WAVE_BLOCK_SECONDS,
-              hot_rows: int = hot.HOT_ROWS) -> DataFrame:
-    """The fold as rounds of joins, for a pool too large for one task.
+def _components(block: pd.DataFrame) -> pd.DataFrame:
+    """Add the component of every contest of one block: contests that share a key, directly or over others, share it."""
+    lists = [*block["a_keys"], *block["b_keys"]]
+    sizes = np.array([len(keys) for keys in lists])
+    names, node = np.unique(np.concatenate(lists), return_inverse=True)
+    contest = np.repeat(np.tile(np.arange(len(block)), 2), sizes)
+    first = node[np.cumsum(sizes)[:len(block)] - sizes[:len(block)]]
+    label = np.arange(len(names))
+    while True:
+        u, v = label[first[contest]], label[node]
+        if (u == v).all():
+            return block.assign(component=names[label[first]])
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def conflict_blocks(sides: DataFrame, block_rows: int = BLOCK_ROWS, block_seconds: int | None = None, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+    """Contests with ``block``, ascending along time, and ``component``, their independent part of the block.
+
+    A block holds at most ``block_rows`` contests of a pool, and where ``block_seconds`` is given none on both sides of a
+    multiple of it. Components need no ratings, so those of all blocks are found in one job.
+    """
+    placed = hot.prefix_sums(sides, ["pool"], ["ts", "contest_id"], {"_before": F.lit(1)}, hot_rows)
+    block = F.floor(F.col("_before") / block_rows).cast("long")
+    if block_seconds:
+        block = block + F.floor(F.col("ts") / block_seconds).cast("long") * 2 ** 31
+    placed = placed.withColumn("block", block).drop("_before")
+    return placed.groupBy("pool", "block").applyInPandas(_components, SIDES_SCHEMA + ", block long, component long")
+
+
+NO_BLOCK = -1
+STEP_SCHEMA = f"kind int, pool long, key long, rating double, games long, to_block long, {FOLD_SCHEMA}"
+STATE, CONTEST = 0, 1
+
+
+def _fold_components(provisional: bool):
+    """Fold sorted rows component by component: first the states of its keys, then its contests.
+
+    Gives a row per contest, and per key the state it leaves with and the block it is needed in next.
+    """
+    names = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
+    blank = (0, 0, 0, [], [], [], [], [], [], 0.0, 0.0, 0.0, 0.0, 0.0)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, rating, games, needed = None, {}, {}, {}
+
+        def leaving():
+            return [(STATE, place[0], m, rating[m], games[m], block, *blank) for m, block in needed.items() if block != NO_BLOCK]
+
+        for batch in batches:
+            out = []
+            for kind, pool, component, key, held, played, block, cid, ts, k, win, a, b in zip(*[batch[c] for c in (
+                    "kind", "pool", "component", "key", "rating", "games", "to_block", "contest_id", "ts", "base_k", "a_win", "a_keys", "b_keys")]):
+                if (pool, component) != place:
+                    out += leaving()
+                    place, rating, games, needed = (pool, component), {}, {}, {}
+                if kind == STATE:
+                    rating[key], games[key], needed[key] = held, played, block
+                else:
+                    out.append((CONTEST, pool, 0, 0.0, 0, NO_BLOCK, cid, ts, win, a, b, *_update(rating, games, provisional, k, win, a, b)))
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(leaving(), columns=names)
+
+    return fold
 
-    Time blocks keep a round small: only the contests of the current block that are still open are
-    read. The number of rounds follows the contests per participant and block, not the data size.
+
+def fold_blocks(sides: DataFrame, provisional: bool, block_rows: int = BLOCK_ROWS, block_seconds: int | None = None,
+                hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+    """The fold as one round per block, for a pool too large for one task.
+
+    The rounds follow the number of contests, however busy one key is. A state is written once per block its key plays in,
+    to the folder of the next such block, and read there alone: no round reads or rewrites the states of other keys.
     Every round ends in files in the shared folder.
     """
     spark = sides.sparkSession
-    base = run_dir(spark, "wavefront")
-    contest = ["contest_id", "ts", "pool", "base_k", "a_win", "a_keys", "b_keys"]
-    long = sides.select(*contest, F.explode(F.array_distinct(F.concat("a_keys", "b_keys"))).alias("key"))
-    rows = hot.prefix_sums(long, ["pool", "key"], ["ts", "contest_id"], {"seq": F.lit(1)}, hot_rows).withColumn(
-        "block", F.floor(F.col("ts") / block_seconds))
-    rows = materialize(rows, f"{base}/rows", "block")
-    blocks = [r[0] for r in rows.select("block").distinct().orderBy("block").collect()]
-    state = materialize(spark.createDataFrame([], "pool long, key long, rating double, games long"), f"{base}/state-0")
-    step = 0
+    base = run_dir(spark, "blocks")
+    contests = materialize(conflict_blocks(sides, block_rows, block_seconds, hot_rows), f"{base}/contests", "block")
+    keys = contests.select("pool", "block", "component", F.explode(F.array_distinct(F.concat("a_keys", "b_keys"))).alias("key")).distinct()
+    following = F.lead("block").over(Window.partitionBy("pool", "key").orderBy("block"))
+    # few files per block, whichever task finds a key
+    spread = lambda column: (F.col(column), F.pmod(F.xxhash64("key"), F.lit(8)))
+    keys = keys.withColumn("to_block", F.coalesce(following, F.lit(NO_BLOCK)).cast("long")).repartition(*spread("block"))
+    keys = materialize(keys, f"{base}/keys", "block")
+    blocks = [r[0] for r in contests.select("block").distinct().orderBy("block").collect()]
+    entered = {r[0] for r in keys.select("to_block").distinct().collect()}  # at most one per block
     for block in blocks:
-        work = rows.where(F.col("block") == block).drop("block")
-        while True:
-            step += 1
-            known = work.join(state, ["pool", "key"], "left").withColumn("games", F.coalesce("games", F.lit(0))).withColumn(
-                "rating", F.coalesce("rating", F.lit(rates.START_RATING)))
-            grouped = known.groupBy(*contest).agg(
-                F.min((F.col("games") == F.col("seq")).cast("int")).alias("ready"),
-                F.map_from_entries(F.collect_list(F.struct("key", F.struct("rating", "games", "seq")))).alias("m"))
-            tried = materialize(grouped, f"{base}/step-{step}", "ready")
-            done = _apply_update(tried.where("ready = 1"), provisional)
-            done.write.mode("overwrite").parquet(f"{base}/done/step={step}")
-            done = spark.read.schema(FOLD_SCHEMA + ", pool long").parquet(f"{base}/done/step={step}")
-            changed = _states_after(done)
-            state = materialize(
-                state.join(changed.select("pool", "key"), ["pool", "key"], "left_anti").unionByName(changed), f"{base}/state-{step}")
-            open_rows = tried.where("ready = 0").select(*contest, F.explode("m").alias("key", "v")).select(
-                *contest, "key", F.col("v.seq").alias("seq"))
-            if open_rows.isEmpty():
-                break
-            work = open_rows
-    return spark.read.schema(FOLD_SCHEMA + ", step int").parquet(f"{base}/done").drop("step")
-
-
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / F.size(values)
-
-
-def _apply_update(ready: DataFrame, provisional: bool) -> DataFrame:
-    pick = lambda keys, field: F.transform(keys, lambda k: F.element_at(F.col("m"), k)[field])
-    out = ready
-    for side in ("a", "b"):
-        out = out.withColumn(f"{side}_before", pick(F.col(f"{side}_keys"), "rating")).withColumn(
-            f"{side}_games", pick(F.col(f"{side}_keys"), "games"))
-        out = out.withColumn(f"{side}_rating", _mean(F.col(f"{side}_before")))
-        young = (F.element_at(f"{side}_games", 1) < rates.PROVISIONAL_GAMES) & F.lit(provisional)
-        out = out.withColumn(f"{side}_k", F.when(young, F.col("base_k") * rates.PROVISIONAL_FACTOR).otherwise(F.col("base_k")))
-    out = out.withColumn("a_expected", rates.elo_expected(F.col("a_rating"), F.col("b_rating")))
-    out = out.withColumn("a_delta", F.col("a_k") * (F.col("a_win") - F.col("a_expected"))).withColumn(
-        "b_delta", F.col("b_k") * (F.col("a_expected") - F.col("a_win")))
-    return out.select(*[c.split()[0] for c in FOLD_SCHEMA.split(", ")], "pool")
-
-
-def _states_after(done: DataFrame) -> DataFrame:
-    def side(s):
-        return F.transform(
-            F.arrays_zip(F.col(f"{s}_keys").alias("key"), F.col(f"{s}_before").alias("r"), F.col(f"{s}_games").alias("g")),
-            lambda v: F.struct(v["key"].alias("key"), v["r"].alias("r"), F.col(f"{s}_delta").alias("delta"), v["g"].alias("g")))
-    moves = done.select("contest_id", "pool", F.explode(F.concat(side("a"), side("b"))).alias("v")).select("contest_id", "pool", "v.*")
-    # a key has one ready contest at a time; its two rows, if it is on both sides, become one state
-    return moves.groupBy("pool", "key").agg((F.first("r") + F.sum("delta")).alias("rating"), (F.first("g") + 1).alias("games"))
-
-
-def _by_pool_size(sides: DataFrame, provisional: bool, pool_rows: int, block_seconds: int) -> DataFrame:
+        playing = keys.where(F.col("block") == block)
+        if block in entered:
+            held = spark.read.schema("pool long, key long, rating double, games long").parquet(f"{base}/states/to_block={block}")
+            playing = playing.join(held, ["pool", "key"], "left")
+        else:
+            playing = playing.withColumns({"rating": F.lit(None).cast("double"), "games": F.lit(None).cast("long")})
+        zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+        states = playing.select(
+            F.lit(STATE).alias("kind"), "pool", "component", "key", F.coalesce("rating", F.lit(rates.START_RATING)).alias("rating"),
+            F.coalesce("games", zero).alias("games"), "to_block", zero.alias("contest_id"), zero.alias("ts"), F.lit(0.0).alias("base_k"),
+            zero.alias("a_win"), none.alias("a_keys"), none.alias("b_keys"))
+        today = contests.where(F.col("block") == block).select(
+            F.lit(CONTEST).alias("kind"), "pool", "component", zero.alias("key"), F.lit(0.0).alias("rating"), zero.alias("games"),
+            F.lit(NO_BLOCK).cast("long").alias("to_block"), "contest_id", "ts", "base_k", "a_win", "a_keys", "b_keys")
+        rows = states.unionByName(today).repartition(_tasks(sides), "pool", "component").sortWithinPartitions(
+            "pool", "component", "kind", "ts", "contest_id")
+        done = materialize(rows.mapInPandas(_fold_components(provisional), STEP_SCHEMA), f"{base}/done/step={block}", "kind")
+        left = done.where(F.col("kind") == STATE).select("pool", "key", "rating", "games", "to_block")
+        left.repartition(*spread("to_block")).write.partitionBy("to_block").mode("append").parquet(f"{base}/states")
+    if not blocks:
+        return spark.createDataFrame([], FOLD_SCHEMA)
+    return spark.read.schema(STEP_SCHEMA + ", step long").parquet(f"{base}/done").where(F.col("kind") == CONTEST).select(
+        *[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+
+
+def _by_pool_size(sides: DataFrame, provisional: bool, pool_rows: int, block_seconds: int | None, block_rows: int) -> DataFrame:
     large = sides.groupBy("pool").count().where(F.col("count") > pool_rows).select("pool")
     if large.isEmpty():
         return _fold_pools(sides, provisional)
     small = _fold_pools(sides.join(large, "pool", "left_anti"), provisional)
-    return small.unionByName(wavefront(sides.join(large, "pool", "left_semi"), provisional, block_seconds))
+    return small.unionByName(fold_blocks(sides.join(large, "pool", "left_semi"), provisional, block_rows, block_seconds))
 
 
 def pool_violations(contests: DataFrame, pool: str = "pool") -> DataFrame:
@@ -158,7 +205,7 @@ def pool_violations(contests: DataFrame, pool: str = "pool") -> DataFrame:
 
 
 def elo_history(contests: DataFrame, pool: str | None = "pool", since: int | None = None,
-                pool_rows: int = POOL_ROWS, block_seconds: int = WAVE_BLOCK_SECONDS) -> DataFrame:
+                pool_rows: int = POOL_ROWS, block_seconds: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per valid contest with both ratings and game counts before it.
 
     Without a pool column everything is one pool; it is folded only if it is small.
@@ -168,7 +215,7 @@ def elo_history(contests: DataFrame, pool: str | None = "pool", since: int | Non
         "contest_id", "ts", (F.col(pool) if pool else F.lit(0)).cast("long").alias("pool"),
         rates.tier_k(F.col("tier")).alias("base_k"), "a_win",
         F.array("a_id").alias("a_keys"), F.array("b_id").alias("b_keys"))
-    folded = _by_pool_size(sides, True, pool_rows, block_seconds)
+    folded = _by_pool_size(sides, True, pool_rows, block_seconds, block_rows)
     return folded.select(
         "contest_id", "ts", F.col("a_keys")[0].alias("a_id"), F.col("b_keys")[0].alias("b_id"),
         "a_rating", "b_rating", F.col("a_games")[0].alias("a_games"), F.col("b_games")[0].alias("b_games"),
@@ -188,7 +235,7 @@ def elo_side_history(features: DataFrame) -> DataFrame:
 
 
 def member_ratings(lineups: DataFrame, k_factor: float = 24.0, pool: str | None = "pool",
-                   pool_rows: int = POOL_ROWS, block_seconds: int = WAVE_BLOCK_SECONDS) -> DataFrame:
+                   pool_rows: int = POOL_ROWS, block_seconds: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Member ratings: a side's rating is the mean of its members, all of them move by one delta.
 
     ``lineups``: contest_id, ts, pool, a_win and the member lists a_keys / b_keys, each without repeats.
@@ -196,7 +243,7 @@ def member_ratings(lineups: DataFrame, k_factor: float = 24.0, pool: str | None
     sides = lineups.select(
         "contest_id", "ts", (F.col(pool) if pool else F.lit(0)).cast("long").alias("pool"),
         F.lit(k_factor).alias("base_k"), "a_win", "a_keys", "b_keys")
-    return _by_pool_size(sides, False, pool_rows, block_seconds)
+    return _by_pool_size(sides, False, pool_rows, block_seconds, block_rows)
 
 
 def member_side_history(folded: DataFrame) -> DataFrame:

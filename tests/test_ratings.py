@@ -119,3 +119,41 @@ def test_pool_violations(spark):
     rows = [(1, 10, 1, 2, 1, 0), (2, 11, 2, 3, 1, 1)]
     c = spark.createDataFrame(rows, "contest_id long, ts long, a_id long, b_id long, a_win long, pool long")
     assert [r["entity_id"] for r in ratings.pool_violations(c).collect()] == [2]
+
+
+@pytest.mark.parametrize("block_rows", [7, 25])
+def test_blocks_with_a_busy_entity(spark, block_rows):
+    rng = random.Random(3)
+    rows = []
+    for i in range(90):  # entity 1 plays a third of all contests, many at one moment
+        a, b = (1, rng.randrange(2, 9)) if i % 3 == 0 else rng.sample(range(2, 40), 2)
+        rows.append((i, rng.randrange(12) * 86_400, "premium" if i % 2 else None, a, b, rng.randint(0, 1), 5))
+    c = spark.createDataFrame(rows, "contest_id long, ts long, tier string, a_id long, b_id long, a_win long, pool long")
+    columns = ["contest_id", "a_rating", "b_rating", "a_games", "b_games", "a_expected", "a_after", "b_after"]
+    whole = by_key(ratings.elo_history(c).select(*columns), "contest_id")
+    close(whole, by_key(ratings.elo_history(c, pool_rows=1, block_rows=block_rows).select(*columns), "contest_id"))
+    sides = c.select("contest_id", "ts", "pool", F.lit(20.0).alias("base_k"), "a_win", F.array("a_id").alias("a_keys"), F.array("b_id").alias("b_keys"))
+    placed = ratings.conflict_blocks(sides, block_rows).collect()
+    assert len({r.block for r in placed}) == -(-90 // block_rows)  # rounds follow the contests, not entity 1
+    order = [r.block for r in sorted(placed, key=lambda r: (r.ts, r.contest_id))]
+    assert order == sorted(order)
+    for block in set(order):
+        parts = {}
+        for r in placed:
+            if r.block == block:
+                parts.setdefault(r.component, set()).update([*r.a_keys, *r.b_keys])
+        assert sum(map(len, parts.values())) == len(set().union(*parts.values()))  # no key in two components
+
+
+def test_components_are_connected():
+    import pandas as pd
+
+    block = pd.DataFrame({"a_keys": [[1], [9], [3, 4], [30]], "b_keys": [[2], [2], [5], [31]]})
+    assert list(ratings._components(block).component) == [1, 1, 3, 30]
+    chain = pd.DataFrame({"a_keys": [[i] for i in range(99, 0, -1)], "b_keys": [[i - 1] for i in range(99, 0, -1)]})
+    assert set(ratings._components(chain).component) == {0}
+
+
+def test_no_contests_give_no_rounds(spark):
+    sides = spark.createDataFrame([], ratings.SIDES_SCHEMA)
+    assert ratings.fold_blocks(sides, True).count() == 0
