@@ -1,4 +1,4 @@
-"""Win-probability models with MLlib: fit, choose, calibrate and report.
+"""Win-probability models: fit, choose, calibrate and report.
 
 Feature tables are assembled per row; only fitted coefficients and one-row aggregates reach the
 driver.
@@ -6,13 +6,13 @@ driver.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contestry.functions.rates import recency_weight
-from contestry.operators import evaluate
+from contestry.operators import evaluate, trees
 from contestry.operators.chronology import DAY
 
 BASELINE_FEATURES = ["rating_difference", "glicko_difference", "a_deviation", "b_deviation", "log_a_games", "log_b_games",
@@ -103,11 +103,9 @@ def logit(p: Column) -> Column:
     return F.ln(q / (1 - q))
 
 
-def boosted_fit(core: DataFrame, columns: list[str], cutoff: int, rounds: int = 250, target: str = "target"):
-    """Recency-weighted boosted trees. Depth 4 stands in for a limit of 15 leaves."""
-    data = assemble(core.withColumn("_w", age_weight(cutoff)), columns)
-    return GBTClassifier(labelCol=target, weightCol="_w", stepSize=0.04, maxIter=rounds, maxDepth=4, minInstancesPerNode=35,
-                         seed=2026).fit(data)
+def boosted_fit(core: DataFrame, columns: list[str], cutoff: int, rounds: int = 250, target: str = "target") -> trees.Boosted:
+    """Recency-weighted boosted trees: at most 15 leaves of 35 rows or more, grown best first, leaves penalised by 3."""
+    return trees.fit(core, columns, target, age_weight(cutoff), trees.Limits(rounds=rounds))
 
 
 def platt_calibrate(raw: DataFrame, target: str = "target", c_value: float = 10.0):

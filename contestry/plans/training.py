@@ -75,7 +75,7 @@ def train_boosted(features: DataFrame, cutoff: int, rounds: int = 250, samples:
     columns = [c for c in FEATURES if c in features.columns]
     stored = split_and_store(features, cutoff, **sizes)
     model = models.boosted_fit(stored.where("part = 'core'"), columns, cutoff, rounds)
-    raw = lambda part: models.probability_of(model, models.assemble(stored.where(F.col("part") == part), columns), "raw").drop("features")
+    raw = lambda part: model.predict(stored.where(F.col("part") == part), "raw")
     calibrator = models.platt_calibrate(raw("calibration"))
     test = models.apply_platt(calibrator, raw("test"))
     return {"model": model, "calibrator": calibrator, "test": test, "metrics": compare(test), "gate": lambda: gate(test, samples)}

@@ -75,7 +75,7 @@ def test_boosted_trees_learn_a_planted_rule(spark, rounds):
     y = (rng.random(1200) < p).astype(float)
     df = spark.createDataFrame([(0, *map(float, r), float(t)) for r, t in zip(x, y)], "ts long, u double, v double, w double, target double")
     model = models.boosted_fit(df.limit(800), ["u", "v", "w"], 0, rounds)
-    rows = models.probability_of(model, models.assemble(df, ["u", "v", "w"]), "raw").select("target", "raw", "u", "v").collect()
+    rows = model.predict(df, "raw").select("target", "raw", "u", "v").collect()
     loss = -np.mean([np.log(r.raw if r.target else 1 - r.raw) for r in rows])
     assert loss < 0.55  # 0.693 without the rule
     assert np.mean([(r.raw > 0.5) == ((r.u > 0) != (r.v > 0)) for r in rows]) > 0.9
