@@ -213,11 +213,15 @@ def glicko_features(spark, d):
     return rounded(ratings.glicko_features(ratings.glicko_timeline(st.contests(spark, d))))
 
 
-SIDE_SETS = st.SQL_MEMBERS + """,
+def side_sets(size: int) -> str:
+    return st.SQL_MEMBERS + f""",
 sets AS (SELECT contest_id, ts, pool, side, any_value(entity_id) AS entity_id, any_value(won) AS won, list_sort(list(DISTINCT member_id)) AS keys
-  FROM members GROUP BY contest_id, ts, pool, side HAVING count(DISTINCT member_id) = 2 AND any_value(entity_id) > 0),
+  FROM members GROUP BY contest_id, ts, pool, side HAVING count(DISTINCT member_id) = {size} AND any_value(entity_id) > 0),
 duels AS (SELECT a.contest_id, a.ts, a.pool, a.entity_id AS a_id, b.entity_id AS b_id, a.won AS a_win, a.keys AS a_keys, b.keys AS b_keys
   FROM sets a JOIN sets b ON a.contest_id = b.contest_id AND a.side = 0 AND b.side = 1)"""
+
+
+SIDE_SETS = side_sets(2)
 MEMBER_SQL = f"""WITH RECURSIVE {SIDE_SETS},
 n AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY ts, contest_id) AS nth,
   list_transform(a_keys, lambda x: (x - 1) % 10 + 1) AS ai, list_transform(b_keys, lambda x: (x - 1) % 10 + 1) AS bi FROM duels),
@@ -244,12 +248,16 @@ def member_rating_history(spark, d):
                                  mean("b_games").alias("b_games"), "a_expected"))
 
 
-EACH = SIDE_SETS + """,
+def each_sql(size: int) -> str:
+    return side_sets(size) + """,
 each AS (SELECT contest_id, ts, 0 AS side, a_id AS entity_id, a_keys AS keys FROM duels UNION ALL
          SELECT contest_id, ts, 1, b_id, b_keys FROM duels),
 seats AS (SELECT contest_id, ts, side, unnest(keys) AS member_id FROM each)"""
 
 
+EACH = each_sql(2)
+
+
 @query("q_new_members", f"""WITH {EACH}, g AS (SELECT contest_id, side, row_number() OVER (PARTITION BY member_id ORDER BY ts, contest_id) - 1 AS games FROM seats)
 SELECT contest_id, side, round(avg(games), 6) AS mean_games, CAST(sum(CASE WHEN games < 5 THEN 1 ELSE 0 END) AS BIGINT) AS new_members FROM g GROUP BY 1, 2""")
 def new_members(spark, d):

@@ -6,9 +6,12 @@ from contestry.operators import ingest, pairs, project
 from contestry.sources import sample_tables as st
 
 SIZE = 2
-DRAFT = st.SQL_MEMBERS + f""",
+
+
+def draft_sql(size: int) -> str:
+    return st.SQL_MEMBERS + f""",
 exact AS (SELECT contest_id FROM members GROUP BY contest_id
-  HAVING count(*) FILTER (WHERE side = 0 AND is_pick = 1) = {SIZE} AND count(*) FILTER (WHERE side = 1 AND is_pick = 1) = {SIZE}),
+  HAVING count(*) FILTER (WHERE side = 0 AND is_pick = 1) = {size} AND count(*) FILTER (WHERE side = 1 AND is_pick = 1) = {size}),
 picked AS (SELECT * FROM members SEMI JOIN exact USING (contest_id) WHERE is_pick = 1),
 matchups AS (SELECT x.era, x.item_id, y.item_id AS opponent_id, count(*) AS games, CAST(sum(x.won) AS BIGINT) AS wins
   FROM picked x JOIN picked y ON x.contest_id = y.contest_id AND x.side <> y.side GROUP BY 1, 2, 3),
@@ -17,6 +20,9 @@ synergies AS (SELECT x.era, x.item_id, y.item_id AS ally_id, count(*) AS games,
 results AS (SELECT era, item_id, count(*) AS games, CAST(sum(won) AS BIGINT) AS wins FROM picked GROUP BY 1, 2)"""
 
 
+DRAFT = draft_sql(SIZE)
+
+
 def _drafts(spark, d):
     return pairs.drafts(st.picks_bans(spark, d), SIZE)
 
