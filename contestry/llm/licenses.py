@@ -162,7 +162,8 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, sentence_ids, licences, starts, ends), a row per row of ``docs``.
 
     Null and empty texts, and texts without a known sentence, have empty lists. Rows are scanned one by one:
-    repeated rows and equal or null ids get equal lists. Nothing is shuffled.
+    repeated rows and equal or null ids get equal lists. Texts of any length are scanned whole; an empty table
+    gives no rows. Nothing is shuffled.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_scanned, "doc_id long, sentence_ids array<string>, licences array<string>, starts array<long>, ends array<long>")

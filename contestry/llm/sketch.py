@@ -3,7 +3,7 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range. The same threshold holds for
 all documents, so sketches of parts merge by union, and containment can be estimated between a short and
 a very long document. A text whose hashes all lie above the threshold keeps its smallest one, so that no
-text with words is without a sketch.
+text with words is without a sketch; such a sketch tells equal texts, but no containment.
 """
 
 from __future__ import annotations
@@ -51,8 +51,18 @@ def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarr
     return kept if len(kept) else both[:1]
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the shingles of ``a`` that ``b`` has, estimated; without words: 1 in anything."""
+def stands_in(a: np.ndarray, fraction: float = FRACTION) -> bool:
+    """Whether a sketch is the smallest hash of a text that has none below the threshold."""
+    return len(a) == 1 and int(a[0]) >= int(fraction * (1 << 64))
+
+
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float | None:
+    """Share of the shingles of ``a`` that ``b`` has, estimated; without words: 1 in anything.
+
+    None where ``a`` has no hash below the threshold and ``b`` differs, since then nothing is known of the share.
+    """
+    if stands_in(a, fraction) and not np.array_equal(a, b):
+        return None
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
@@ -117,9 +127,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sketches of every document and of its edited text, and their likeness; see op6_sketch for the edit.
+    """Sketches of every document and of its edited text, and the likeness of sketches, a row per row of ``docs``.
 
-    Null texts count as empty; texts without words have an empty fingerprint. A single row is its own next.
+    The edited text is the document's with its last floor(n_chars / 2) code points replaced by the first as many (or
+    all) of the next document in descending id, after the last the first. Null texts count as empty; texts without
+    words have an empty fingerprint. A single row is its own next; an empty table gives no rows. Of a text without a
+    hash below the threshold only its smallest one is compared.
     """
     return with_next(docs, id_col, text_col).mapInArrow(_compared, DDL)
 

@@ -165,25 +165,26 @@ def odds(pages: DataFrame, urls: DataFrame) -> DataFrame:
     Words, tokens and weights are tables of any size; every word and every token counts.
     """
     words = spool(pages.select("html").mapInArrow(_counted(_page_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    distinct = spool(urls.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    # tokens carry a number in place of host and path, which may be long; it is fixed once written
+    distinct = spool(urls.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("url", F.monotonically_increasing_id()), "urls")
     hosts = spool(distinct.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     of_host = spool(host_tokens(hosts.select("host"), words), "host_tokens")
     lower = F.filter(F.split(F.lower("path"), SPLIT.pattern), lambda x: x != "")
     of_path = F.transform(lower, lambda x: F.concat(F.lit("p:"), F.when(x.rlike("^[0-9]+$"), F.lit("0")).otherwise(x)))
     found = looked_up(distinct, of_host, "host", hosts)
     unwanted = F.arrays_overlap("tokens", F.array(*[F.lit(s) for s in sorted(SEEDS)]))
-    found = spool(found.select("host", "path", "n", unwanted.alias("unwanted"), F.concat(F.transform("tokens", lambda x: F.concat(F.lit("h:"), x)), of_path).alias("tokens")), "url_tokens")
+    found = spool(found.select("url", "host", "path", "n", unwanted.alias("unwanted"), F.concat(F.transform("tokens", lambda x: F.concat(F.lit("h:"), x)), of_path).alias("tokens")), "url_tokens")
     side = lambda yes: F.sum(F.when(F.col("unwanted") == yes, F.col("n")).otherwise(0))
     pages_b, pages_a = (x or 0 for x in found.agg(side(True), side(False)).first())
-    each = found.select("host", "path", "n", "unwanted", F.explode("tokens").alias("word"))
+    each = found.select("url", "n", "unwanted", F.explode("tokens").alias("word"))
     tokens = spool(each.groupBy("word").agg(side(True).alias("b"), side(False).alias("a"), F.count("*").alias("n")), "tokens")
     v, b, a = (x or 0 for x in tokens.agg(F.count("*"), F.sum("b"), F.sum("a")).first())
     weights = tokens.select("word", (F.log((F.col("b") + 1) / F.lit(float(b + v + 1))) - F.log((F.col("a") + 1) / F.lit(float(a + v + 1)))).alias("w"))
-    weighed = looked_up(each.select("host", "path", "word"), weights, "word", tokens.select("word", "n"))
+    weighed = looked_up(each.select("url", "word"), weights, "word", tokens.select("word", "n"))
     # summed in one order, so that results do not depend on how rows arrive
     prior = F.lit(math.log((pages_b + 1) / (pages_a + 1)))
-    sums = weighed.groupBy("host", "path").agg(F.aggregate(F.array_sort(F.collect_list("w")), prior, lambda x, w: x + w).alias("odds"))
-    return spool(found.select("host", "path", "n").join(sums, ["host", "path"], "left").withColumn("odds", F.coalesce("odds", prior)), "odds")
+    sums = weighed.groupBy("url").agg(F.aggregate(F.array_sort(F.collect_list("w")), prior, lambda x, w: x + w).alias("odds"))
+    return spool(found.select("url", "host", "path", "n").join(sums, "url", "left").drop("url").withColumn("odds", F.coalesce("odds", prior)), "odds")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -191,6 +192,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     The verdict is the longest listed rule's, else block where the odds to be unwanted are above 0. A null
     url, or one without ``://``, has empty parts, no rule and the prior's verdict; null html teaches nothing.
+    Repeated rows and equal or null ids are judged one by one and teach once each. Urls, hosts and pages of any
+    length count whole; an empty table gives no rows. Other columns of ``pages`` are not read.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
     host, path = parts(F.col("url"))
