@@ -3,7 +3,8 @@
 Rows are binned once, at most 255 bins a feature, and written as blocks of arrays. To grow a tree, tasks add
 gradients, curvatures and counts per (node, feature, bin), Spark adds these sums over tasks, and the driver sees one
 split per node. The children of all leaves that may still be split are searched in one pass, so a tree takes about as
-many passes as it is deep. Gradients are added as whole numbers of 2^-30: sums, and so trees, do not depend on the
+many passes as it is deep. A table that fits one task needs no passes: only children of nodes that are split are searched,
+and of two children the smaller one is added up, the other is what the node holds besides. Gradients are added as whole numbers of 2^-30: sums, and so trees, do not depend on the
 order or the number of tasks.
 
 A null or NaN feature lies below every value. Rows with a null target or weight teach nothing; weights are at most 1.
@@ -92,6 +93,16 @@ def gradients(score: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tupl
     return np.rint((p - target) * weight * UNIT), np.rint(p * (1 - p) * weight * UNIT)
 
 
+def column_histogram(columns: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``histogram`` of some rows of bins that are stored feature by feature."""
+    own_g, own_h = g[rows], h[rows]
+    out = np.empty((3, len(columns), BINS), np.int64)
+    for f, column in enumerate(columns):
+        at = column[rows].astype(np.intp)
+        out[:, f] = np.bincount(at, own_g, BINS), np.bincount(at, own_h, BINS), np.bincount(at, minlength=BINS)
+    return out
+
+
 def histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """(3, features, bins) of gradients, curvatures and counts."""
     n_features = bins.shape[1]
@@ -117,8 +128,11 @@ def best_split(sums: np.ndarray, limits: Limits) -> Split:
     return Split(max(0.0, float(gain[feature, cut])), feature, cut, *(int(x) for x in (total[0], total[1], left[0, feature, cut], left[1, feature, cut])))
 
 
-def chosen(found: dict[int, Split], leaves: int) -> tuple[list[int], list[int]]:
-    """Nodes split so far, best gain first, and the nodes that must be searched before the next one."""
+def chosen(found: dict[int, Split], leaves: int, ahead: bool = True) -> tuple[list[int], list[int]]:
+    """Nodes split so far, best gain first, and the nodes that must be searched before the next one.
+
+    With ``ahead`` those that may be needed later are searched too.
+    """
     heap = [(-found[0].gain, 0)] if found[0].gain > 0 else []
     inner: list[int] = []
     while heap and len(inner) < leaves - 1:
@@ -126,7 +140,7 @@ def chosen(found: dict[int, Split], leaves: int) -> tuple[list[int], list[int]]:
         inner.append(node)
         children = (2 * node + 1, 2 * node + 2)
         if len(inner) < leaves - 1 and children[0] not in found:
-            parents = [node, *(n for _, n in heap)]
+            parents = [node, *(n for _, n in heap)] if ahead else [node]
             return inner, [c for n in parents for c in (2 * n + 1, 2 * n + 2) if c not in found]
         for c in children:
             if c in found and found[c].gain > 0:
@@ -134,11 +148,11 @@ def chosen(found: dict[int, Split], leaves: int) -> tuple[list[int], list[int]]:
     return inner, []
 
 
-def grow(search, limits: Limits) -> Tree:
+def grow(search, limits: Limits, ahead: bool = True) -> Tree:
     """One tree; ``search(nodes, splits)`` gives the Split of each node, ``splits`` being all cuts above them."""
     found = search([0], {})
     while True:
-        inner, wanted = chosen(found, limits.leaves)
+        inner, wanted = chosen(found, limits.leaves, ahead)
         if not wanted:
             break
         found |= search(wanted, {n: (s.feature, s.bin) for n, s in found.items() if s.gain > 0})
@@ -244,22 +258,29 @@ def _one_task(n_features: int, limits: Limits):
         if not blocks:
             return
         bins, target, weight, score = (np.concatenate(c) for c in zip(*blocks))
+        columns = np.ascontiguousarray(bins.T)
         for done in range(limits.rounds):
             g, h = gradients(score, target, weight)
             rows = {0: np.arange(len(bins))}
+            sums = {0: column_histogram(columns, rows[0], g, h)}
+
+            def part(n, feature, cut):
+                right = columns[feature][rows[n]] > cut
+                rows[2 * n + 1], rows[2 * n + 2] = rows[n][~right], rows[n][right]
 
             def search(nodes, splits):
-                out = {}
-                for n in nodes:
-                    if n:
-                        above = rows[(n - 1) // 2]
-                        feature, cut = splits[(n - 1) // 2]
-                        rows[n] = above[(bins[above, feature] > cut) == (n % 2 == 0)]
-                    out[n] = best_split(histogram(bins[rows[n]], g[rows[n]], h[rows[n]]), limits)
-                return out
-
-            tree = grow(search, limits)
-            add_tree(score, bins, tree)
+                for n in {(n - 1) // 2 for n in nodes if n}:
+                    part(n, *splits[n])
+                    less, more = sorted((2 * n + 1, 2 * n + 2), key=lambda c: len(rows[c]))
+                    sums[less] = column_histogram(columns, rows[less], g, h)
+                    sums[more] = sums[n] - sums[less]
+                return {n: best_split(sums[n], limits) for n in nodes}
+
+            tree = grow(search, limits, ahead=False)
+            for n, value in tree.values.items():
+                if n not in rows:  # of the last split
+                    part((n - 1) // 2, *tree.splits[(n - 1) // 2])
+                score[rows[n]] += value
             nodes = [(done, n, f, b, 0.0) for n, (f, b) in tree.splits.items()] + [(done, n, -1, 0, v) for n, v in tree.values.items()]
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*nodes), kinds)], names=["round", "node", "feature", "bin", "value"])

@@ -124,3 +124,27 @@ def test_nulls_nan_constants_and_empty_tables(spark, task_rows):
     empty = fitted(spark, df.limit(0), Limits(rounds=2), task_rows=-1 if task_rows == 0 else task_rows)
     assert all(r.p == 0.5 for r in empty.predict(df).collect())
     assert fitted(spark, df, Limits(rounds=1), task_rows=task_rows).predict(df.limit(0)).count() == 0
+
+
+def test_one_task_adds_up_the_smaller_of_two_children_only(monkeypatch):
+    x, y, w, _ = planted(3000)
+    cuts = [np.unique(c) for c in x.T]
+    block = trees._packed(trees.binned(x, cuts), y, w, np.zeros(len(y)))
+    seen, real = [], trees.column_histogram
+    monkeypatch.setattr(trees, "column_histogram", lambda columns, rows, g, h: seen.append(len(rows)) or real(columns, rows, g, h))
+    nodes = [r for b in trees._one_task(3, Limits(rounds=1, leaf_rows=20))(iter([block])) for r in b.to_pylist()]
+    assert seen[0] == 3000 and len(seen) <= Limits.leaves - 1 and max(seen[1:]) <= 1500
+
+    bins = trees.binned(x, cuts)
+    g, h = trees.gradients(np.zeros(len(y)), y, w)
+
+    def search(wanted, splits):
+        at = {n: trees.placed(bins, {a: splits[a] for a in splits if a in above(n)}) == n for n in wanted}
+        return {n: trees.best_split(trees.histogram(bins[r], g[r], h[r]), Limits(leaf_rows=20)) for n, r in at.items()}
+
+    def above(n):
+        return {n} if n == 0 else above((n - 1) // 2) | {(n - 1) // 2}
+
+    plain = trees.grow(search, Limits(rounds=1, leaf_rows=20))
+    assert {(r["node"], r["feature"], r["bin"]) for r in nodes if r["feature"] >= 0} == {(n, f, b) for n, (f, b) in plain.splits.items()}
+    assert {r["node"]: r["value"] for r in nodes if r["feature"] < 0} == plain.values
