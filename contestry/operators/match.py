@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -93,13 +94,16 @@ def fuzzy_phrase_match(lines: DataFrame, targets: list[tuple], line: str = "line
     Of equal scores the longer phrase wins if ``longer_first``, then the one listed first.
     Works inside the row: the target list is a constant, and windows are compared only around
     places where a part of the target occurs unchanged, which no acceptable match lacks.
+    Lines are spread first: few bytes of text are much work. Targets without such a part are
+    left out by plain comparisons, which are compiled.
     """
-    known = F.array(*[F.struct(
+    known = [(F.struct(
         F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(limit).alias("limit"), F.lit(order).alias("order"), F.lit(d).alias("d"),
-        F.array(*[F.struct(F.lit(p).alias("text"), F.lit(o).alias("offset")) for p, o in parts]).alias("parts"))
-        for label, key, limit, order, d, parts in targets])
-    s = lines.withColumn("_s", tx.ascii_key(F.col(line)))
-    possible = F.filter(known, lambda t: F.exists(t["parts"], lambda p: F.contains(F.col("_s"), p["text"])))
+        F.array(*[F.struct(F.lit(p).alias("text"), F.lit(o).alias("offset")) for p, o in parts]).alias("parts")),
+        reduce(lambda a, b: a | b, [F.contains(F.col("_s"), F.lit(p)) for p, _ in parts])) for label, key, limit, order, d, parts in targets]
+    spread = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    s = spread.withColumn("_s", tx.ascii_key(F.col(line)))
+    possible = F.array_compact(F.array(*[F.when(near, target) for target, near in known]))
     scored = F.transform(possible, lambda t: F.struct(
         F.when(F.contains(F.col("_s"), t["key"]), 0.99).otherwise(
             tx.window_similarity(F.col("_s"), t["key"], tx.window_starts(F.col("_s"), t["parts"], t["d"]), t["d"])).alias("score"),

@@ -173,3 +173,9 @@ def test_split_needs_enough_rows(spark):
     assert parts == {"core": 140, "calibration": 100, "test": 60}
     with pytest.raises(Exception, match="chronological split"):
         evaluate.chrono_split(rows, 2900).collect()
+
+
+def test_phrases_of_a_table_of_one_file_are_matched_by_many_tasks(spark):
+    lines = spark.createDataFrame([(f"xx tornentor {n}",) for n in range(40)], "line string").coalesce(1)
+    out = match.fuzzy_phrase_match(lines, match.phrase_targets({"Tormentor": ["tormentor"]}, 0.72))
+    assert out.rdd.getNumPartitions() > 1 and out.select("score").distinct().count() == 1 and out.count() == 40
