@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -69,11 +70,23 @@ class BucketTable:
         names, only = self.schema.fieldNames(), self.touched(rows)
         if not only:
             return files
-        folder = f"{self.path}/v-{uuid.uuid4().hex}"
-        merged = merge(self.read(files, only).unionByName(rows.select(*names)))
-        self._bucketed(merged.select(*names)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        folder = self._write(merge(self.read(files, only).unionByName(rows.select(*names))))
         return {b: f for b, f in files.items() if b not in only} | dict.fromkeys(only, folder)
 
+    def _write(self, rows: DataFrame) -> str:
+        folder = f"{self.path}/v-{uuid.uuid4().hex}"
+        self._bucketed(rows.select(*self.schema.fieldNames())).repartition(BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        return folder
+
+    def merged(self, mappings: list[dict[str, str]], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """One row per key of several mappings."""
+        first, *others = [self.read(files) for files in mappings] or [self.read({})]
+        return merge(reduce(DataFrame.unionByName, others, first)).select(*self.schema.fieldNames()) if others else first
+
+    def combine(self, mappings: list[dict[str, str]], merge: Callable[[DataFrame], DataFrame]) -> dict[str, str]:
+        """One mapping in place of several."""
+        return dict.fromkeys(sorted(set().union(*mappings)), self._write(self.merged(mappings, merge)))
+
     def vacuum(self, *kept: dict[str, str]) -> None:
         """Delete the folders of buckets that none of the ``kept`` mappings names."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -55,6 +55,22 @@ def test_counts_keep_few_folders(spark, tmp_path):
     assert len(list((tmp_path / "run" / "table").glob("v-*"))) <= 4
 
 
+def test_a_batch_writes_what_it_brings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "MERGE_RUNS", 4)
+    landing, base = f"{tmp_path}/in", f"{tmp_path}/run"
+    sums = lambda rows: rows.groupBy("k").agg(F.sum("v").alias("v"))
+    written, seen = 0, set()
+    for n in range(9):
+        spark.range(40).selectExpr(f"CASE WHEN id = 0 THEN 0 ELSE id + {n * 40} END AS k", "id + 1 AS v").coalesce(1).write.mode("append").parquet(landing)
+        got = {r.k: r.v for r in jobs.upsert(jobs.read_landed(spark, landing), base, ["k"], sums, 4).collect()}
+        assert got == {0: n + 1} | {i + m * 40: i + 1 for m in range(n + 1) for i in range(1, 40)}
+        for folder in (tmp_path / "run" / "table").glob("v-*"):
+            if folder.name not in seen:
+                seen.add(folder.name)
+                written += spark.read.parquet(str(folder)).count()
+    assert written <= 9 * 40 * 2 and len(Ledger(spark, base).read()["runs"]) == 3
+
+
 def form(out):
     return by_key(out.select("contest_id", "side", "games", "ema", "streak", "rest_days"), "contest_id", "side")
 
