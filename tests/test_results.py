@@ -136,3 +136,12 @@ def test_distinct_sketches_merge_within_their_error(spark, tmp_path):
         parts.append(spark.read.parquet(f"{tmp_path}/{n}"))
     got = {r.g: r for r in standings.merge_sketches(parts, ["g"], ["v", "w"]).collect()}
     assert all(got[g].n == 30_000 and abs(got[g].v - 10_000) < 0.05 * 10_000 and got[g].w == 25 for g in (0, 1))
+
+
+def test_order_lines_are_dealt_by_their_number(spark, monkeypatch):
+    lines = st.table(spark, SF, "lineitem").count()
+    whole = {(r["contest_id"], r["slot"]) for r in st.members(spark, SF).select("contest_id", "slot").collect()}
+    monkeypatch.setattr(st, "TASK_LINES", lines // 20)
+    assert st.line_tasks(spark, SF) >= 20  # however few shuffle partitions the session has
+    sizes = [n for n in st.members(spark, SF).select("contest_id", "slot").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(sizes) >= 20 and sum(sizes) == lines == len(whole) and max(sizes) < lines / 5
