@@ -145,3 +145,16 @@ def test_order_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert st.line_tasks(spark, SF) >= 20  # however few shuffle partitions the session has
     sizes = [n for n in st.members(spark, SF).select("contest_id", "slot").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
     assert len(sizes) >= 20 and sum(sizes) == lines == len(whole) and max(sizes) < lines / 5
+
+
+@pytest.mark.parametrize("points", [np.arange(40) % 7 * 1.25, np.random.default_rng(3).normal(9, 4, 300), np.array([2.5]), np.array([1.0, np.nan, 3.0])])
+def test_summaries_by_rank_equal_those_of_the_draws(points):
+    for group in (0, 11, -4):
+        want = resample.best_summaries(points, *resample.series_draws(5, group, len(points), 0.4, 2000))
+        assert np.allclose(resample.group_summaries(5, group, points, 0.4, 2000), want, rtol=1e-12, equal_nan=True)
+
+
+def test_small_groups_are_resampled_by_many_tasks(spark):
+    rows = spark.range(64 * 3).selectExpr("id % 64 AS group_id", "id AS contest_id", "id AS ts", "id * 1.0e0 AS points")
+    tasks = resample.bootstrap_best_series(rows, 20, 1, F.lit(0.4)).select("group_id", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in tasks}) > 1 and len({r.group_id for r in tasks}) == 64
