@@ -168,35 +168,42 @@ def global_index(df: DataFrame, order: list[str], name: str = "idx", slice_rows:
     )
 
 
-def cumulative_counts(df: DataFrame, group: list[str], value: str, buckets: int = 256) -> DataFrame:
+#: Distinct values of a group up to which one task sorts it.
+SORTED_VALUES = 100_000
+
+
+def cumulative_counts(df: DataFrame, group: list[str], value: str, buckets: int = 256, sorted_values: int = SORTED_VALUES) -> DataFrame:
     """Distinct (group, value) with ``n`` rows, ``n_lt`` below, ``n_le`` at or below and ``n_all``.
 
-    Equal values collapse first and are written, so the input is read once. The order within a group is
-    built from ``buckets`` ranges that hold about as many distinct values each, wherever these lie: a group
-    with most of the rows is sorted by many tasks. Where the ranges are cut does not change the result.
+    Equal values collapse first and are written, so the input is read once. A group of up to ``sorted_values`` distinct
+    values is summed up in one window. The order within a larger one is built from ``buckets`` ranges that hold about as many distinct
+    values each, wherever these lie: a group with most of the rows is sorted by many tasks. Where the ranges are cut does not
+    change the result. Rows with a null in the group have no counts.
     """
-    base = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    named = reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in [*group, value]])
+    base = df.where(named).groupBy(*group, value).agg(F.count("*").alias("n"))
     base = materialize(base, run_dir(df.sparkSession, "counts"))
+    # Groups to be cut are few: rows / sorted_values at most.
+    many = base.groupBy(*group).agg(F.count("*").alias("_d")).where(F.col("_d") > sorted_values).drop("_d")
     cuts = F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(20 * buckets))
-    span = base.groupBy(*group).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("n").alias("n_all"))
+    span = base.join(many, group, "left_semi").groupBy(*group).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("n").alias("_all"))
     span = materialize(span, run_dir(df.sparkSession, "cuts"))  # both uses below must see the same cuts
-    placed = base.join(span, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    below = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(value)))).otherwise(0)
+    placed = base.join(span, group, "left").withColumn("_b", below).drop("_cuts")
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*group, "_b").agg(F.sum("n").alias("_t")).select(
+    offsets = placed.where("_all IS NOT NULL").groupBy(*group, "_b").agg(F.sum("n").alias("_t")).select(
         *group, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_c"))
-    within = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("_le", F.sum("n").over(within))
-        .join(offsets, [*group, "_b"])
-        .select(*group, value, "n", (F.col("_c") + F.col("_le") - F.col("n")).alias("n_lt"),
-                (F.col("_c") + F.col("_le")).alias("n_le"), "n_all")
-    )
+    part = Window.partitionBy(*group, "_b")
+    summed = placed.withColumns({"_le": F.sum("n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_slice": F.sum("n").over(part)})
+    upto = F.coalesce(F.col("_c"), F.lit(0)) + F.col("_le")
+    return summed.join(offsets, [*group, "_b"], "left").select(
+        *group, value, "n", (upto - F.col("n")).alias("n_lt"), upto.alias("n_le"), F.coalesce("_all", "_slice").alias("n_all"))
 
 
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group, one column per entry of ``probs``."""
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float], mean: str | None = None) -> DataFrame:
+    """Linear-interpolation quantiles per group, one column per entry of ``probs``, and the mean in a column of that name."""
     counts = cumulative_counts(df, group, value)
-    columns = []
+    columns = [(F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias(mean)] if mean else []
     for name, q in probs.items():
         h = F.lit(q) * (F.col("n_all") - 1)
         low = F.max(F.when((F.col("n_lt") <= F.floor(h)) & (F.floor(h) < F.col("n_le")), F.col(value)))

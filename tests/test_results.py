@@ -158,3 +158,15 @@ def test_small_groups_are_resampled_by_many_tasks(spark):
     rows = spark.range(64 * 3).selectExpr("id % 64 AS group_id", "id AS contest_id", "id AS ts", "id * 1.0e0 AS points")
     tasks = resample.bootstrap_best_series(rows, 20, 1, F.lit(0.4)).select("group_id", F.spark_partition_id().alias("task")).collect()
     assert len({r.task for r in tasks}) > 1 and len({r.group_id for r in tasks}) == 64
+
+
+def test_counts_of_groups_are_equal_cut_or_whole(spark):
+    df = spark.range(900).selectExpr("IF(id < 10, NULL, id % 3) AS g", "IF(id % 11 = 0, NULL, CAST(id * id % 97 AS DOUBLE)) AS v")
+    want = sorted(hot.cumulative_counts(df, ["g"], "v").collect())
+    for most in (0, 89, 90):
+        assert sorted(hot.cumulative_counts(df, ["g"], "v", buckets=8, sorted_values=most).collect()) == want
+    rows = [r for r in df.collect() if r.g is not None and r.v is not None]
+    assert all((r.n_lt, r.n_le, r.n_all) == (sum(x.g == r.g and x.v < r.v for x in rows), sum(x.g == r.g and x.v <= r.v for x in rows), sum(x.g == r.g for x in rows)) for r in want)
+    for r in hot.exact_quantiles(df, ["g"], "v", {"p50": 0.5}, "mean").collect():
+        values = [x.v for x in rows if x.g == r.g]
+        assert np.isclose(r.mean, np.mean(values)) and r.p50 == np.quantile(values, 0.5)
