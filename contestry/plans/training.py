@@ -24,7 +24,11 @@ def baseline_table(contests: DataFrame, pool: str | None = "pool") -> DataFrame:
 
 
 def train_baseline(table: DataFrame, cutoff: int) -> tuple[models.Logistic, DataFrame]:
-    """Fit before the cutoff; metrics of model and Elo on the rest."""
+    """Fit before the cutoff; metrics of model and Elo on the rest.
+
+    The table is written once, since the moments, the number of rows, the fit and the metrics read it again.
+    """
+    table = materialize(table, run_dir(table.sparkSession, "baseline"))
     model = models.logistic_fit(table.where(F.col("ts") < cutoff), models.BASELINE_FEATURES)
     test = model.predict(table.where(F.col("ts") >= cutoff))
     return model, compare(test)

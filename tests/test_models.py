@@ -79,3 +79,20 @@ def test_boosted_trees_learn_a_planted_rule(spark, rounds):
     loss = -np.mean([np.log(r.raw if r.target else 1 - r.raw) for r in rows])
     assert loss < 0.55  # 0.693 without the rule
     assert np.mean([(r.raw > 0.5) == ((r.u > 0) != (r.v > 0)) for r in rows]) > 0.9
+
+
+def test_baseline_table_is_made_once(spark):
+    from contestry.plans import training
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i, *map(float, rng.normal(0, 1, 8)), float(rng.random() < 0.5), 0.5) for i in range(200)]
+    table = spark.createDataFrame(rows, ["contest_id", "ts", *models.BASELINE_FEATURES, "target", "elo_probability"])
+    _, metrics = training.train_baseline(table.mapInPandas(count, table.schema), 150)
+    assert {(r.source, r.samples) for r in metrics.collect()} == {("model", 50), ("elo", 50)} and made.value == 200
