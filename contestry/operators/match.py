@@ -5,16 +5,41 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from contestry.functions import text as tx
+from contestry.session import materialize, run_dir
+
+
+#: Bytes of a text as they stand in keys: letters and digits, all else as a space; marks inside a token (see TOKEN) are left out.
+KEY_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
+MARKS = b"_`[].-"
+
+
+def _distinct_tokens(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(dict.fromkeys((text or b"").translate(KEY_BYTES, MARKS).split())) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = pa.array([t for f in found for t in f], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), flat], schema=schema)
+
+    return run
 
 
 def tokens(texts: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Distinct normalised tokens per document, from the whole text."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(column, F.lit(tx.TOKEN), F.lit(0)), tx.ascii_key))
-    return texts.select(key, F.explode(found).alias("token")).where("token <> ''")
+    """Distinct normalised tokens per document, from the whole text: ``ascii_key`` of every match of ``TOKEN``.
+
+    A token is what lies between bytes that cannot be in one, without its marks; marks in front of a token are no part of it either.
+    """
+    rows = texts.select(F.col(key), F.col(column).cast("string"))
+    schema = StructType([texts.schema[key], StructField("token", StringType())])
+    return rows.mapInArrow(_distinct_tokens(to_arrow_schema(schema)), schema)
 
 
 def _variants(folded):
@@ -70,9 +95,11 @@ def fuzzy_tokens(vocabulary: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def fuzzy_token_match(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Best token per (document, name). The vocabulary is matched once, then joined back."""
+    """Best token per (document, name). The vocabulary is written, as short and long names read it, and matched once. Its hits
+    are written too: they are few, so that the tokens of all documents need not move to be joined with them."""
     t = tokens(texts)
-    hits = fuzzy_tokens(t, names)
+    vocabulary = materialize(t.select("token").distinct(), run_dir(texts.sparkSession, "vocabulary"))
+    hits = materialize(fuzzy_tokens(vocabulary, names), run_dir(texts.sparkSession, "hits"))
     return t.join(hits, "token").groupBy("doc_id", "name").agg(
         F.max("score").alias("score"), F.max(F.col("exact").cast("long")).alias("exact"))
 

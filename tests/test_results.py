@@ -4,7 +4,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from contestry.functions import text as tx
-from contestry.operators import hot, resample, scoring, standings
+from contestry.operators import hot, match, resample, scoring, standings
 from contestry.session import run_dir
 from contestry.sources import dims, sample_tables as st
 
@@ -170,3 +170,18 @@ def test_counts_of_groups_are_equal_cut_or_whole(spark):
     for r in hot.exact_quantiles(df, ["g"], "v", {"p50": 0.5}, "mean").collect():
         values = [x.v for x in rows if x.g == r.g]
         assert np.isclose(r.mean, np.mean(values)) and r.p50 == np.quantile(values, 0.5)
+
+
+def test_tokens_equal_the_keys_of_all_matches(spark):
+    texts = ["Foo.Bar -baz_ .. [x]`y foo-bar", "", None, "..-_", "Kelvin İstanbul naïve \U0001f600a-b A\u0000B", "x" * 40 + " Y_9\tq\r\nX", "KELVIN kelvin K.E.L.V.I.N"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0)), tx.ascii_key))
+    want = sorted(df.select("doc_id", F.explode(found).alias("token")).where("token <> ''").collect())
+    assert sorted(match.tokens(df).collect()) == want and len(want) > 12
+
+
+def test_tokens_do_not_move_to_be_matched(spark):
+    df = spark.createDataFrame([(1, "magentaa Peach"), (2, "peach lemon")], "doc_id long, text string")
+    found = match.fuzzy_token_match(df, spark.createDataFrame([("magenta",), ("peach",)], "name string"))
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.name, r.exact) for r in found.collect()} == {(1, "magenta", 0), (1, "peach", 1), (2, "peach", 1)}
