@@ -33,7 +33,7 @@ def side_long(contests: DataFrame, *keep: str) -> DataFrame:
     return contests.select(*carried, F.explode(both).alias("v")).select(*carried, "v.*")
 
 
-def entity_form(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+def entity_form(contests: DataFrame, hot_rows: int | None = hot.HOT_ROWS) -> DataFrame:
     """Per (contest, side): games_before, recent_5, recent_10, ema_form, streak, rest_days.
 
     One shuffle by entity serves all of them. Running frames only: no frame is longer than ten
@@ -135,7 +135,7 @@ def _form_carry(sliced: DataFrame) -> DataFrame:
     )
 
 
-def activity(contests: DataFrame, days: int = 30, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+def activity(contests: DataFrame, days: int = 30, hot_rows: int | None = hot.HOT_ROWS) -> DataFrame:
     """Earlier contests of the entity with ts >= now - days, equal times broken by id.
 
     Each contest enters as +1 and expires as -1 just after ``ts + days``; a running sum replaces
@@ -152,7 +152,7 @@ def activity(contests: DataFrame, days: int = 30, hot_rows: int = hot.HOT_ROWS)
     return summed.where("kind = 0").select("contest_id", "side", "entity_id", F.col("activity").cast("long").alias("activity"))
 
 
-def era_form(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+def era_form(contests: DataFrame, hot_rows: int | None = hot.HOT_ROWS) -> DataFrame:
     rows = side_long(contests, "era").withColumn("era", F.coalesce(F.col("era"), F.lit(0)))
     s = hot.prefix_sums(rows, ["entity_id", "era"], ORDER,
                         {"era_games": F.lit(1), "era_wins": F.col("won")}, hot_rows)
@@ -160,7 +160,7 @@ def era_form(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
                     smoothed_rate(F.col("era_wins"), F.col("era_games"), 10.0).alias("era_rate"))
 
 
-def head_to_head(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+def head_to_head(contests: DataFrame, hot_rows: int | None = hot.HOT_ROWS) -> DataFrame:
     """Earlier results of the unordered pair, read from side a."""
     pairs = contests.select(
         "contest_id", "ts", "a_id", F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"),
@@ -172,7 +172,7 @@ def head_to_head(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame
                     (F.when(F.col("a_id") == F.col("lo"), first).otherwise(1 - first) - 0.5).alias("h2h_advantage"))
 
 
-def series_score(contests: DataFrame, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+def series_score(contests: DataFrame, hot_rows: int | None = hot.HOT_ROWS) -> DataFrame:
     """Wins of either side so far inside (series, pair); series 0 or null scores nothing."""
     in_series = F.coalesce(F.col("series_id"), F.lit(0)) != 0
     rows = contests.where(in_series).select(

@@ -88,12 +88,16 @@ def _placed(df: DataFrame, keys: list[str], order: list[str], cuts: DataFrame) -
         "_tops", "_parts", "_ties", *[f"_k{i}" for i in range(len(keys))])
 
 
-def slice_hot_keys(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def slice_hot_keys(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``_slice`` (0 for ordinary keys) and ``_slices`` (above 1 for hot keys). Slices ascend along ``order``.
 
+    ``hot_rows`` None: the caller knows that no key is hot, so keys are not counted.
+
     Rows with a null key match no hot key and stay whole; they are still right, only not cut. The first two columns of
     ``order`` must be numeric.
     """
+    if hot_rows is None:
+        return df.withColumns({SLICE: F.lit(0), SLICES: F.lit(1)})
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     hot = counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS).collect()
     hot = [r for r in hot if all(r[k] is not None for k in keys)]
@@ -125,7 +129,7 @@ def prefix_sums(
     keys: list[str],
     order: list[str],
     sums: dict[str, Column],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     inclusive: bool = False,
 ) -> DataFrame:
     """Add, per key, the sum of each expression over the rows strictly before the current one.

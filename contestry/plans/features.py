@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contestry.operators import chronology as ch, lineups, ratings
+from contestry.operators import chronology as ch, hot, lineups, ratings
 
 FEATURES = [
     "elo_difference", "glicko_difference", "a_deviation", "b_deviation", "deviation_difference",
@@ -42,18 +42,25 @@ def join_feature_tables(elo: DataFrame, glicko: DataFrame) -> DataFrame:
     return e.join(g, "contest_id")
 
 
-def contest_features(contests: DataFrame, pool: str | None = "pool") -> DataFrame:
+def _hot_rows(valid: DataFrame, hot_rows: int) -> int | None:
+    """None where no entity has half as many contests: none of its eras, pairs, series and steps of activity (two a contest) is hot then."""
+    played = valid.select(F.explode(F.array("a_id", "b_id")).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("n"))
+    return hot_rows if (played.agg(F.max("n")).first()[0] or 0) * 2 > hot_rows else None
+
+
+def contest_features(contests: DataFrame, pool: str | None = "pool", hot_rows: int = hot.HOT_ROWS) -> DataFrame:
     """24 features, target and baseline probabilities; all values date from before the contest."""
     valid = ch.valid_contests(contests)
+    hot_rows = _hot_rows(valid, hot_rows)
     rated = join_feature_tables(
         ratings.elo_history(contests, pool), ratings.glicko_features(ratings.glicko_timeline(contests, pool)))
-    form = by_side(ch.entity_form(valid), "recent_5", "recent_10", "ema_form", "streak", "rest_days")
-    active = by_side(ch.activity(valid), "activity")
-    era = by_side(ch.era_form(valid), "era_rate", "era_games")
+    form = by_side(ch.entity_form(valid, hot_rows), "recent_5", "recent_10", "ema_form", "streak", "rest_days")
+    active = by_side(ch.activity(valid, hot_rows=hot_rows), "activity")
+    era = by_side(ch.era_form(valid, hot_rows), "era_rate", "era_games")
     j = valid.select("contest_id", "ts", "tier", F.coalesce("era", F.lit(0)).alias("era_value"), "a_win")
-    for part in (rated, form, active, era, ch.head_to_head(valid), ch.global_side_rate(valid)):
+    for part in (rated, form, active, era, ch.head_to_head(valid, hot_rows), ch.global_side_rate(valid)):
         j = j.join(part, "contest_id")
-    j = j.join(ch.series_score(valid), "contest_id", "left")
+    j = j.join(ch.series_score(valid, hot_rows), "contest_id", "left")
     clip = lambda c: F.least(F.lit(5), F.greatest(F.lit(-5), F.col(c)))
     tier = F.lower(F.coalesce("tier", F.lit("professional")))
     return j.select(

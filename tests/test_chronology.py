@@ -130,3 +130,17 @@ def test_hot_key_is_cut_whatever_its_times(spark, times):
 def test_window_without_hot_keys_reads_its_input_once(spark, contests):
     plan = ch.entity_form(ch.valid_contests(contests))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == ch.valid_contests(contests)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_keys_known_not_to_be_hot_are_not_counted(spark, contests):
+    from contestry.plans import features
+
+    valid = ch.valid_contests(contests)
+    sides = [r for row in valid.select("a_id", "b_id").collect() for r in row]
+    most = max(sides.count(i) for i in set(sides))
+    assert features._hot_rows(valid, 2 * most) is None and features._hot_rows(valid, 2 * most - 1) == 2 * most - 1
+    assert features._hot_rows(valid.limit(0), 10) is None
+    for form in (ch.entity_form, ch.activity, ch.era_form):
+        close(by_key(form(valid, hot_rows=None), "contest_id", "side"), by_key(form(valid, hot_rows=most // 2), "contest_id", "side"))
+    for form in (ch.head_to_head, ch.series_score):
+        close(by_key(form(valid, hot_rows=None), "contest_id"), by_key(form(valid, hot_rows=1), "contest_id"))
