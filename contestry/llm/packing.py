@@ -108,13 +108,13 @@ class WordEncoder:
         return out
 
 
-def parted(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """``batches`` in slices of BYTES of text or a single row."""
+def parted(batches: Iterator[pa.RecordBatch], column: int, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of ``most`` bytes of text or a single row."""
     for batch in batches:
         upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at)
             at = to
 

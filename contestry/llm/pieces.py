@@ -1,6 +1,6 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
-The new words of a batch are concatenated and their suffixes sorted. Binary search finds the range of
+The new parts of a batch of texts are concatenated and their suffixes sorted. Binary search finds the range of
 suffixes that every piece begins, so all occurrences of all pieces come out at once as edges. Edges are
 sorted by where they end inside their word and relaxed in that order: an edge is taken if its piece may
 follow the piece that the encoding of the text before it ends with. In a byte-pair model exactly one edge
@@ -9,16 +9,17 @@ into every position is taken, and the last pieces of all prefixes spell the enco
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contestry.llm.common import as_bytes, query, slices, table
+from contestry.llm.packing import parted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -27,9 +28,20 @@ DEPTH = 16
 UNREACHED, UNKNOWN = -2, -1
 #: Bytes of words indexed together.
 INDEXED = 1 << 20
+#: Bytes of text encoded together.
+BYTES = 1 << 22
 ENCODED = pa.schema([("doc_id", pa.int64()), ("text_crc32", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())])
 
 
+def surfaces(model) -> list[bytes]:
+    """The bytes that every piece stands for; none for control pieces."""
+    out = []
+    for i in range(model.get_piece_size()):
+        name = model.id_to_piece(i)
+        out.append(bytes([int(name[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else name.encode())
+    return out
+
+
 class Pieces:
     """Tables of a byte-pair model whose pieces hold white space at their front only."""
 
@@ -40,17 +52,23 @@ class Pieces:
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
         self.byte_id = np.zeros(256, np.int32)
-        self.surface = [b""] * n
+        self.surface = surfaces(model)
         normal = []
         for i, name in enumerate(names):
             if model.is_byte(i):
                 self.byte_id[int(name[3:5], 16)] = i
-                self.surface[i] = bytes([int(name[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i)):
                 normal.append(i)
-                self.surface[i] = name.encode()
         if any(SPACE in names[i].lstrip(SPACE) for i in normal):
             raise ValueError("a piece has white space inside; words cannot be encoded apart")
+        met = {name[k:k + 2] for name in (names[i] for i in normal) for k in range(len(name) - 1)}
+        chars = sorted({c for pair in met for c in pair})
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.kind[ord(" ")] = self.kind[ord(SPACE)]
+        self.kinds = len(chars) + 1
+        self.unmet = np.ones(self.kinds * self.kinds, bool)
+        self.unmet[[self.kind[ord(a)] * self.kinds + self.kind[ord(b)] for a, b in met]] = False
         by_name = {names[i]: i for i in normal}
         self.rank = np.full(n, -1, np.int64)
         for rank, i in enumerate(sorted(normal, key=lambda i: (-model.get_score(i), i))):
@@ -89,6 +107,11 @@ class Pieces:
         self.piece_length = np.zeros(n, np.int64)
         self.piece_length[self.ids] = self.lengths
 
+    def apart(self, points: np.ndarray) -> np.ndarray:
+        """Whether each code point and the next stand side by side in no piece; the space is U+2581."""
+        kind = self.kind[points]
+        return self.unmet[kind[:-1] * self.kinds + kind[1:]]
+
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b stay apart where they meet: their merges are undone, latest first, and at no
         time may the two symbols that touch have merged before the merge that used one of them up."""
@@ -111,10 +134,11 @@ class Pieces:
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, piece, length) of every piece's every occurrence, and of characters that are no piece."""
         padded = np.r_[text, np.full(DEPTH, 0xFF, np.uint8)]
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, DEPTH)[:len(text)])
+        chars = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0xFF))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, DEPTH)[chars]
         halves = windows.view(">u8").astype(np.uint64)
-        suffixes = np.lexsort((halves[:, 1], halves[:, 0]))
-        ordered = windows[suffixes].view(f"S{DEPTH}").ravel()
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        suffixes, ordered = chars[order], windows[order].view(f"S{DEPTH}").ravel()
         low, high = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
         count = high - low
         piece = np.repeat(np.arange(len(self.ids)), count)
@@ -126,7 +150,7 @@ class Pieces:
         piece, position = piece[keep], position[keep]
         known = np.zeros(len(text), bool)
         known[position[self.single[piece]]] = True
-        odd = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0xFF) & ~known)
+        odd = chars[~known[chars]]
         lead = text[odd]
         size = np.where(lead == 0xFE, 1, 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0))
         return np.r_[position, odd], np.r_[self.ids[piece], np.full(len(odd), UNKNOWN)], np.r_[self.lengths[piece], size]
@@ -200,33 +224,83 @@ class Pieces:
 
 
 class Codec:
-    """Encodes whole texts word by word; encoded words are kept in two generations of bounded size."""
+    """Encodes whole texts part by part; encoded parts are kept in two generations of bounded size.
 
-    #: A word is a run of spaces and what follows up to the next space.
-    WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
+    No merge joins two characters that stand side by side in no piece, so texts are cut there: between words, mostly
+    before and after punctuation, and around characters that are no piece. Arrow numbers the distinct parts of a
+    batch, and only those are looked up.
+    """
 
     def __init__(self, path: str, most: int = 250_000):
-        self.pieces, self.most = Pieces(path), most
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.path, self.pieces, self.most = path, Pieces(path), most
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Parts of all texts, and how many of them come before each text and in all."""
+        whole = "".join([" " + t if t else "" for t in texts])
+        starts = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        raw = whole.encode()
+        first = np.ones(len(whole), bool)
+        first[1:] = self.pieces.apart(np.frombuffer(whole.encode("utf-32-le"), "<u4"))
+        first[starts[starts < len(whole)]] = True
+        at = np.flatnonzero(first)
+        before = np.searchsorted(at, starts)
+        if len(raw) > len(whole):
+            at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[at]
+        offsets = np.append(at, len(raw)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), before
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        known = self.known
-        split = [self.WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        missing = {w for ws in split for w in ws if w not in known}
-        for w in [w for w in missing if w in self.older]:
-            known[w] = self.older[w]
-            missing.discard(w)
-        new = sorted(missing)
-        known.update(zip(new, self.pieces.words([w.encode() for w in new])))
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        known, older = self.known, self.older
+        found = list(map(known.get, parts))
+        missing = [p for p, ids in zip(parts, found) if ids is None]
+        new = [p for p in missing if p not in older]
+        known.update((p, older[p]) for p in missing if p in older)
+        known.update(zip(new, self.pieces.words([p.replace(b" ", SPACE.encode()) for p in new])))
+        return [known[p] if ids is None else ids for p, ids in zip(parts, found)]
+
+    def flat(self, texts: list[str]) -> tuple[bytes, list[int]]:
+        """Little-endian ids of all texts, one after the other, and the bytes before each text and in all."""
+        parts, before = self._split(texts)
+        coded = parts.dictionary_encode()
+        ids, offsets = joined(pa.array(self._ids(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices))
+        return ids, offsets[before].tolist()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, cuts = self.flat(texts)
+        return [ids[s:e] for s, e in zip(cuts, cuts[1:])]
 
     def decode(self, ids: list[int]) -> str:
-        surface = self.pieces.surface
-        text = b"".join([surface[i] for i in ids]).decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        return speller(self.path)(pa.array([ids], pa.list_(pa.int32())))[0]
+
+
+class Speller:
+    """Texts of lists of ids."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        spelled = [x.replace(SPACE.encode(), b" ") for x in surfaces(SentencePieceProcessor(model_file=path))]
+        self.spelled = pa.array(spelled, pa.binary())
+
+    def __call__(self, lists: pa.Array) -> list[str]:
+        """Null lists give the empty text."""
+        raw, offsets = joined(self.spelled.take(lists.flatten()))
+        ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        cuts = [0, *offsets[ends].tolist()]
+        texts = [raw[s:e].decode(errors="replace").replace(SPACE, " ") for s, e in zip(cuts, cuts[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
+
+def joined(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All values of a binary column, which is no slice, in one, and the bytes before each and in all."""
+    if not len(column):
+        return b"", np.zeros(1, np.int32)
+    _, offsets, data = column.buffers()
+    return data.to_pybytes() if data else b"", np.frombuffer(offsets, np.int32, len(column) + 1)
 
 
 @lru_cache(2)
@@ -234,25 +308,29 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(2)
+def speller(path: str) -> Speller:
+    return Speller(path)
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in slices(batches, 500):
+        for batch in parted(batches, 1, BYTES):
             texts = as_bytes(batch.column(1))
-            ids = own.encode([t.decode() for t in texts])
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            ids, cuts = own.flat([t.decode() for t in texts])
+            values = pa.ListArray.from_arrays(pa.array(np.array(cuts) // 4, pa.int32()), pa.array(np.frombuffer(ids, "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t) for t in texts], pa.int64()), values,
-                                              pa.array([zlib.crc32(x) for x in ids], pa.int64())], schema=ENCODED)
+                                              pa.array([zlib.crc32(ids[s:e]) for s, e in zip(cuts, cuts[1:])], pa.int64())], schema=ENCODED)
 
     return run
 
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = speller(path)
         for batch in slices(batches, 500):
-            texts = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            texts = own(batch.column("ids"))
             rest = batch.drop_columns(["ids"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(texts, pa.string())], names=[*rest.schema.names, "text"])
 

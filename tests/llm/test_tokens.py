@@ -109,3 +109,33 @@ def test_pieces_odd(spark):
     rows = pieces.encode(cases.odd(spark)).collect()
     assert len(rows) == len(cases.ROWS) and all(not r.ids for r in rows if r.doc_id in (3, 4))
     assert pieces.decode(pieces.encode(cases.empty(spark))).count() == 0
+
+
+def test_pieces_encode_a_part_once_whatever_stands_beside_it(monkeypatch):
+    own, seen, words = pieces.Codec(pieces.MODEL), [], pieces.Pieces.words
+    monkeypatch.setattr(pieces.Pieces, "words", lambda self, new: seen.extend(new) or words(self, new))
+    texts = [f"one{a}\ttwo{b} one" for a in ".,;!" for b in ".,;!"] + ["", "one two"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert got == reference(texts)[0]
+    assert len(seen) == len(set(seen)) <= 9  # one and two behind a space, two behind a tab, the tab and four marks
+
+
+def test_pieces_equal_library_at_code_points():
+    from sentencepiece import SentencePieceProcessor
+
+    model, own = SentencePieceProcessor(model_file=pieces.MODEL), pieces.Codec(pieces.MODEL)
+    points = [chr(c) for c in [*range(0x3000), *range(0x3000, 0x110000, 61)] if not 0xD800 <= c <= 0xDFFF]
+    texts = [t for c in points for t in (f"a{c}.", f"{c}{c} x{c}y")]
+    for t, x, ids in zip(texts, own.encode(texts), model.encode(texts)):
+        assert np.frombuffer(x, "<u4").tolist() == ids, repr(t)
+
+
+def test_pieces_decode_joins_surfaces(spark):
+    own = pieces.Codec(pieces.MODEL)
+    byte = own.pieces.byte_id.tolist()
+    lists = [[], [byte[0xE2]], [byte[0xE2], byte[0x96], byte[0x81], byte[0x41]], [0, 1, 2], [byte[0xC3], byte[0xA9], *range(300, 340)], list(range(3000, 3050))]
+    want = [b"".join(own.pieces.surface[i] for i in ids).decode(errors="replace").replace(pieces.SPACE, " ") for ids in lists]
+    want = [t[1:] if t[:1] == " " else t for t in want]
+    assert [own.decode(ids) for ids in lists] == want
+    rows = spark.createDataFrame([(i, ids) for i, ids in enumerate([*lists, None])], "k long, ids array<int>").repartition(1)
+    assert {r.k: r.text for r in pieces.decode(rows).collect()} == dict(enumerate([*want, ""]))
