@@ -1,10 +1,10 @@
 """Boosted trees for a yes/no target, each grown best first on summed gradient histograms.
 
 Rows are binned once, at most 255 bins a feature, and written as blocks of arrays. To grow a tree, tasks add
-gradients, curvatures and counts per (node, feature, bin), Spark adds these sums over tasks, and the driver sees one
-split per node. The children of all leaves that may still be split are searched in one pass, so a tree takes about as
-many passes as it is deep. A table that fits one task needs no passes: only children of nodes that are split are searched,
-and of two children the smaller one is added up, the other is what the node holds besides. Gradients are added as whole numbers of 2^-30: sums, and so trees, do not depend on the
+gradients, curvatures and counts per (node, feature, bin), which are added over tasks; their size does not depend on the
+rows. The children of all leaves that may still be split are searched in one pass, so a tree takes about as
+many passes as it is deep; a pass is one job over blocks that tasks keep. A table that fits one task needs no passes: only children of nodes that are split are searched.
+Of two children the smaller one is added up, the other is what the node holds besides. Gradients are added as whole numbers of 2^-30: sums, and so trees, do not depend on the
 order or the number of tasks.
 
 A null or NaN feature lies below every value. Rows with a null target or weight teach nothing; weights are at most 1.
@@ -22,16 +22,21 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contestry.session import materialize, run_dir
 
 UNIT = 2.0 ** 30
 BINS = 256
-#: Tables up to this many rows are fitted in one task, with the same trees.
-TASK_ROWS = 200_000
-#: Trees between two writings of the rows' scores.
-KEEP_EVERY = 25
+#: Tables up to this many rows are fitted in one task, with the same trees: a pass is a job, which takes longer than to add up so many rows in a core.
+TASK_ROWS = 1_000_000
+#: Tables of more rows are dealt out before their quantiles are taken.
+DEALT_ROWS = 100_000
+#: Trees between two writings of the rows' scores, and between two states of the scores that tasks keep.
+KEEP_EVERY, HELD_EVERY = 25, 5
+#: Rows that a task holds at once in a pass, and tasks whose sums are added without a step between.
+BLOCK_ROWS, DIRECT_TASKS = 200_000, 64
 MIN_CURVATURE = 1e-3
 BLOCK = "bins binary, target binary, weight binary, score binary"
 NODE = "round int, node long, feature int, bin int, value double"
@@ -83,9 +88,42 @@ def placed(bins: np.ndarray, splits: dict[int, tuple[int, int]]) -> np.ndarray:
 
 
 def add_tree(score: np.ndarray, bins: np.ndarray, tree: Tree) -> None:
-    at = placed(bins, tree.splits)
-    for leaf, value in tree.values.items():
-        score[at == leaf] += value
+    """Adds the value of every row's leaf. A cut bars the leaves left of it to rows that go right: a row's leaf is the first one open."""
+    if len(tree.values) > 16:
+        at = placed(bins, tree.splits)
+        for leaf, value in tree.values.items():
+            score[at == leaf] += value
+        return
+    leaves: list[float] = []
+    barred = np.zeros(len(bins), np.uint16)
+
+    def walk(node: int) -> int:
+        if node not in tree.splits:
+            leaves.append(tree.values[node])
+            return 1 << len(leaves) - 1
+        left = walk(2 * node + 1)
+        feature, cut = tree.splits[node]
+        np.bitwise_or(barred, (bins[:, feature] > cut) * np.uint16(left), out=barred)
+        return left | walk(2 * node + 2)
+
+    walk(0)
+    value = np.zeros(1 << 15 | 1)
+    value[1 << np.arange(len(leaves))] = leaves
+    score += value.take(~barred & barred + np.uint16(1))
+
+
+def nodes_reached(bins: np.ndarray, splits: dict[int, tuple[int, int]], nodes: list[int]) -> dict[int, np.ndarray]:
+    """Rows of each of ``nodes``, whose parents are all split."""
+    above = set()
+    for n in nodes:
+        while n := n and (n - 1) // 2:
+            above.add(n)
+    rows = {0: np.arange(len(bins))}
+    for n in sorted(above | ({0} if nodes != [0] else set())):
+        feature, cut = splits[n]
+        right = bins[rows[n], feature] > cut
+        rows[2 * n + 1], rows[2 * n + 2] = rows[n][~right], rows[n][right]
+    return {n: rows[n] for n in nodes}
 
 
 def gradients(score: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +133,11 @@ def gradients(score: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tupl
 
 def column_histogram(columns: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """``histogram`` of some rows of bins that are stored feature by feature."""
-    own_g, own_h = g[rows], h[rows]
+    whole = len(rows) == columns.shape[1]
+    own_g, own_h = (g, h) if whole else (g[rows], h[rows])
     out = np.empty((3, len(columns), BINS), np.int64)
     for f, column in enumerate(columns):
-        at = column[rows].astype(np.intp)
+        at = (column if whole else column[rows]).astype(np.intp)
         out[:, f] = np.bincount(at, own_g, BINS), np.bincount(at, own_h, BINS), np.bincount(at, minlength=BINS)
     return out
 
@@ -199,55 +238,92 @@ def _rescored(trees: list[Tree], n_features: int):
     return run
 
 
-def _sums(trees: list[Tree], nodes: list[int], splits: dict[int, tuple[int, int]], n_features: int):
-    """Sums of a task per node, feature and bin; ``trees`` are those that the written scores lack."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {n: np.zeros((3, n_features, BINS), np.int64) for n in nodes}
-        for batch in batches:
-            for bins, target, weight, score in _unpacked(batch, n_features):
-                score = score.copy()
-                for tree in trees:
-                    add_tree(score, bins, tree)
-                g, h = gradients(score, target, weight)
-                at = placed(bins, splits)
-                for n in nodes:
-                    rows = np.flatnonzero(at == n)
-                    sums[n] += histogram(bins[rows], g[rows], h[rows])
-        for n, own in sums.items():
-            flat = own.reshape(3, -1)
-            filled = np.flatnonzero(flat[2])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), n)), pa.array(filled.astype(np.int32)), *(pa.array(x[filled]) for x in flat)],
-                                             names=["node", "at", "g", "h", "n"])
+def _held(n_features: int):
+    """Blocks of stored rows, put together; bins stand feature by feature."""
+    def run(rows):
+        blocks, size = [], 0
+        for row in rows:
+            blocks.append((np.frombuffer(row["bins"], np.uint8).reshape(-1, n_features), *(np.frombuffer(row[c]) for c in ("target", "weight", "score"))))
+            size += len(blocks[-1][1])
+            if size >= BLOCK_ROWS:
+                yield _joined(blocks)
+                blocks, size = [], 0
+        if blocks:
+            yield _joined(blocks)
 
     return run
 
 
-def _best(limits: Limits, n_features: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = np.zeros((3, n_features * BINS), np.int64)
-        sums[:, rows["at"]] = rows[["g", "h", "n"]].to_numpy().T
-        return pd.DataFrame([(rows["node"].iloc[0], *best_split(sums.reshape(3, n_features, BINS), limits))], columns=["node", *Split._fields])
+def _joined(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    bins, *columns = (np.concatenate(c) for c in zip(*blocks))
+    return np.ascontiguousarray(bins.T), *columns
+
+
+def _with_trees(trees: list[Tree]):
+    def run(blocks):
+        for columns, target, weight, score in blocks:
+            score = score.copy()
+            for tree in trees:
+                add_tree(score, columns.T, tree)
+            yield columns, target, weight, score
 
     return run
 
 
-def _spread(stored: DataFrame, n_features: int, limits: Limits) -> list[Tree]:
-    """Trees of a table of any size: a job per pass, scores written again every KEEP_EVERY trees."""
+def _sums(trees: list[Tree], nodes: list[int], splits: dict[int, tuple[int, int]], n_features: int):
+    """Sums of a task per node, feature and bin; ``trees`` are those that the scores lack."""
+    def run(blocks):
+        sums = np.zeros((len(nodes), 3, n_features, BINS), np.int64)
+        for columns, target, weight, score in _with_trees(trees)(blocks):
+            g, h = gradients(score, target, weight)
+            for own, rows in zip(sums, nodes_reached(columns.T, splits, nodes).values()):
+                own += column_histogram(columns, rows, g, h)
+        yield sums
+
+    return run
+
+
+def _spread(stored: DataFrame, n: int, n_features: int, limits: Limits) -> list[Tree]:
+    """Trees of a table of any size: a job per pass over blocks that tasks keep, scores written again every KEEP_EVERY trees.
+
+    The driver holds the sums of the nodes of one tree.
+    """
+    tasks = max(stored.sparkSession.sparkContext.defaultParallelism, -(-n // (5 * BLOCK_ROWS)))
+    kept_as = StorageLevel.MEMORY_AND_DISK
+    deal = lambda df: df.repartition(tasks).rdd.mapPartitions(_held(n_features)).persist(kept_as)
     trees: list[Tree] = []
-    kept = 0
-    fields = "node long, gain double, feature int, bin int, g long, h long, left_g long, left_h long"
+    kept = has = 0  # trees in the written scores and in the held ones
+    held, past = deal(stored), []
 
-    def search(nodes, splits):
-        sums = stored.mapInArrow(_sums(trees[kept:], nodes, splits, n_features), "node long, at int, g long, h long, n long")
-        sums = sums.groupBy("node", "at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-        best = sums.groupBy("node").applyInPandas(_best(limits, n_features), fields).collect()
-        return {n: Split(0.0, 0, 0, 0, 0, 0, 0) for n in nodes} | {r.node: Split(*r[1:]) for r in best}
+    def added(nodes, splits):
+        parts = held.mapPartitions(_sums(trees[has:], nodes, splits, n_features))
+        return sum(parts.collect()) if tasks <= DIRECT_TASKS else parts.treeReduce(np.add)
 
     for done in range(1, limits.rounds + 1):
+        sums: dict[int, np.ndarray] = {}
+
+        def search(nodes, splits, sums=sums):
+            few = [0] if nodes == [0] else []
+            for parent in dict.fromkeys((c - 1) // 2 for c in nodes if c):
+                feature, cut = splits[parent]
+                count = sums[parent][2, feature]
+                few.append(2 * parent + (1 if 2 * count[:cut + 1].sum() <= count.sum() else 2))
+            for c, own in zip(few, added(few, splits)):
+                sums[c] = own
+                if c:
+                    sums[c - 1 if c % 2 == 0 else c + 1] = sums[(c - 1) // 2] - own
+            while past:  # what is held now has been computed
+                past.pop().unpersist()
+            return {c: best_split(sums[c], limits) for c in nodes}
+
         trees.append(grow(search, limits))
         if done % KEEP_EVERY == 0 and done < limits.rounds:
             stored = materialize(stored.mapInArrow(_rescored(trees[kept:], n_features), BLOCK), run_dir(stored.sparkSession, "boosted-scores"))
-            kept = len(trees)
+            past, held, kept, has = [*past, held], deal(stored), done, done
+        elif done % HELD_EVERY == 0 and done < limits.rounds:
+            past, held, has = [*past, held], held.mapPartitions(_with_trees(trees[has:])).persist(kept_as), done
+    for blocks in (*past, held):
+        blocks.unpersist()
     return trees
 
 
@@ -324,16 +400,20 @@ def fit(df: DataFrame, columns: list[str], target: str = "target", weight: Colum
     features = [F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(columns)]
     rows = df.select(*features, F.col(f"`{target}`").cast("double").alias("y"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"))
     rows = rows.where("y is not null and w is not null")
+    n = rows.count()
+    if n > DEALT_ROWS:  # few bytes, and so few tasks, but the quantiles are much work
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT_ROWS))
+        rows = materialize(rows.repartition(tasks), run_dir(df.sparkSession, "boosted-rows"))
     places = [i / (BINS - 1) for i in range(1, BINS - 1)]
     whole = lambda c: F.sum(F.round(c * UNIT).cast("long"))
     known = [F.percentile_approx(F.when(~F.isnan(f"f{i}"), F.col(f"f{i}")), places) for i in range(len(columns))]
-    *quantiles, n, all_w, yes_w = rows.agg(*known, F.count("*"), whole(F.col("w")), whole(F.col("w") * F.col("y"))).first()
+    *quantiles, all_w, yes_w = rows.agg(*known, whole(F.col("w")), whole(F.col("w") * F.col("y"))).first()
     cuts = [np.unique(np.array(q or [], np.float64)) for q in quantiles]
     mean = min(1 - 1e-9, max(1e-9, yes_w / all_w)) if all_w else 0.5
     base = math.log(mean / (1 - mean))
     stored = materialize(rows.mapInArrow(_blocks(cuts, base), BLOCK), run_dir(df.sparkSession, "boosted"))
     if n > task_rows:
-        return Boosted(columns, cuts, base, _spread(stored, len(columns), limits))
+        return Boosted(columns, cuts, base, _spread(stored, n, len(columns), limits))
     trees: dict[int, Tree] = {}
     for r in stored.coalesce(1).mapInArrow(_one_task(len(columns), limits), NODE).collect():
         tree = trees.setdefault(r["round"], Tree({}, {}))

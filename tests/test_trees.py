@@ -148,3 +148,50 @@ def test_one_task_adds_up_the_smaller_of_two_children_only(monkeypatch):
     plain = trees.grow(search, Limits(rounds=1, leaf_rows=20))
     assert {(r["node"], r["feature"], r["bin"]) for r in nodes if r["feature"] >= 0} == {(n, f, b) for n, (f, b) in plain.splits.items()}
     assert {r["node"]: r["value"] for r in nodes if r["feature"] < 0} == plain.values
+
+
+def grown_bins(leaves, rows=2000, seed=13):
+    """Bins and a tree of random cuts."""
+    rng = np.random.default_rng(seed)
+    bins, splits, open_ = rng.integers(0, 40, (rows, 3)).astype(np.uint8), {}, [0]
+    while len(open_) < leaves:
+        n = open_.pop(rng.integers(len(open_)))
+        splits[n] = (int(rng.integers(3)), int(rng.integers(40)))
+        open_ += [2 * n + 1, 2 * n + 2]
+    return bins, trees.Tree(splits, {n: float(i + 1) for i, n in enumerate(open_)})
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 15, 16, 17, 40])
+def test_leaf_values_and_rows_of_nodes(leaves):
+    bins, tree = grown_bins(leaves)
+    at = trees.placed(bins, tree.splits)
+    score = np.full(len(bins), 0.5)
+    trees.add_tree(score, bins, tree)
+    assert score.tolist() == [0.5 + tree.values[n] for n in at]
+    reached = trees.nodes_reached(bins, tree.splits, sorted(tree.values))
+    assert {n: r.tolist() for n, r in reached.items()} == {n: np.flatnonzero(at == n).tolist() for n in tree.values}
+
+
+def test_a_pass_is_one_job(spark, monkeypatch):
+    x, y, w, _ = planted(900, seed=15)
+    df = frame(spark, x, y, w, 6).localCheckpoint()
+    passes, real = [], trees.grow
+    monkeypatch.setattr(trees, "grow", lambda search, *a, **k: real(lambda nodes, s: passes.append(nodes) or search(nodes, s), *a, **k))
+    spark.sparkContext.setJobGroup("passes", "trees by passes")
+    try:
+        fitted(spark, df, Limits(rounds=8, leaves=5), task_rows=0)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("passes")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(passes) >= 16 and len(jobs) <= len(passes) + 10
+
+
+def test_dealing_out_the_rows_does_not_change_the_trees(spark, monkeypatch):
+    x, y, w, _ = planted(900, seed=17)
+    df, limits = frame(spark, x, y, w, 1), Limits(rounds=7, rate=0.2)
+    plain = fitted(spark, df, limits)
+    monkeypatch.setattr(trees, "DEALT_ROWS", 100)
+    monkeypatch.setattr(trees, "HELD_EVERY", 2)
+    monkeypatch.setattr(trees, "DIRECT_TASKS", 1)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 50)
+    assert fitted(spark, df, limits, task_rows=0).trees == fitted(spark, df, limits).trees == plain.trees
