@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from contestry.functions import text as tx
 from contestry.session import materialize, run_dir
@@ -115,44 +115,175 @@ def phrase_targets(aliases: dict[str, list[str]], threshold: float) -> list[tupl
     return rows
 
 
+#: Codes of the letters and digits that stand in keys; 0 is what is left out, and what stands between lines.
+KEY_CODES = np.array([KEY_BYTES[b] * (KEY_BYTES[b] != 32) for b in range(256)], np.uint8)
+#: The letters outside ASCII whose small letter is one of ASCII.
+OTHER_LETTERS = {"\u212a": "k", "\u0130": "i"}
+#: Bytes of lines that are matched at once, and stretches of them that are read side by side.
+CHUNK_BYTES, LANES = 4_000_000, 16_384
+
+
+def _coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of lines without nulls, one behind the other with a 0 after each, and the line of every code."""
+    for other, small in OTHER_LETTERS.items():
+        if pc.any(pc.match_substring(lines, other)).as_py():
+            lines = pc.replace_substring(lines, other, small)
+    lines = lines.cast(pa.binary()).cast(pa.large_binary())
+    _, offsets, data = lines.buffers()
+    at = np.frombuffer(offsets, np.int64)[lines.offset:lines.offset + len(lines) + 1]
+    codes = KEY_CODES.take(np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]])
+    of = np.repeat(np.arange(len(lines)), np.diff(at))
+    kept = np.flatnonzero(codes)
+    out = np.zeros(len(kept) + len(lines), np.uint8)
+    of = of[kept]
+    out[np.arange(len(kept)) + of] = codes[kept]
+    return out, np.repeat(np.arange(len(lines)), np.bincount(of, minlength=len(lines)) + 1)
+
+
+def _edits(key: bytes, steps: Iterator[np.ndarray], lanes: int, anywhere: bool) -> Iterator[np.ndarray]:
+    """After every step the edits between ``key`` and what each lane has read: from its start, or with ``anywhere`` from the best place in it.
+
+    ``steps``: one code per lane. A column of the table of edits is kept as two words of bits, where it rises and where it falls (Myers 1999).
+    """
+    size = len(key)
+    kind = next((t for t in (np.uint16, np.uint32, np.uint64) if size <= np.dtype(t).itemsize * 8), None)
+    if kind is None:
+        column = np.repeat(np.arange(size + 1, dtype=np.int32)[:, None], lanes, axis=1)
+        for code in steps:
+            before, column = column, np.empty_like(column)
+            column[0] = 0 if anywhere else before[0] + 1
+            for i, k in enumerate(key, 1):
+                column[i] = np.minimum(np.minimum(before[i], column[i - 1]) + 1, before[i - 1] + (code != k))
+            yield column[size]
+        return
+    table = np.zeros(256, kind)
+    for i, k in enumerate(key):
+        table[k] |= kind(1 << i)
+    top, one, first = kind(1 << size - 1), kind(1), kind(0 if anywhere else 1)
+    rises, falls = np.full(lanes, np.iinfo(kind).max, kind), np.zeros(lanes, kind)
+    edits = np.full(lanes, size, np.int32)
+    same, x, up, down = (np.empty(lanes, kind) for _ in range(4))
+    for code in steps:
+        table.take(code, out=same, mode="clip")
+        np.bitwise_and(same, rises, out=x)
+        x += rises
+        x ^= rises
+        x |= same
+        np.bitwise_or(x, rises, out=up)
+        np.invert(up, out=up)
+        up |= falls
+        np.bitwise_and(rises, x, out=down)
+        edits += (up & top) != 0
+        edits -= (down & top) != 0
+        up <<= one
+        up |= first
+        down <<= one
+        same |= falls
+        np.bitwise_or(same, up, out=rises)
+        np.invert(rises, out=rises)
+        rises |= down
+        np.bitwise_and(up, same, out=falls)
+        yield edits
+
+
+def _ends(key: bytes, codes: np.ndarray, most: int) -> np.ndarray:
+    """Places where a stretch of the codes ends that is within ``most`` edits of ``key``, perhaps across lines."""
+    lead = len(key) + most  # such a stretch is not longer
+    width = max(4 * lead, -(-len(codes) // LANES))
+    lanes = -(-len(codes) // width)
+    padded = np.zeros(lanes * width + lead, np.uint8)
+    padded[lead:lead + len(codes)] = codes
+    across = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width + lead)[::width].T)
+    found = [np.empty(0, np.intp)]
+    for step, edits in enumerate(_edits(key, (c.astype(np.intp) for c in across), lanes, True)):
+        if step >= lead:
+            near = edits <= most
+            if near.any():
+                found.append(np.flatnonzero(near) * width + step - lead)
+    ends = np.concatenate(found)
+    return ends[ends < len(codes)]
+
+
+def _scores(key: bytes, limit: float, most: int, codes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Per line 0.99 if ``key`` is in it, else the best similarity to one of its windows that has about the key's size."""
+    best = np.zeros(n)
+    if not key:
+        return np.full(n, 0.99)
+    ends = _ends(key, codes, most)
+    for size in (len(key) - 1, len(key), len(key) + 1):
+        starts = ends - size + 1
+        ok = (starts >= 0) & (size > (1 if size != len(key) else 0))
+        last, starts = ends[ok], starts[ok]
+        inside = (codes[last] != 0) & (of[starts] == of[last])
+        last, starts = last[inside], starts[inside]
+        if len(last):
+            *_, edits = _edits(key, (codes[starts + i].astype(np.intp) for i in range(size)), len(starts), False)
+            score = np.where((edits <= most) & ((size > 1) | (edits == 0)), 1 - edits / max(size, len(key)), 0.0)
+            np.maximum.at(best, of[last], score)
+    best[best == 1.0] = 0.99  # the key itself
+    return best
+
+
+def _best_phrases(groups: dict[str | None, list[tuple]], column: int, longer_first: bool, schema: pa.Schema):
+    def found(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        rows = rows.filter(pc.is_valid(rows.column(column)))
+        if not len(rows):
+            return
+        codes, of = _coded(pa.concat_arrays(rows.column(column).cast(pa.string()).chunks))
+        for kind, targets in groups.items():
+            best, size, which = np.zeros(len(rows)), np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+            for i, (_, key, limit, _, most, _) in sorted(enumerate(targets), key=lambda t: t[1][3]):
+                score = _scores(key.encode(), limit, most, codes, of, len(rows))
+                own = len(key) if longer_first else 0
+                better = (score >= limit) & ((which < 0) | (score > best) | ((score == best) & (own > size)))
+                best[better], size[better], which[better] = score[better], own, i
+            at = np.flatnonzero(which >= 0)
+            if len(at):
+                out = rows.take(pa.array(at))
+                extra = [] if kind is None else [pa.array([kind] * len(at), pa.string())]
+                extra += [pa.array([t[0] for t in targets], pa.string()).take(pa.array(which[at])), pa.array(best[at])]
+                yield from pa.Table.from_arrays([*out.columns, *extra], schema=schema).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield from found(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from found(waiting)
+
+    return run
+
+
+def _phrases(lines: DataFrame, groups: dict[str | None, list[tuple]], line: str, longer_first: bool) -> DataFrame:
+    spread = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = [] if None in groups else [StructField("kind", StringType())]
+    schema = StructType([*lines.schema.fields, *kind, StructField("label", StringType()), StructField("score", DoubleType())])
+    return spread.mapInArrow(_best_phrases(groups, lines.columns.index(line), longer_first, to_arrow_schema(schema)), schema)
+
+
 def fuzzy_phrase_match(lines: DataFrame, targets: list[tuple], line: str = "line", longer_first: bool = True) -> DataFrame:
     """Best target per line: a contained phrase scores 0.99, else the best window similarity.
 
     Of equal scores the longer phrase wins if ``longer_first``, then the one listed first.
-    Works inside the row: the target list is a constant, and windows are compared only around
-    places where a part of the target occurs unchanged, which no acceptable match lacks.
-    Lines are spread first: few bytes of text are much work. Targets without such a part are
-    left out by plain comparisons, which are compiled.
+    Lines are spread first: few bytes of text are much work. A task reads the keys of many lines side by side, one code of each a
+    step, and keeps where a stretch ends that is within the edits allowed of a target; only windows that end there are compared.
     """
-    known = [(F.struct(
-        F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(limit).alias("limit"), F.lit(order).alias("order"), F.lit(d).alias("d"),
-        F.array(*[F.struct(F.lit(p).alias("text"), F.lit(o).alias("offset")) for p, o in parts]).alias("parts")),
-        reduce(lambda a, b: a | b, [F.contains(F.col("_s"), F.lit(p)) for p, _ in parts])) for label, key, limit, order, d, parts in targets]
-    spread = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    s = spread.withColumn("_s", tx.ascii_key(F.col(line)))
-    possible = F.array_compact(F.array(*[F.when(near, target) for target, near in known]))
-    scored = F.transform(possible, lambda t: F.struct(
-        F.when(F.contains(F.col("_s"), t["key"]), 0.99).otherwise(
-            tx.window_similarity(F.col("_s"), t["key"], tx.window_starts(F.col("_s"), t["parts"], t["d"]), t["d"])).alias("score"),
-        (F.length(t["key"]) if longer_first else F.lit(0)).alias("size"), (-t["order"]).alias("first"), t["label"].alias("label"), t["limit"].alias("limit")))
-    best = F.array_max(F.filter(scored, lambda t: t["score"] >= t["limit"]))
-    # A generator keeps the expression from being repeated for every use of its result.
-    found = s.select(*lines.columns, F.explode(F.filter(F.array(best), lambda v: v.isNotNull())).alias("_b"))
-    return found.select(*lines.columns, F.col("_b.label").alias("label"), F.col("_b.score").alias("score"))
+    return _phrases(lines, {None: targets}, line, longer_first)
 
 
 def title_match(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, kind, label, score): the best title of every kind in the first line of a text, from TITLE_LIMIT on.
 
-    Titles are looked for as phrases; one of fewer than two letters or digits matches nothing.
+    Titles are looked for as phrases, of all kinds in one pass; one of fewer than two letters or digits matches nothing.
     """
     first = texts.select(*keys, F.get(F.split(text, "\n"), F.lit(0)).alias("line"))
-    out = None
-    for kind, titles in tx.TITLES.items():
-        targets = [t for t in phrase_targets({t: [t] for t in titles}, tx.TITLE_LIMIT) if len(t[1]) > 1]
-        found = fuzzy_phrase_match(first, targets, longer_first=False).select(*keys, F.lit(kind).alias("kind"), "label", "score")
-        out = found if out is None else out.unionByName(found)
-    return out
+    groups = {kind: [t for t in phrase_targets({t: [t] for t in titles}, tx.TITLE_LIMIT) if len(t[1]) > 1] for kind, titles in tx.TITLES.items()}
+    return _phrases(first, groups, "line", longer_first=False).select(*keys, "kind", "label", "score")
 
 
 def extract_measures(lines: DataFrame, line: str = "line") -> DataFrame:
