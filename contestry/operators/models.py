@@ -66,12 +66,20 @@ def logistic_fit(df: DataFrame, columns: list[str], target: str = "target", l2:
     return Logistic(columns, fitted, estimator.fit(data))
 
 
-def weighted_logistic(df: DataFrame, columns: list[str], weight: Column, c_value: float, target: str = "target") -> Logistic:
+def weighted_logistics(df: DataFrame, columns: list[str], weight: Column, c_values: list[float], target: str = "target") -> list[Logistic]:
+    """A model per C; the moments, the scaled rows and the sum of weights do not depend on it and are made once."""
     fitted = moments(df, columns)
-    data = assemble(scale(df.withColumn("_w", weight), columns, fitted), columns)
-    total = data.agg(F.sum("_w")).first()[0]
-    estimator = LogisticRegression(labelCol=target, weightCol="_w", regParam=1.0 / (c_value * total), standardization=False, maxIter=200)
-    return Logistic(columns, fitted, estimator.fit(data))
+    data = assemble(scale(df.withColumn("_w", weight), columns, fitted), columns).select(target, "_w", "features").persist()
+    try:
+        total = data.agg(F.sum("_w")).first()[0]
+        return [Logistic(columns, fitted, LogisticRegression(
+            labelCol=target, weightCol="_w", regParam=1.0 / (c * total), standardization=False, maxIter=200).fit(data)) for c in c_values]
+    finally:
+        data.unpersist()
+
+
+def weighted_logistic(df: DataFrame, columns: list[str], weight: Column, c_value: float, target: str = "target") -> Logistic:
+    return weighted_logistics(df, columns, weight, [c_value], target)[0]
 
 
 def age_weight(reference: int, half_life_days: float = 120.0) -> Column:
@@ -81,14 +89,13 @@ def age_weight(reference: int, half_life_days: float = 120.0) -> Column:
 def logistic_grid(parts: DataFrame, columns: list[str], cutoff: int, grid: list[float] = GRID, target: str = "target"):
     """Fit the core rows for each C, choose by calibration log loss, ties to the smaller C.
 
-    Returns the chosen model, its C and the losses as a frame. The six fits share one cached input.
+    Returns the chosen model, its C and the losses as a frame. The six fits share one cached table of scaled rows.
     """
     parts = parts.persist()
     try:
         core, calibration = parts.where("part = 'core'"), parts.where("part = 'calibration'")
         tried = []
-        for c_value in grid:
-            model = weighted_logistic(core, columns, age_weight(cutoff), c_value, target)
+        for c_value, model in zip(grid, weighted_logistics(core, columns, age_weight(cutoff), grid, target)):
             loss = model.predict(calibration).agg(F.avg(evaluate.log_loss(F.col(target), F.col("p")))).first()[0]
             tried.append((loss, c_value, model))
         tried.sort(key=lambda t: (t[0], t[1]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contestry.operators import chronology as ch, hot, lineups, ratings
+from contestry.session import materialize, run_dir
 
 FEATURES = [
     "elo_difference", "glicko_difference", "a_deviation", "b_deviation", "deviation_difference",
@@ -48,19 +49,23 @@ def _hot_rows(valid: DataFrame, hot_rows: int) -> int | None:
     return hot_rows if (played.agg(F.max("n")).first()[0] or 0) * 2 > hot_rows else None
 
 
-def contest_features(contests: DataFrame, pool: str | None = "pool", hot_rows: int = hot.HOT_ROWS) -> DataFrame:
-    """24 features, target and baseline probabilities; all values date from before the contest."""
+def contest_features(contests: DataFrame, pool: str | None = "pool", hot_rows: int = hot.HOT_ROWS, wanted: DataFrame | None = None) -> DataFrame:
+    """24 features, target and baseline probabilities; all values date from before the contest.
+
+    All contests count as what came before; with ``wanted`` (contest_id) only the features of those contests are put together.
+    """
     valid = ch.valid_contests(contests)
     hot_rows = _hot_rows(valid, hot_rows)
+    of = lambda part: part if wanted is None else part.join(wanted.select("contest_id"), "contest_id", "left_semi")
     rated = join_feature_tables(
-        ratings.elo_history(contests, pool), ratings.glicko_features(ratings.glicko_timeline(contests, pool)))
-    form = by_side(ch.entity_form(valid, hot_rows), "recent_5", "recent_10", "ema_form", "streak", "rest_days")
-    active = by_side(ch.activity(valid, hot_rows=hot_rows), "activity")
-    era = by_side(ch.era_form(valid, hot_rows), "era_rate", "era_games")
-    j = valid.select("contest_id", "ts", "tier", F.coalesce("era", F.lit(0)).alias("era_value"), "a_win")
-    for part in (rated, form, active, era, ch.head_to_head(valid, hot_rows), ch.global_side_rate(valid)):
+        of(ratings.elo_history(contests, pool)), of(ratings.glicko_features(ratings.glicko_timeline(contests, pool))))
+    form = by_side(of(ch.entity_form(valid, hot_rows)), "recent_5", "recent_10", "ema_form", "streak", "rest_days")
+    active = by_side(of(ch.activity(valid, hot_rows=hot_rows)), "activity")
+    era = by_side(of(ch.era_form(valid, hot_rows)), "era_rate", "era_games")
+    j = of(valid.select("contest_id", "ts", "tier", F.coalesce("era", F.lit(0)).alias("era_value"), "a_win"))
+    for part in (rated, form, active, era, of(ch.head_to_head(valid, hot_rows)), of(ch.global_side_rate(valid))):
         j = j.join(part, "contest_id")
-    j = j.join(ch.series_score(valid, hot_rows), "contest_id", "left")
+    j = j.join(of(ch.series_score(valid, hot_rows)), "contest_id", "left")
     clip = lambda c: F.least(F.lit(5), F.greatest(F.lit(-5), F.col(c)))
     tier = F.lower(F.coalesce("tier", F.lit("professional")))
     return j.select(
@@ -100,8 +105,12 @@ def lineup_table(duel_rows: DataFrame, pool: str | None = "pool") -> DataFrame:
 
 
 def lineup_features(contests: DataFrame, duel_rows: DataFrame, pool: str | None = "pool") -> DataFrame:
-    """The team features plus eight lineup features, for contests present in both."""
-    team = contest_features(contests, pool)
+    """The team features plus eight lineup features, for contests present in both.
+
+    The duels are written once: ratings, four kinds of experience and the counting of their hot keys read them again.
+    """
+    duel_rows = materialize(duel_rows, run_dir(duel_rows.sparkSession, "duels"))
+    team = contest_features(contests, pool, wanted=duel_rows)
     extra = lineup_table(duel_rows, pool).select(
         "contest_id", (_diff("rating") / 400.0).alias("member_rating_difference"),
         _log_diff("mean_games").alias("log_member_games_difference"),
